@@ -15,6 +15,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = embeddings(spark, sf_dir)
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    out = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -35,6 +53,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii, span_text
+
+    out = find_pii(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(n))).cast("long").alias(f"n_{name}") for n, name in enumerate(KINDS[:4])]
+    both = F.concat_ws(",", *(F.when(F.size(c) > 0, span_text(F.col(c), k)) for c, k in (("base", None), ("terms", 4))))
+    return out.select("doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), both.alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_on, held_out, score
 
@@ -49,6 +83,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_line_dedup, op5_bpe, op8_quality, op9_mixing)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = embeddings(spark, sf_dir)
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_near_duplicates, op4_line_dedup, op5_bpe, op6_licenses, op7_pii, op8_quality, op9_mixing, op10_top_k)}
 
 ORACLES: dict[str, str] = {}

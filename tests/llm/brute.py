@@ -80,3 +80,45 @@ def targets(sizes: dict, weights=(5, 2, 1), share=1.5, most=2):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+
+
+def secret_spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(("assign", "access", "hex")[k], a, z) for a, k, z in sorted(out)]
+
+
+def luhn(digits):
+    total = sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def pii_spans(text):
+    text = text or ""
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    )
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def span_sha(spans):
+    return sha(",".join(f"{k}:{a}:{z}" for k, a, z in spans))
+
+
+def license_places(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))
+    found = []
+    for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")):
+        own = phrase.split()
+        found += [(k, label) for k in range(len(words) - len(own) + 1) if words[k : k + len(own)] == own]
+    starts = [k for k, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
