@@ -26,6 +26,17 @@ from .common import as_text, slices, without
 CACHE_CHUNKS = 250_000
 #: White space to str.split() which the vocabularies' \s does not match.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_NEVER = 2**40
+# The word-splitting rule of the vocabulary file.
+_SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for chunks of printable ASCII and Latin letters whose lower case is one letter.
+_LATIN = "\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u012f\u0131-\u017f]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+#: Byte-level letters of the UTF-8 bytes of Latin letters: printable bytes stand for themselves, others follow 255.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_LETTERS = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 
 
 class Codec:
@@ -48,6 +59,10 @@ class Codec:
         self.longest = max(len(x.removesuffix(self.end)) for x in self.ids)
         self._orders(model["merges"])
         self.cache: dict[str, bytes] = {}
+        self.word_cache: dict[str, bytes] = {}
+        kinds = [x["type"] for x in spec["normalizer"].get("normalizers", [])]
+        #: Whether the file's rules are those that words_of() knows.
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _SPLIT_RULE}
 
     def _orders(self, merges: list) -> None:
         """Orders: single letters first, then each merge's product by rank. Tables are indexed by order."""
@@ -108,24 +123,46 @@ class Codec:
             live = live[~done]
         return ok
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging: always the pair of lowest rank, leftmost first."""
-        parts = list(word)
-        parts[-1] += self.end
-        while len(parts) > 1:
-            best = min((self.ranks.get(p, 2**31) for p in zip(parts, parts[1:])))
-            if best == 2**31:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and self.ranks.get((parts[k], parts[k + 1])) == best:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.ids[x] for x in parts if x in self.ids]
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Order of what each pair merges to, _NEVER if it doesn't."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_order[at], _NEVER)
+
+    def merge(self, words: list[str]) -> list[np.ndarray]:
+        """Exact merging, all words at once: each round merges in every word its pair of lowest rank, leftmost first."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        letters = [[o for k, c in enumerate(w) if (o := self.order.get(c + self.end if k == len(w) - 1 else c)) is not None] for w in words]
+        sizes = np.array([len(x) for x in letters], np.int64)
+        token = np.fromiter((o for x in letters for o in x), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        rank = np.full(len(token), _NEVER, np.int64)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self._rank(token[inner], token[inner + 1])
+        while len(token):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.minimum.reduceat(rank, starts)
+            size = np.diff(np.append(starts, len(owner)))
+            done = best == _NEVER
+            for s, n in zip(starts[done].tolist(), size[done].tolist()):
+                out[owner[s]] = self.id_of[token[s : s + n]]
+            live = np.repeat(~done, size)
+            hit = np.flatnonzero(live & (rank == np.repeat(best, size)))
+            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])[: len(hit)]]
+            token[hit] = rank[hit]
+            live[hit + 1] = False
+            last[hit] = last[hit + 1]
+            changed = np.zeros(len(token), bool)
+            changed[hit] = True
+            changed[hit[hit > 0] - 1] = True
+            token, owner, rank, last, changed = (x[live] for x in (token, owner, rank, last, changed))
+            at = np.flatnonzero(changed)
+            ends = last[at]
+            rank[at[ends]] = _NEVER
+            at = at[~ends]
+            rank[at] = self._rank(token[at], token[at + 1])
+        return out
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         proposals = [self.propose(w) for w in words]
@@ -138,18 +175,28 @@ class Codec:
             fails = owner[1:][inner][~self.compatible(flat[:-1][inner], flat[1:][inner])]
             good[fails] = False
         ids, ends = self.id_of[flat], np.cumsum(sizes)
-        return [ids[ends[k] - sizes[k] : ends[k]] if good[k] else np.array(self.merge(w), np.uint32) for k, w in enumerate(words)]
+        out = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        failing = np.flatnonzero(~good).tolist()
+        for k, got in zip(failing, self.merge([words[k] for k in failing])):
+            out[k] = got
+        return out
+
+    def words_of(self, chunk: str) -> list[str]:
+        """A chunk's words in byte-level letters. Plain Latin is split here, by the same rule; the rest by the library."""
+        if _PLAIN.fullmatch(chunk):
+            return [w if w.isascii() else w.translate(_LETTERS) for w in _PARTS.findall(chunk.lower())]
+        return [w for w, _ in self.split(self.normalize(chunk))]
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks into the cache."""
-        words, spans = [], []
-        for c in chunks:
-            own = [w for w, _ in self.split(self.normalize(c))]
-            spans.append((len(words), len(words) + len(own)))
-            words += own
-        got = self.encode_words(words)
-        for c, (s, e) in zip(chunks, spans):
-            self.cache[c] = got[s].tobytes() if e == s + 1 else b"".join(x.tobytes() for x in got[s:e])
+        if not self.plain:
+            split = [[w for w, _ in self.split(self.normalize(c))] for c in chunks]
+        else:
+            split = [self.words_of(c) for c in chunks]
+        words = list({w for own in split for w in own}.difference(self.word_cache))
+        self.word_cache.update(zip(words, (x.tobytes() for x in self.encode_words(words))))
+        get = self.word_cache.__getitem__
+        self.cache.update((c, b"".join(map(get, own))) for c, own in zip(chunks, split))
 
     def encode_plain(self, text: str) -> list[str]:
         """Chunks of a text without special tokens; a text with odd white space is one chunk."""
@@ -159,6 +206,8 @@ class Codec:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
+        if len(self.word_cache) > CACHE_CHUNKS:
+            self.word_cache.clear()
         split = []
         for text in texts:
             parts: list[str | bytes] = []
