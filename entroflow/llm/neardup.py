@@ -2,7 +2,8 @@
 
 1. One scan computes for each document the hash of its shingle set, band keys of its MinHash samples, and the
    odd sketch: the samples folded into a parity bitmap. The number of ones in the XOR of two sketches estimates how
-   many samples differ, precisely so for high similarities.
+   many samples differ, precisely so for high similarities. A second parity bitmap is folded from the whole set: two
+   sets differ in at least as many shingles as the XOR has ones, so this one never rules out a link.
 2. Documents with equal sets form a class; only its smallest doc_id goes on, so copies are never expanded.
 3. Band buckets are cut into chunks of bounded size, each with the bucket's smallest id. A chunk yields a maximum
    spanning forest of its sketch similarities (at most a link fewer than members), never all pairs.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mix, slices, small, stage
 from .graph import components
 
-BANDS, ROWS, SKETCH_BITS = 40, 5, 512
+BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 5, 512, 1024
+_WORD_OF = SKETCH_BITS // 64
 #: Members of a band bucket that one task compares at once.
 CHUNK = 512
 _WORDS_KEPT = 400_000
@@ -102,6 +104,14 @@ def odd_sketches(mins: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool), axis=1, bitorder="little").view(np.uint64)
 
 
+def set_sketches(flat: np.ndarray, sizes: np.ndarray, bits: int = SET_BITS) -> np.ndarray:
+    """Parity bitmaps of whole nonempty sets, as rows of 64-bit words."""
+    sizes = sizes[sizes > 0]
+    at = np.repeat(np.arange(len(sizes)), sizes) * bits + (mix(flat ^ _P) % np.uint64(bits)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(sizes) * bits).reshape(len(sizes), bits)
+    return np.packbits((counts & 1).astype(bool), axis=1, bitorder="little").view(np.uint64)
+
+
 def most_odd(percent: int, samples: int, bits: int = SKETCH_BITS) -> int:
     """Ones in the XOR of two sketches that a pair at the threshold exceeds once in some million times."""
     p = percent / 100
@@ -124,7 +134,7 @@ def _signatures(words: int, bands: int, rows: int):
                 keys[full] = mix(folded + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
                 starts = (np.cumsum(sizes) - sizes)[full]
                 sets[full, 0], sets[full, 1] = np.add.reduceat(mix(flat), starts), np.bitwise_xor.reduceat(mix(flat + _P), starts)
-                for d, row in zip(full.tolist(), odd_sketches(mins)):
+                for d, row in zip(full.tolist(), np.hstack([odd_sketches(mins), set_sketches(flat, sizes)])):
                     sketches[d] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), *(pa.array(sets[:, k].view(np.int64)) for k in (0, 1)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))],
@@ -143,8 +153,12 @@ def _sets(words: int):
     return run
 
 
-def _odd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+def _odd(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, most: int, percent: int) -> np.ndarray:
+    """Ones in the XOR of two sample sketches; over `most` where these, the sets' sketches or sizes rule a link out."""
+    ones = np.bitwise_count(a ^ b)
+    odd, differ = ones[..., :_WORD_OF].sum(axis=-1, dtype=np.int32), ones[..., _WORD_OF:].sum(axis=-1, dtype=np.int64)
+    odd[(100 * np.minimum(n, m) < percent * np.maximum(n, m)) | ((100 + percent) * differ > (100 - percent) * (n + m))] = most + 1
+    return odd
 
 
 def _forest(sketch: np.ndarray, size: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
@@ -156,8 +170,7 @@ def _forest(sketch: np.ndarray, size: np.ndarray, most: int, percent: int) -> li
         out[k] = False
         if best[k] <= most:
             links.append((int(by[k]), k))
-        odd = _odd(sketch, sketch[k])
-        odd[100 * np.minimum(size, size[k]) < percent * np.maximum(size, size[k])] = most + 1
+        odd = _odd(sketch, sketch[k], size, size[k], most, percent)
         nearer = out & (odd < best)
         best[nearer], by[nearer] = odd[nearer], k
         left = np.flatnonzero(out)
@@ -209,8 +222,7 @@ def _chunk_forests(most: int, percent: int):
             found, sizes = [], np.diff(starts)
             two = starts[:-1][sizes == 2]
             if len(two):
-                n, m = c["n"][two], c["n"][two + 1]
-                ok = two[(_odd(c["sketch"][two], c["sketch"][two + 1]) <= most) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+                ok = two[_odd(c["sketch"][two], c["sketch"][two + 1], c["n"][two], c["n"][two + 1], most, percent) <= most]
                 found.append((c["key"][ok], c["id"][ok], c["id"][ok + 1]))
             for a, b in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist()):
                 if links := _forest(c["sketch"][a:b], c["n"][a:b], most, percent):
@@ -232,8 +244,7 @@ def _block_pairs(most: int, percent: int):
                 left, right = np.flatnonzero(own["side"] == 0), np.flatnonzero(own["side"] == (own["i"][0] != own["j"][0]))
                 for k in left.tolist():
                     other = right[(own["component"][right] != own["component"][k]) & ((own["i"][0] != own["j"][0]) | (right > k))]
-                    ok = _odd(own["sketch"][other], own["sketch"][k]) <= most
-                    ok &= 100 * np.minimum(own["n"][other], own["n"][k]) >= percent * np.maximum(own["n"][other], own["n"][k])
+                    ok = _odd(own["sketch"][other], own["sketch"][k], own["n"][other], own["n"][k], most, percent) <= most
                     if ok.any():
                         found.append((own["key"][other[ok]], np.full(int(ok.sum()), own["id"][k]), own["id"][other[ok]]))
             yield _links(found)
