@@ -23,7 +23,7 @@ from .vectors import BLOCK_QUERIES, BLOCK_ROWS, empty_result, matrix, ranked, sa
 #: Vectors the centroids are fitted on; vectors a list is meant to hold, lists at most; lists a vector is in at most.
 FIT_VECTORS, LIST_ROWS, MOST_LISTS, REPLICAS = 20_000, 400, 8192, 3
 #: A vector joins lists whose centroid is within this ratio of its nearest one; recall that the visiting ratio is fitted to.
-BOUNDARY, RECALL = 1.06, 0.97
+BOUNDARY, RECALL = 1.06, 0.94
 #: Neighbours in the centroid graph; candidates kept in its search, over the lists wanted.
 DEGREE, BEAM = 24, 1.5
 
@@ -109,17 +109,22 @@ class Centroids:
 
 
 def _balanced(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k-means whose distances grow with a cluster's size, so that lists come out of like size."""
+    """k-means whose distances grow with a cluster's size, so that lists come out of like size.
+
+    Lifted vectors are all of one length, and so are the centroids here: a mean of few vectors would otherwise be
+    longer than one of many, and farther from everything.
+    """
     rng = np.random.default_rng(1)
     c = x[rng.choice(len(x), k, replace=False)].copy()
-    penalty, spread = np.zeros(k), float(x.var(0).sum()) + 1e-12
+    penalty, spread, length = np.zeros(k), float(x.var(0).sum()) + 1e-12, float(np.sqrt((x[0] ** 2).sum()))
     for _ in range(rounds):
         owner = np.concatenate([np.argmin((c * c).sum(1) - 2 * x[a : a + 2048] @ c.T + penalty, 1) for a in range(0, len(x), 2048)])
         size = np.bincount(owner, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, owner, x)
-        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], x[rng.choice(len(x), k)])
-        penalty = 0.1 * spread * (size * k / len(x) - 1)
+        far = np.sqrt((sums**2).sum(1))[:, None]
+        c = np.where((size[:, None] > 0) & (far > 0), sums * (length / np.maximum(far, 1e-300)), x[rng.choice(len(x), k)])
+        penalty += 0.02 * spread * np.clip(size * k / len(x) - 1, -1, 2)
     return c
 
 
@@ -127,6 +132,11 @@ def fit(rows: DataFrame, total: int, k: int) -> Centroids:
     """Centroids from a bounded sample, and the visiting ratio that reaches RECALL on it."""
     _, x = sample(rows, FIT_VECTORS)
     norm = float(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]) ** 0.5
+    return fit_sample(x, norm, total, k)
+
+
+def fit_sample(x: np.ndarray, norm: float, total: int, k: int) -> Centroids:
+    """The same of a sample at hand, with the largest norm and the number of all vectors."""
     lists = max(1, min(MOST_LISTS, total // LIST_ROWS, len(x) // 8))
     out = Centroids(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), int), norm)
     lifted = out.lift(x, False)
