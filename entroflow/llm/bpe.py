@@ -279,5 +279,9 @@ def decode(df: DataFrame, vocabulary: str) -> DataFrame:
 
 def ids_array(ids: F.Column) -> F.Column:
     """Packed ids as array<long>, with built-in functions."""
-    one = lambda k: F.conv(F.hex(F.reverse(F.substring(ids, 4 * k + F.lit(1), F.lit(4)))), 16, 10).cast("long")
+
+    def one(k: F.Column) -> F.Column:
+        digits = F.hex(F.substring(ids, 4 * k + F.lit(1), F.lit(4)))
+        return F.conv(F.concat(*(F.substring(digits, at, 2) for at in (7, 5, 3, 1))), 16, 10).cast("long")
+
     return F.when(F.length(ids) > 0, F.transform(F.sequence(F.lit(0), (F.length(ids) / 4).cast("int") - 1), one)).otherwise(F.array().cast("array<long>"))

@@ -115,7 +115,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, seed: int = 3) ->
     rows, vectors = _word_vectors(texts)
     z, e = np.zeros(2 * WIDTH, np.float32), np.zeros((2 * WIDTH, HIDDEN), np.float32)
     model = Model(rows, vectors, z, z + 1, e, np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, share)
-    if not 0 < share < 1:
+    if len(y) < 2 or not 0 < share < 1:
         return model
     x = model.pool(texts, {})
     model.center, model.scale = x.mean(0), x.std(0) + 1e-3

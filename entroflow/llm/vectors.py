@@ -57,7 +57,7 @@ class Best:
             self.size = len(self.parts[0][0])
 
     def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.parts:
+        if not sum(len(p[0]) for p in self.parts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, v, s = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
         order = np.lexsort((v, -s, q))
