@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.kernels import EPS, digamma, hash_uniform
 from .scalers import melt
 
+TRIFLE = 1e-11
+
 
 def _radius(k: int, by) -> F.Column:
     """Distance to the kth neighbour in a sorted class: the best of the k + 1 windows of k + 1 rows around a row."""
@@ -32,9 +34,11 @@ def mutual_information(long: DataFrame, k: int = 3) -> DataFrame:
     radius = F.coalesce(*(F.when(kk == j, _radius(j, own)) for j in range(1, k + 1)))
     rows = sized.withColumn("k", kk).withColumn("r", radius)
     tiny = F.col("r") <= EPS
-    # Points within the radius: strictly nearer, or up to EPS where the radius is nothing.
-    lo = F.struct((F.col("v") - F.when(tiny, F.lit(EPS)).otherwise(F.col("r"))).alias("at"), F.when(tiny, 0).otherwise(2).alias("order"), F.lit(-1).alias("sign"))
-    hi = F.struct((F.col("v") + F.when(tiny, F.lit(EPS)).otherwise(F.col("r"))).alias("at"), F.when(tiny, 2).otherwise(0).alias("order"), F.lit(1).alias("sign"))
+    # Points within the radius: strictly nearer, or up to EPS where the radius is nothing. The radius is drawn in by a
+    # trifle, so that rounding in v - r and v + r doesn't take a neighbour at the radius itself for a nearer one.
+    inner = F.col("r") * (1 - TRIFLE)
+    lo = F.struct((F.col("v") - F.when(tiny, F.lit(EPS)).otherwise(inner)).alias("at"), F.when(tiny, 0).otherwise(2).alias("order"), F.lit(-1).alias("sign"))
+    hi = F.struct((F.col("v") + F.when(tiny, F.lit(EPS)).otherwise(inner)).alias("at"), F.when(tiny, 2).otherwise(0).alias("order"), F.lit(1).alias("sign"))
     point = F.struct(F.col("v").alias("at"), F.lit(1).alias("order"), F.lit(0).alias("sign"))
     events = rows.select("feature", "label", "id", "n_c", "k", F.explode(F.array(point, lo, hi)).alias("e")).select("feature", "label", "id", "n_c", "k", "e.*")
     running = F.sum(F.when(F.col("sign") == 0, 1).otherwise(0)).over(Window.partitionBy("feature").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0))

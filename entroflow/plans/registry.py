@@ -544,7 +544,7 @@ def _mi_sql(values: str) -> str:
     return f"""WITH t AS ({values}), s AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS n_c FROM t), r AS (SELECT * FROM s WHERE n_c > 1),
     d AS (SELECT a.feature, a.id, a.label, a.v, a.n_c, least(3, a.n_c - 1) AS k, abs(a.v - b.v) AS gap, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.v - b.v)) AS place FROM r a JOIN r b ON a.feature = b.feature AND a.label = b.label AND a.id <> b.id),
     q AS (SELECT feature, id, label, v, n_c, k, gap AS radius FROM d WHERE place = k),
-    m AS (SELECT q.feature, q.id, any_value(q.n_c) AS n_c, any_value(q.k) AS k, count(*) AS m FROM q JOIN r b ON b.feature = q.feature AND (CASE WHEN radius > {EPS} THEN abs(b.v - q.v) < radius ELSE abs(b.v - q.v) <= {EPS} END) GROUP BY q.feature, q.id)
+    m AS (SELECT q.feature, q.id, any_value(q.n_c) AS n_c, any_value(q.k) AS k, count(*) AS m FROM q JOIN r b ON b.feature = q.feature AND (CASE WHEN radius > {EPS} THEN abs(b.v - q.v) < radius * (1 - 1e-11) ELSE abs(b.v - q.v) <= {EPS} END) GROUP BY q.feature, q.id)
     SELECT feature, round(greatest(0.0, {_psi('count(*)')} + avg({_psi('k')}) - avg({_psi('n_c')}) - avg({_psi('m')})), 5) AS mi FROM m GROUP BY feature"""
 
 

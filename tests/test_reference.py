@@ -97,7 +97,7 @@ def test_minmax(spark):
 
 
 def test_quantile(spark):
-    x = spark.createDataFrame([(i, float(i), c) for i, c in enumerate([1.0, 1, 1, 5, 5, 5, 10, 10, 10, 10], 1)], "id int, a double, c double")
+    x = spark.createDataFrame([(i, float(i), c) for i, c in enumerate([1.0, 1.0, 1.0, 5.0, 5.0, 5.0, 10.0, 10.0, 10.0, 10.0], 1)], "id int, a double, c double")
     q = QuantileTransformer().fit(x, ["a", "c"])
     out = {r.id: r for r in q.transform(x.select("id", "c", "a"), ["id"]).collect()}
     assert [round(out[i].a, 9) for i in range(1, 11)] == [round(i / 9, 9) for i in range(10)]
