@@ -9,7 +9,7 @@
    spanning forest of its sketch similarities (at most a link fewer than members), never all pairs.
 4. Links are confirmed on the full sets. Where a forest link fails, or a bucket has several chunks, and the
    bucket's members lie in several components, all remaining pairs between components are weighed block by block
-   and those that the sketches don't rule out are confirmed too. So every link that banding finds takes effect.
+   (members of the bucket's largest one against the others only) and those that the sketches don't rule out are confirmed too. So every link that banding finds takes effect.
 
 With 40 bands of 5 samples a pair at the threshold of 0.8 is missed with a probability of 1.3e-7, and the sketch
 rule (five deviations) rules out about as few.
@@ -285,24 +285,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     dealt = placed.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("key", "chunk", "id")
     forest = stage(dealt.mapInArrow(_chunk_forests(most, percent), "key long, u long, v long"), "forest")
     first = stage(confirm(docs, forest.select("u", "v").distinct(), words, percent), "confirmed")
-    linked = first.filter("linked").select("u", "v")
-    found = stage(components(linked), "components")
+    found = stage(components(first.filter("linked").select("u", "v")), "components")
 
     # Buckets where the forest doesn't settle everything: all pairs of different components, block by block.
     open_keys = forest.join(first.filter("not linked"), ["u", "v"], "left_semi").select("key").unionByName(members.filter(F.col("members") > CHUNK).select("key")).distinct()
     left = members.join(open_keys, "key", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     left = stage(left.select("key", "members", "id", "component"), "open_members")
-    mixed = left.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    block, blocks = F.pmod(F.xxhash64("id"), chunks).cast("int"), F.sequence(F.lit(0), chunks - 1)
-    spread = left.join(mixed, "key", "left_semi").withColumn("block", block).withColumn("with", F.explode(blocks))
+    # A bucket's largest component needs no pairs of its own: its blocks meet those of the bucket's other members alone.
+    parts = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    others, own = F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"), F.ceil(F.col("most") / CHUNK).cast("int")
+    spread = left.join(parts.filter("all > most").withColumn("others", others).withColumn("own", own), "key")
+    minor, hashed = F.col("component") != F.col("major"), F.xxhash64("id")
+    block = F.when(minor, F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.col("own"))).cast("int")
+    meets = F.sequence(F.lit(0), F.col("others") + F.when(minor, F.col("own")).otherwise(0) - 1)
+    spread = spread.withColumn("block", block).withColumn("with", F.explode(meets))
     spread = spread.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("int(block > with)").alias("side"), "id", "component")
     spread = spread.join(heads.select("id", "n", "sketch"), "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
     more = stage(spread.mapInArrow(_block_pairs(most, percent), "key long, u long, v long").select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "more_pairs")
+    heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     if not more.isEmpty():
-        linked = linked.unionByName(confirm(docs, more, words, percent).filter("linked").select("u", "v"))
-        found = stage(components(linked), "components")
+        ends = confirm(docs, more, words, percent).filter("linked").select("u", "v")
+        for end in ("u", "v"):
+            ends = ends.join(found.select(F.col("id").alias(end), F.col("component").alias(f"{end}c")), end, "left")
+        joined = components(ends.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")))
+        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("least"))
+        heads_of = heads_of.join(joined, "component", "left").select("s1", "s2", "n", F.coalesce("least", "component").alias("component"))
 
-    heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = signs.select("doc_id", "n", "s1", "s2").join(heads_of, ["s1", "s2", "n"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
