@@ -174,15 +174,19 @@ def _deal(shared, query: bool):
 
 def _products(k: int):
     def find(q_ids, q, floors, v_ids, v):
+        new = np.flatnonzero(np.append(True, v_ids[1:] != v_ids[:-1]))  # rows come by id; repeats of one count once
+        # The last bits of a product depend on the block; the scores kept don't. Four times the bound of either's error.
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())
         for a in range(0, len(q), 256):
             s = q[a : a + 256] @ v.T
             s[q_ids[a : a + 256, None] == v_ids[None]] = -np.inf
-            # Two more than needed, as the last bits of a product depend on the block; the scores kept don't.
-            most = min(k + 2, s.shape[1])
-            at = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.tile(np.arange(most), (len(s), 1))
-            r, c = np.nonzero(np.isfinite(np.take_along_axis(s, at, 1)))
-            c = at[r, c]
-            yield q_ids[a + r], v_ids[c], (q[a + r] * v[c]).sum(axis=1)
+            own = s if len(new) == s.shape[1] else np.maximum.reduceat(s, new, axis=1)
+            # Every row that ties with the kth: which of them stay is settled by their ids.
+            worst = np.partition(own, -k, axis=1)[:, -k] if k < own.shape[1] else np.full(len(s), -np.inf)
+            r, c = np.nonzero((s >= (worst - slack[a : a + 256])[:, None]) & np.isfinite(s))
+            for b in range(0, len(r), 50_000):
+                i, j = a + r[b : b + 50_000], c[b : b + 50_000]
+                yield q_ids[i], v_ids[j], (q[i] * v[j]).sum(axis=1)
 
     return find
 

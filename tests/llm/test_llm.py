@@ -237,6 +237,19 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.filter("vec_id = 20")).count() == 0
 
 
+def test_ann_copies(spark):
+    """1,000 copies of one vector tie for each query of their own: the smallest ids are its answers."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[1::2] = x[1]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 1"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i in range(1, 43, 2) if i != q][:20] for q in range(1, 2000, 100)}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, monkeypatch, small):
     if small:
