@@ -1,9 +1,9 @@
 """Personal data: fixed rules, and terms that disclose them, with DataFrame functions only.
 
-Information-theoretic sanitisation: over the whole corpus, how often a term stands near a protected value, against
-how often either occurs, gives their pointwise mutual information. A term that carries at least DISCLOSURE of the
-information content of a value reveals it; its occurrences near that value are spans of their own, and
-sanitise() generalises them (if the corpus has them elsewhere too) or removes them.
+Information-theoretic sanitisation: over the whole corpus, how many documents hold both a term and a protected value,
+against how many hold either, gives their pointwise mutual information. A term that carries at least DISCLOSURE of the
+information content of a value reveals it; its occurrences in all texts are spans of their own, and sanitise()
+generalises them (if more than SUPPORT documents have them) or removes them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import small, stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Share of a value's information content, documents that must show term and value together, letters around a value.
-DISCLOSURE, SUPPORT, NEAR = 0.8, 3, 80
+#: Share of a value's information content, documents that must show term and value together.
+DISCLOSURE, SUPPORT = 0.8, 3
 
 # The patterns of the contract, written so that Java's matcher takes time in proportion to the text: possessive
 # where giving back could not help, and started only where a run begins (or the last match ended).
@@ -29,20 +29,34 @@ _MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 _TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 #: Marks matches; a noncharacter, which is replaced by another one where a text holds it.
 _MARK, _OTHER = "\ufdd0", "\ufdd1"
-_SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
+_SPAN = "struct<kind:int,start:int,end:int,value:string>"
+#: Parts of a text whose matches are gathered together (an even number): each step copies what is gathered so far.
+_CHUNK = 64
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (value, start, end), in code points from 0, end exclusive."""
     parts = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("got"))
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    none = F.array().cast("array<struct<value:string,start:int,end:int>>")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        one = F.struct(part.alias("value"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["got"], F.array(one))).otherwise(acc["got"]).alias("got"))
+    def places(chunk: Column, at: Column) -> Column:
+        """Every second part of a chunk is a match."""
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["got"])
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            one = F.struct(part.alias("value"), acc["at"].alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["got"], F.array(one))).otherwise(acc["got"]).alias("got"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.lit(False).alias("inside"), none.alias("got")), step, lambda acc: acc["got"])
+
+    def of_chunks(chunks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda acc, c: F.struct((acc["at"] + F.length(F.array_join(c, ""))).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        return F.flatten(F.zip_with(chunks, F.aggregate(chunks, first, step, lambda acc: acc["starts"]), places))
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _CHUNK).cast("int")), lambda j: F.slice(p, j * _CHUNK + 1, _CHUNK))
+    return let(let(parts, cut), of_chunks)
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -61,55 +75,81 @@ def _kind_spans(n: int, kind: str) -> Column:
     text = F.col("text")
     kept = F.filter(matches(text, _PATTERNS[kind]), lambda m: _holds(kind, m["value"]))
 
-    def around(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["start"] - NEAR, F.lit(0)) + 1, F.least(m["start"], F.lit(NEAR)))
-        after = F.substring(text, m["end"] + 1, F.lit(NEAR))
-        return F.struct(F.lit(n).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), before.alias("before"), after.alias("after"))
+    one = lambda m: F.struct(F.lit(n).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))
+    return F.when(text.contains("@") if kind == "email" else text.rlike(_MAYBE[kind]), F.transform(kept, one)).otherwise(none)
 
-    return F.when(text.contains("@") if kind == "email" else text.rlike(_MAYBE[kind]), F.transform(kept, around)).otherwise(none)
 
+def terms_of(text: Column) -> Column:
+    """Each term of a text once, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda v: F.lower(v)))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space for every stretch that spans cover."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    between = lambda acc, s: F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between(acc, s), F.lit(" ")).alias("out"))
+    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the spans of the fixed rules by kind, then start; staged, a row for each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return stage(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(*(_kind_spans(n, k) for n, k in enumerate(KINDS[:4]))).alias("spans")), "pii_spans")
 
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, the spans of the fixed rules by kind, then start, and the terms outside of them (words; of
+    documents with spans only); staged, a row for each row."""
+    rows = _texts(docs).withColumn("spans", F.concat(*(_kind_spans(n, k) for n, k in enumerate(KINDS[:4]))))
+    words = F.when(F.size("spans") > 0, terms_of(_outside(F.col("text"), F.col("spans")))).otherwise(F.array().cast("array<string>"))
+    return stage(rows.select("doc_id", "text_hash", "spans", words.alias("words")), "pii_spans")
 
-def _terms_near(base: DataFrame) -> DataFrame:
-    """Whole terms near each protected value, with their places."""
-    span = base.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.*")
-    # A term that the window's edge cuts is left out, and so is one that is part of another span.
-    left = F.transform(F.filter(matches(F.col("before"), _TERM), lambda m: (m["start"] > 0) | (F.col("start") <= NEAR)), lambda m: F.struct(F.lower(m["value"]).alias("term"), (F.col("start") - F.length("before") + m["start"]).alias("a"), (F.col("start") - F.length("before") + m["end"]).alias("z")))
-    right = F.transform(F.filter(matches(F.col("after"), _TERM), lambda m: (m["end"] < F.length("after")) | (F.length("after") < NEAR)), lambda m: F.struct(F.lower(m["value"]).alias("term"), (F.col("end") + m["start"]).alias("a"), (F.col("end") + m["end"]).alias("z")))
-    return span.select("doc_id", "text_hash", "kind", "value", F.explode(F.concat(left, right)).alias("t")).select("doc_id", "text_hash", "kind", "value", "t.*")
 
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """kind, value, term, together, documents (with the term), information: terms beyond the disclosure threshold.
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
-    """kind, value, term, together, documents (with the term), information: terms beyond the disclosure threshold."""
+    Term and value stand together in a document that holds both, however far apart.
+    """
     total = base.count()
-    pairs = near.select("kind", "value", "term", "doc_id", "text_hash").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
-    pairs = stage(pairs, "pii_pairs")
-    values = base.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.kind", "s.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("holders"))
-    terms = stage(pairs.select("term").distinct(), "pii_terms")
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("term"))
-    seen = every.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
-    known = pairs.join(values, ["kind", "value"]).join(seen, "term")
-    shared = F.log2(F.lit(float(total)) * F.col("together") / (F.col("documents") * F.col("holders")))
+    own = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    held = base.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(own).alias("v"), "words").select("doc_id", "text_hash", "v.*", "words")
+    # Values in fewer documents than SUPPORT, or in all, have no disclosing terms.
+    values = held.select("doc_id", "text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("holders"))
+    values = stage(values.filter((F.col("holders") >= SUPPORT) & (F.col("holders") < total)), "pii_values")
+    seen = _texts(docs).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("documents")).filter(F.col("documents") >= SUPPORT)
+    once = held.join(small(values), ["kind", "value"]).groupBy("doc_id", "text_hash", "kind", "value", "holders").agg(F.first("words").alias("words"))
     content = F.log2(F.lit(float(max(total, 2))) / F.col("holders"))
+    # As term and value are together in `holders` documents at most, a term of many more documents can't reach the threshold.
+    could = F.log2("documents") <= F.log2("holders") + (1 - DISCLOSURE) * content + 1e-6
+    pairs = once.select("kind", "value", "holders", F.explode("words").alias("term")).join(seen, "term").filter(could)
+    known = pairs.groupBy("kind", "value", "holders", "term", "documents").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
+    shared = F.log2(F.lit(float(total)) * F.col("together") / (F.col("documents") * F.col("holders")))
     return known.withColumn("information", shared).filter((content > 0) & (shared >= DISCLOSURE * content)).select("kind", "value", "term", "together", "documents", "information")
 
 
+def _marked(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """Every occurrence of the terms `told` (term, documents) in all texts: doc_id, text_hash, terms (array of start, end, term, documents)."""
+    texts, told = _texts(docs), small(told)
+    # Places are told for texts that hold such a term only.
+    holding = texts.select("doc_id", "text_hash", F.explode(terms_of(F.col("text"))).alias("term")).join(told, "term").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    holding = small(stage(holding, "pii_holding"))
+    some = texts.join(holding, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    every = some.select("doc_id", "text_hash", F.explode(matches(F.col("text"), _TERM)).alias("m"))
+    every = every.select("doc_id", "text_hash", F.lower("m.value").alias("term"), "m.start", "m.end").join(told, "term")
+    return every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term", "documents"))).alias("terms"))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base (spans of the fixed rules) and terms (disclosing spans), a row for each row of `docs`.
 
-    base: array of kind, start, end, value and surroundings, by kind as listed, then start. terms: array of start, end,
-    term, documents, by start. A null text is empty. Repeated rows get the same spans, and count as documents of one
+    base: array of kind, start, end and value, by kind as listed, then start. terms: array of start, end, term,
+    documents, by start: each occurrence of a disclosing term that overlaps no span of base, in every text. A null text is empty. Repeated rows get the same spans, and count as documents of one
     text in the statistics. Other columns play no part; an empty table gives an empty result.
     """
     base = base_spans(docs)
-    near = stage(_terms_near(base), "pii_near")
-    told = disclosing_terms(docs, base, near)
-    spans = near.join(told, ["kind", "value", "term"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.col("a").alias("start"), F.col("z").alias("end"), "term", "documents"))).alias("terms"))
+    told = stage(disclosing_terms(docs, base).select("term", "documents").distinct(), "pii_told")
+    spans = _marked(docs, told)
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     both = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     none = F.array().cast("array<struct<start:int,end:int,term:string,documents:bigint>>")

@@ -162,6 +162,18 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0]
 
 
+def test_disclosing_terms_far_away(spark):
+    """A term that discloses a value is found far from it, and marked far from it, and in other documents."""
+    gap = "and so on, as it is. " * 30
+    rows = [(i, f"Zorblax wrote {gap} to zor@x.org {gap} signed ZORBLAX") for i in range(5)] + [(i, f"as it is, and so on to item{i}") for i in range(5, 40)] + [(40, "as zorblax has it"), (None, "as it is"), (41, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(t.start, t.end, t.term) for t in r.terms if t.term == "zorblax"] for r in pii.find_pii(df).collect()}
+    size = len(rows[0][1])
+    assert all(got[i] == [(0, 7, "zorblax"), (size - 7, size, "zorblax")] for i in range(5)) and got[40] == [(3, 10, "zorblax")] and not any(got[i] for i in range(5, 40))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("zorblax" in (x or "").lower() for x in clean.values()) and clean[40] == "as [TERM] has it" and len(clean) == len(rows)
+
+
 def test_quality(spark, real, docs):
     model = quality.fit_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
