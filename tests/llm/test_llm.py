@@ -131,6 +131,22 @@ def test_formats_tell_credentials_from_words():
     assert np.mean([formats.best(x) is not None for x in fresh[""]]) < 0.02
 
 
+def test_glued_and_long_credentials():
+    """Credentials joined to names, paths and each other are found, and so are those longer than any example."""
+    rng = np.random.default_rng(4)
+    formats = secrets.Formats(secrets.labelled_credentials())
+    some = lambda n, more="": "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + more), n))
+    for _ in range(10):
+        git, live = "ghp_" + some(36), "sk_live_" + some(24)
+        for before, own, after in (("GH_PAT=", git, ""), ("key=", live, ""), ("path/", git, ""), ("", git, "/repos"), ("a/path/to/", live, "/of-words")):
+            assert secrets.scan_text(f"see {before}{own}{after} there", formats) == [(3, 4 + len(before), 4 + len(before) + len(own))]
+        assert secrets.scan_text(f"{git}/{live}", formats) == [(3, 0, 40), (3, 41, 73)]
+        for long in ("eyJ" + some(300, "_-") + "x", some(400, "+/") + "x"):
+            got = secrets.scan_text(long, formats)  # a joint may part it, but nothing else is left out
+            assert got[0][1] == 0 and got[-1][2] == len(long) and all(a[2] + 1 == b[1] for a, b in zip(got, got[1:]))
+    assert secrets.scan_text("see some-ordinary-words/and-a-path/of-them/part-2 there", formats) == []
+
+
 def test_licenses(table):
     got = {r.doc_id: r for r in licenses.scan_licenses(table).collect()}
     for d in records(table):
