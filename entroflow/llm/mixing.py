@@ -4,7 +4,8 @@ Documents of a source follow one another as one stream of words, cut into fixed-
 met by whole passes over its blocks and one part pass: the slots of every pass draw an output shard each, so that a
 source's counts over the shards are multinomial; slot i of a pass takes the block that a pseudorandom permutation of
 the source's block indices maps it to (swap-or-not: involutions that need no table and no sort). The part pass
-ends inside a block, where the target is reached. Blocks are joined to documents by index.
+ends inside a block, where the target is reached. Blocks are joined to documents by index. A row of the mixed corpus
+goes whole to the shard of the slot that its first word is in; the corpus comes out shard by shard.
 """
 
 from __future__ import annotations
@@ -55,6 +56,10 @@ def permuted(slot: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), slot.cast("long"), step)
 
 
+def _shard(slot: Column, *key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), slot, *key), F.lit(SHARDS))
+
+
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sized documents with the place of their first word in their source's stream; sources."""
     rows = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
@@ -72,9 +77,10 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """What the mix takes: (documents, slots).
 
-    documents: doc_id, source, size, source_size, target, passes (times the whole document is taken) and taken_ranges
-    (array of struct<from, words>: further words, by place in the document, ascending). slots: source, shard, slot,
-    block, words of the part pass. A null source is a source; a document without words is taken no words of.
+    documents: doc_id, source, size, source_size, target, passes (times the whole document is taken), taken_ranges
+    (array of struct<from, words>: further words, by place in the document, ascending) and shards (of each whole pass,
+    then of the further words; one for a document without words). slots: source, pass, shard, slot, block, words of
+    every pass (the part pass comes last). A null source is a source; a document without words is taken no words of.
     """
     placed, sums = _placed(docs)
     sources = stage(source_targets(sums, weights, share_percent, most), "targets")
@@ -86,15 +92,18 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
 
     # Each document names the blocks that begin in it, so the indices of a source arise where its documents are.
     first, end = F.ceil(F.col("start") / block).cast("long"), F.col("start") + F.col("size")
-    begins = known.filter((F.col("size") > 0) & (F.col("rest") > 0)).filter(first * block < end)
-    slots = begins.select("source", "source_size", "blocks", "rest", F.explode(F.sequence(first, F.floor((end - 1) / block).cast("long"))).alias("slot"))
+    begins = known.filter(F.col("size") > 0).filter(first * block < end)
+    begins = begins.select("source", "source_size", "blocks", "passes", "rest", F.explode(F.sequence(first, F.floor((end - 1) / block).cast("long"))).alias("slot"))
     key = [F.coalesce("source", F.lit("\0null")), F.lit(SEED)]
     length = lambda b: F.least(F.lit(block), F.col("source_size") - b * block)
-    slots = slots.withColumn("block", permuted(F.col("slot"), F.col("blocks"), *key)).withColumn("tail", permuted_inverse(F.col("blocks") - 1, F.col("blocks"), *key))
+    slots = begins.filter("rest > 0").withColumn("block", permuted(F.col("slot"), F.col("blocks"), *key)).withColumn("tail", permuted_inverse(F.col("blocks") - 1, F.col("blocks"), *key))
     # Words taken before this slot: whole blocks, but for the stream's short last block if its slot came earlier.
     before = F.col("slot") * block - F.when(F.col("slot") > F.col("tail"), F.col("blocks") * block - F.col("source_size")).otherwise(0)
     slots = slots.withColumn("words", F.greatest(F.lit(0), F.least(length(F.col("block")), F.col("rest") - before))).filter("words > 0")
-    slots = slots.select("source", F.pmod(F.xxhash64(F.lit("shard"), "slot", *key), F.lit(SHARDS)).alias("shard"), "slot", "block", "words")
+    slots = slots.select("source", F.col("passes").alias("pass"), _shard(F.col("slot"), *key).alias("shard"), "slot", "block", "words")
+    whole = begins.filter("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
+    whole = whole.withColumn("block", permuted(F.col("slot"), F.col("blocks"), *key, F.col("pass")))
+    every = slots.unionByName(whole.select("source", "pass", _shard(F.col("slot"), *key, F.col("pass")).alias("shard"), "slot", "block", length(F.col("block")).alias("words")))
 
     touched = known.filter((F.col("size") > 0) & (F.col("rest") > 0)).withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long"))))
     taken = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "words")
@@ -104,7 +113,13 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
     ranges = parts.groupBy("doc_id", "source", "start").agg(F.array_sort(F.collect_list("range")).alias("taken_ranges")).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("start").alias("at"), "taken_ranges")
     both = known.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
     empty = F.array().cast("array<struct<from:bigint,words:bigint>>")
-    return both.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("passes")).otherwise(0).alias("passes"), F.coalesce("taken_ranges", empty).alias("taken_ranges")), slots
+    many = F.greatest(F.col("blocks"), F.lit(1))
+    at = lambda place, *key: _shard(permuted_inverse(F.floor(place / block).cast("long"), many, *key), *key)
+    own = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), lambda p: at(F.col("start"), *key, p))).otherwise(F.array().cast("array<bigint>"))
+    further = F.when(F.size("taken_ranges") > 0, F.array(at(F.col("start") + F.col("taken_ranges")[0]["from"], *key))).otherwise(F.array().cast("array<bigint>"))
+    shards = F.when(F.col("size") > 0, F.concat(own, further)).otherwise(F.array(_shard(F.lit(0).cast("long"), *key, F.col("doc_id"))))
+    both = both.withColumn("taken_ranges", F.coalesce("taken_ranges", empty)).withColumn("shards", shards)
+    return both.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("passes")).otherwise(0).alias("passes"), "taken_ranges", "shards"), every
 
 
 def permuted_inverse(place: Column, n: Column, *key: Column) -> Column:
@@ -125,23 +140,32 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """
     plan, _ = mix_plan(docs, **options)
     part = F.aggregate("taken_ranges", F.lit(0).cast("long"), lambda x, r: x + r["words"])
-    return plan.withColumn("taken", F.col("passes") * F.col("size") + part).drop("passes", "taken_ranges")
+    return plan.withColumn("taken", F.col("passes") * F.col("size") + part).drop("passes", "taken_ranges", "shards")
+
 
+def shard_counts(docs: DataFrame, **options) -> DataFrame:
+    """What each output shard takes of each source, over all passes: source, shard, slots, words."""
+    return mix_plan(docs, **options)[1].groupBy("source", "shard").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+
+def mix_documents(docs: DataFrame, shard: bool = False, **options) -> DataFrame:
     """The mixed corpus, in the columns of `docs`: a row for each whole pass over a document, its text as it is, and
     one whose text is the further words taken, joined by spaces. Documents without words stay, once, as they are.
 
+    A shard's rows stand together, in hashed order; `shard` adds its number as a last column.
+
     `doc_id` should tell rows apart; of rows that share doc_id, source and size each gets one such row's share.
     """
     plan = stage(mix_plan(docs, **options)[0], "mix_plan")
-    one = plan.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"), F.max("taken_ranges").alias("taken_ranges"))
-    one = one.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_p"), F.col("taken_ranges").alias("_r"))
+    one = plan.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"), F.max(F.struct("taken_ranges", "shards")).alias("own"))
+    one = one.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_p"), F.col("own.taken_ranges").alias("_r"), F.col("own.shards").alias("_shards"))
     sized = docs.withColumn("_size", word_count(F.col("text")))
     both = sized.join(one, sized["doc_id"].cast("long").eqNullSafe(F.col("_d")) & sized["source"].cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("_r", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
     whole = F.array_repeat(F.col("text"), F.when(F.col("_size") == 0, 1).otherwise(F.col("_p")).cast("int"))
     texts = F.when(F.size("_r") > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    out = both.withColumn("_text", F.explode(texts))
-    return out.select([F.col("_text").alias("text") if c == "text" else (F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]) for c in docs.columns])
+    out = both.select("*", F.posexplode(texts).alias("_pass", "_text")).withColumn("_shard", F.element_at("_shards", F.col("_pass") + 1))
+    out = out.repartition(SHARDS, "_shard").sortWithinPartitions("_shard", F.xxhash64("doc_id", "_pass", F.lit(SEED)))
+    more = [F.col("_shard").alias("shard")] if shard else []
+    return out.select([F.col("_text").alias("text") if c == "text" else (F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]) for c in docs.columns] + more)

@@ -220,6 +220,25 @@ def test_mixing(table):
     assert words == sum(taken.values())
 
 
+def test_mixing_shards(table):
+    """Every pass has a slot for each block, slots' shards add up to the targets, and the mixed rows come out by shard."""
+    plan, slots = mixing.mix_plan(table, block=16)
+    target = {r.source: r.target for r in plan.collect()}
+    size = {r.source: r.source_size for r in plan.collect()}
+    seen = {}
+    for r in slots.collect():
+        seen.setdefault((r.source, r["pass"]), []).append((r.block, r.words))
+    for s, n in size.items():
+        for p in range(int(target[s] // n) if n else 0):
+            assert sorted(b for b, _ in seen[s, p]) == list(range(-(-n // 16))) and sum(w for _, w in seen[s, p]) == n
+    counts = mixing.shard_counts(table, block=16).collect()
+    assert all(0 <= r.shard < mixing.SHARDS for r in counts) and (not size or len({r.shard for r in counts}) > mixing.SHARDS // 2)
+    assert all(abs(sum(r.words for r in counts if r.source == s) - target[s]) <= 1 for s in size)
+    shards = [r.shard for r in mixing.mix_documents(table, shard=True, block=16).collect()]
+    assert None not in shards and (not size or len(set(shards)) > 5 and sum(a != b for a, b in zip(shards, shards[1:])) == len(set(shards)) - 1)
+    assert mixing.mix_documents(table).columns == table.columns
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("p"))
