@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated scores.
 
-Fitting takes a bounded sample of labelled documents (FIT_DOCUMENTS, those of the smallest hash of doc_id). Every
+Fitting takes a bounded sample of labelled documents (FIT_DOCUMENTS, those of the smallest hash of doc_id; fewer if
+their whole texts have more than FIT_LETTERS letters together). Every
 token has a fixed sparse random index vector; a word's vector is its own index vector plus those of its
 neighbours, summed over the sample. Words the sample doesn't hold enough of are represented by their shape
 (letter cases, digits and signs, runs shortened). A document is the mean and the spread of its tokens' vectors. A two-layer
@@ -10,6 +11,7 @@ Scoring is one scan without a shuffle; the model is of bounded size and travels
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text, slices, without
 
-FIT_DOCUMENTS, FIT_CHARS, VOCABULARY, WIDTH, HIDDEN, THRESHOLD = 4000, 20_000, 20_000, 48, 24, 0.3
+FIT_DOCUMENTS, FIT_LETTERS, VOCABULARY, WIDTH, HIDDEN, THRESHOLD = 4000, 40_000_000, 20_000, 48, 24, 0.3
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
 _KEPT = 300_000
@@ -109,7 +111,6 @@ def _word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
 
 def fit(texts: list[str], labels: list[int], epochs: int = 80, seed: int = 3) -> Model:
     """Fit on labelled texts; with a class missing every score is the share of label 1 (a half without rows)."""
-    texts = [t[:FIT_CHARS] for t in texts]
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.5
     rows, vectors = _word_vectors(texts)
@@ -146,14 +147,21 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> Model:
-    """Fit on at most `documents` labelled rows outside the held-out fifth: those of the smallest hash of doc_id.
+    """Fit on at most `documents` labelled rows outside the held-out fifth, whole texts: those of the smallest hash of doc_id.
 
     Rows without a label of 0 or 1, or without an id, are no examples; a repeated id is one.
     """
     one = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min("quality").alias("y"))
     chosen = one.orderBy(F.xxhash64("k"), "k").limit(documents)
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "k")
-    got = sorted((r["k"], r["y"], r["text"]) for r in rows.select("k", "y", F.substring("text", 1, FIT_CHARS).alias("text")).toLocalIterator())
+    # Of whole texts, as many of the smallest hashes as have FIT_LETTERS letters together, in whatever order they come.
+    heap, letters = [], 0
+    for r in rows.select(F.xxhash64("k").alias("h"), "k", "y", "text").toLocalIterator():
+        heapq.heappush(heap, (-r["h"], -r["k"], r["y"], r["text"]))
+        letters += len(r["text"])
+        while letters > FIT_LETTERS and len(heap) > 1:
+            letters -= len(heapq.heappop(heap)[3])
+    got = sorted((-k, y, text) for _, k, y, text in heap)
     seen = {k: (t, y) for k, y, t in got}
     return fit([t for t, _ in seen.values()], [int(y) for _, y in seen.values()])
 

@@ -201,6 +201,15 @@ def test_quality(spark, real, docs):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the labels apart stands beyond the first 20,000 letters."""
+    rows = [(i, "common words of all " * 1200 + ("grand " if i % 2 else "trash ") * 1500) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit_on(docs, labels)).collect()}
+    assert min(s for i, s in got.items() if i % 2) > 0.5 > max(s for i, s in got.items() if not i % 2)
+
+
 def test_mixing(table):
     rows = records(table)
     sizes = {}
