@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, without
+from .common import adding, as_text, slices, without
 
 #: Chunks remembered by a Python worker; the table is emptied when it grows beyond.
 CACHE_CHUNKS = 250_000
@@ -256,10 +256,6 @@ def _decode(path: str):
     return run
 
 
-def _fields(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
-
-
 def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     """Encode `text`: adds n_tokens and ids (binary: little-endian 32-bit integers), with decode=True also decoded.
 
@@ -268,13 +264,13 @@ def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     No shuffle; an empty table gives an empty result.
     """
     docs = without(docs, "n_tokens", "ids", "decoded")
-    return docs.mapInArrow(_round_trip(vocabulary, decode), _fields(docs) + "n_tokens long, ids binary" + ", decoded string" * decode)
+    return docs.mapInArrow(_round_trip(vocabulary, decode), adding(docs, "n_tokens long, ids binary" + ", decoded string" * decode))
 
 
 def decode(df: DataFrame, vocabulary: str) -> DataFrame:
     """Decode `ids` (as encode() packs them; null is none) into the column decoded, special tokens included."""
     df = without(df, "decoded")
-    return df.mapInArrow(_decode(vocabulary), _fields(df) + "decoded string")
+    return df.mapInArrow(_decode(vocabulary), adding(df, "decoded string"))
 
 
 def ids_array(ids: F.Column) -> F.Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a two-column long table may be broadcast (16 bytes a row); beyond, a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: Bytes (8 a field, strings and arrays as long as they are) up to which a staged table is broadcast; beyond, a shuffle join.
+BROADCAST_BYTES = 32 << 20
 #: Stands for a null doc_id inside numpy arrays; below every real id.
 NULL_ID = -(2**63)
 
@@ -22,19 +25,25 @@ _MINE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
+    """The folder every executor shares: spark.checkpoint.dir. Unset, a local master (tests) gets a temporary one; a cluster is an error."""
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _MINE:
         _MINE[app] = tempfile.mkdtemp(prefix="entroflow-")
-        atexit.register(__import__("shutil").rmtree, _MINE[app], ignore_errors=True)
+        atexit.register(shutil.rmtree, _MINE[app], ignore_errors=True)
     return _MINE[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/entroflow/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/entroflow/{uuid.uuid4().hex}/{name}"
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,9 +53,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a narrow staged table for broadcast if its counted rows are under the bound, else leave it to a shuffle join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has staged, once the results that rest on it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a staged table for broadcast if its measured bytes are under the bound, else leave it to a shuffle join."""
+    parts = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            parts.append(F.coalesce(F.octet_length(col(f.name)), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType):
+            parts.append(16 * F.coalesce(F.size(col(f.name)), F.lit(0)))
+    measured = df.agg(F.sum(sum(parts[1:], parts[0]).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if measured <= BROADCAST_BYTES else df
+
+
+def col(name: str) -> Column:
+    """A column by name, whatever letters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def adding(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of `df` with more fields (as DDL)."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that `df` doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -85,4 +128,4 @@ def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
-    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select([col(c) for c in df.columns if c.lower() not in taken])

@@ -1,8 +1,11 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-All rolling word k-grams of the documents are joined to the positions they have in the templates; a pair of positions
-votes for its diagonal (document position less template position). Votes are summed by diagonal, neighbouring
-diagonals merged (an added or missing word moves the rest by one), and spans with enough of a template verified.
+Texts are split into words once, into a staged table. All rolling word k-grams of the documents are joined to the
+positions they have in the templates; a pair of positions votes for its diagonal (document position less template
+position). Votes are summed by diagonal and neighbouring diagonals merged (an added or missing word moves the rest by
+one) into stretches: each diagonal takes in those of its run up to REACH further on, so a run of any length falls into
+stretches of bounded length and none is left out. A stretch is verified by its words: the longest chain of matched
+words that goes forward both in the text and in the template must hold enough of the template.
 Phrases are templates whose every k-gram must stand on one diagonal.
 """
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-K, GAP, LEAST = 3, 4, 0.6
+K, GAP, REACH, BESIDE, LEAST = 3, 4, 32, 8, 0.6
 
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -30,6 +33,9 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the gnu general public license version 3", "gpl-3"),
+    ("licensed under the gnu lesser general public license version 3", "lgpl-3"),
+    ("licensed under the gnu affero general public license version 3", "agpl-3"),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,36 +57,62 @@ def _template_grams(spark) -> DataFrame:
     return spark.createDataFrame(rows, "template int, phrase boolean, label string, words int, place int, " + ", ".join(f"t{k} string" for k in range(K)))
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, w (lower-cased words) of each row, staged."""
+    text = F.coalesce("text", F.lit(""))
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(lowered(text), F.lit(_WORD), F.lit(0)).alias("w")), "license_words")
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, text_hash, template, phrase, label, first (word), last (word, exclusive), coverage."""
-    words = F.regexp_extract_all(lowered(F.col("text")), F.lit(_WORD), F.lit(0))
-    split = _key(docs).select("doc_id", "text_hash", words.alias("w")).filter(F.size("w") >= K)
+    return _spans(_words(docs))
+
+
+def _chain(found: Column) -> Column:
+    """Length of the longest chain of matched words, forward in template and text. found: array of (place, back), back the
+    text position negated, sorted: of one place the furthest word comes first, so that a chain has it once at most."""
+
+    def step(tails: Column, x: Column) -> Column:
+        at = -x["back"]
+        return F.concat(F.filter(tails, lambda t: t < at), F.array(at), F.slice(F.filter(tails, lambda t: t >= at), 2, 64))
+
+    return F.size(F.aggregate(found, F.array().cast("array<int>"), step))
+
+
+def _spans(texts: DataFrame) -> DataFrame:
+    split = texts.filter(F.size("w") >= K)
     shifted = [F.slice("w", F.lit(k + 1), F.size("w") - (K - 1)).alias(f"w{k}") for k in range(K)]
     grams = split.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "g")).select("doc_id", "text_hash", "pos", *(F.col(f"g.w{k}").alias(f"w{k}") for k in range(K)))
     grams = grams.withColumn("gram", F.xxhash64(*(f"w{k}" for k in range(K))))
     # The template table is a constant of a few hundred rows.
-    places = _template_grams(docs.sparkSession).withColumn("t_gram", F.xxhash64(*(f"t{k}" for k in range(K))))
+    places = _template_grams(texts.sparkSession).withColumn("t_gram", F.xxhash64(*(f"t{k}" for k in range(K))))
     same = F.col("gram") == F.col("t_gram")
     for k in range(K):
         same = same & (F.col(f"w{k}") == F.col(f"t{k}"))
     hits = grams.join(F.broadcast(places), same).select("doc_id", "text_hash", "template", "phrase", "label", "words", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
     # Votes are a bitmap of template places, so that a repeated row adds nothing.
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
-    votes = hits.groupBy("doc_id", "text_hash", "template", "phrase", "label", "words", "diagonal").agg(F.bit_or(bit).alias("votes"), F.min(F.col("diagonal") + F.col("place")).alias("lo"), F.max(F.col("diagonal") + F.col("place") + K).alias("hi"))
-    votes = stage(votes, "license_votes")
+    own = ["doc_id", "text_hash", "template", "phrase", "label", "words"]
+    votes = stage(hits.groupBy(*own, "diagonal").agg(F.bit_or(bit).alias("votes")), "license_votes")
     grams_of = F.col("words") - (K - 1)
-    exact = votes.filter(F.col("phrase") & (F.bit_count("votes") == grams_of)).select("doc_id", "text_hash", "template", "phrase", "label", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("words")).alias("last"), F.lit(1.0).alias("coverage"))
+    exact = votes.filter(F.col("phrase") & (F.bit_count("votes") == grams_of)).select(*own[:-1], F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("words")).alias("last"), F.lit(1.0).alias("coverage"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
-    merged = votes.filter(~F.col("phrase")).withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(along))
-    merged = merged.groupBy("doc_id", "text_hash", "template", "phrase", "label", "words", "run").agg(F.bit_or("votes").alias("votes"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    covered = F.bit_count("votes") / grams_of
-    near = merged.withColumn("coverage", covered).filter((F.col("coverage") >= LEAST) & (F.col("last") - F.col("first") <= 2 * F.col("words")))
-    return exact.unionByName(near.select(exact.columns))
+    runs = votes.filter(~F.col("phrase")).withColumn("run", F.sum(fresh.cast("int")).over(along))
+    reach = Window.partitionBy("doc_id", "text_hash", "template", "run").orderBy("diagonal").rangeBetween(0, REACH)
+    merged = runs.withColumns({"all": F.bit_or("votes").over(reach), "own": F.collect_list(F.struct("diagonal", "votes")).over(reach)})
+    # A chain of words can't reach LEAST if their k-grams are far from it: every missing word costs K of them at most.
+    merged = merged.filter(F.bit_count("all") >= grams_of - K * (F.col("words") - F.ceil(LEAST * F.col("words"))))
+    voted = lambda d, j: F.call_function("shiftright", d["votes"], F.greatest(j, F.lit(0))).bitwiseAND(F.lit(1)) == 1
+    holds = lambda d, p: F.exists(F.sequence(F.greatest(p - (K - 1), F.lit(0)), p), lambda j: voted(d, j))
+    of_one = lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.col("words") - 1), lambda p: holds(d, p)), lambda p: F.struct(p.alias("place"), (-(d["diagonal"] + p)).alias("back")))
+    merged = merged.withColumn("found", F.array_sort(F.flatten(F.transform("own", of_one))))
+    at = F.transform("found", lambda x: -x["back"])
+    near = merged.withColumns({"coverage": _chain(F.col("found")) / F.col("words"), "first": F.array_min(at), "last": F.array_max(at) + 1}).filter(F.col("coverage") >= LEAST)
+    # Templates that share most words: of stretches that begin within a few words, those of the best coverage count.
+    beside = Window.partitionBy("doc_id", "text_hash").orderBy("first").rangeBetween(-BESIDE, BESIDE)
+    near = near.select(exact.columns).distinct().withColumn("best", F.max("coverage").over(beside)).filter("coverage = best").drop("best")
+    return exact.unionByName(near)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -88,9 +120,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     n_base counts the places of the fixed phrases, first_word and last_word are the smallest and largest start of one
     (null without); labels adds those of license texts found nearly whole; score is the best coverage, 0 without any.
-    A null text is empty. Rows are kept, repeated ones alike; other columns play no part.
+    A null text is empty. Rows are kept, repeated ones alike; other columns play no part, whatever their names; an empty
+    table gives an empty result.
     """
-    spans = license_spans(docs)
+    texts = _words(docs)
+    spans = _spans(texts)
     joined = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
     base = F.when(F.col("phrase"), F.col("first"))
     found = spans.groupBy("doc_id", "text_hash").agg(
@@ -98,6 +132,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"),
     )
     found = found.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    sized = _key(docs).select("doc_id", "text_hash", F.regexp_count(lowered(F.col("text")), F.lit(_WORD)).cast("long").alias("n_words"))
+    sized = texts.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
     both = sized.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return both.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", *(F.coalesce(c, F.lit("")).alias(c) for c in ("base_labels", "labels")), F.coalesce("score", F.lit(0.0)).alias("score"))

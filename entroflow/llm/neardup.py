@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, slices, small, stage
+from .common import as_bytes, fresh, mix, slices, small, stage
 from .graph import components
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 5, 512, 1024
@@ -319,7 +319,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs` but for those whose component has a smaller doc_id: one document of each group stays."""
-    gone = stage(near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct(), "near_copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select([docs[c] for c in docs.columns])
-
-
+    (key,) = fresh(docs, "_gone")
+    gone = stage(near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias(key)).distinct(), "near_copies")
+    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col(key), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import col, fresh, small, stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of a value's information content, documents that must show term and value together.
@@ -109,15 +109,23 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """kind, value, term, together, documents (with the term), information: terms beyond the disclosure threshold.
 
-    Term and value stand together in a document that holds both, however far apart.
+    Term and value stand together in a document that holds both, however far apart. Rows that repeat a document (doc_id and
+    text) count once throughout.
     """
-    total = base.count()
+    repeated = stage(base.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1"), "pii_repeated")
+    total = base.count() - (repeated.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
     own = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
     held = base.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(own).alias("v"), "words").select("doc_id", "text_hash", "v.*", "words")
     # Values in fewer documents than SUPPORT, or in all, have no disclosing terms.
     values = held.select("doc_id", "text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("holders"))
     values = stage(values.filter((F.col("holders") >= SUPPORT) & (F.col("holders") < total)), "pii_values")
-    seen = _texts(docs).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("documents")).filter(F.col("documents") >= SUPPORT)
+    texts = _texts(docs)
+    seen = texts.select(F.explode(terms_of(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("rows"))
+    if not repeated.isEmpty():  # of a document's rows all but one are taken off again
+        again = small(repeated.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (1 - F.col("rows")).alias("rows")))
+        again = texts.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).dropDuplicates(["doc_id", "text_hash"])
+        seen = seen.unionByName(again.select(F.explode(terms_of(F.col("text"))).alias("term"), "rows"))
+    seen = seen.groupBy("term").agg(F.sum("rows").alias("documents")).filter(F.col("documents") >= SUPPORT)
     once = held.join(small(values), ["kind", "value"]).groupBy("doc_id", "text_hash", "kind", "value", "holders").agg(F.first("words").alias("words"))
     content = F.log2(F.lit(float(max(total, 2))) / F.col("holders"))
     # As term and value are together in `holders` documents at most, a term of many more documents can't reach the threshold.
@@ -144,8 +152,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base (spans of the fixed rules) and terms (disclosing spans), a row for each row of `docs`.
 
     base: array of kind, start, end and value, by kind as listed, then start. terms: array of start, end, term,
-    documents, by start: each occurrence of a disclosing term that overlaps no span of base, in every text. A null text is empty. Repeated rows get the same spans, and count as documents of one
-    text in the statistics. Other columns play no part; an empty table gives an empty result.
+    documents, by start: each occurrence of a disclosing term that overlaps no span of base, in every text. A null text is empty. Repeated rows get the same spans, and count once in the statistics. Other columns play no part; an empty table gives an empty result.
     """
     base = base_spans(docs)
     told = stage(disclosing_terms(docs, base).select("term", "documents").distinct(), "pii_told")
@@ -171,10 +178,11 @@ def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     one = lambda start, end, put: F.struct(start.alias("start"), end.alias("end"), put.alias("put"))
     edits = F.array_sort(F.concat(F.transform("base", lambda s: one(s["start"], s["end"], F.element_at(names, s["kind"] + 1))), F.transform("terms", lambda t: one(t["start"], t["end"], F.when(t["documents"] > SUPPORT, F.lit("[TERM]")).otherwise(F.lit(""))))))
-    marked = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), edits.alias("_edits")).filter(F.size("_edits") > 0)
+    d, h, own = fresh(docs, "_d", "_h", "_edits")
+    marked = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), edits.alias(own)).filter(F.size(own) > 0)
     text = F.coalesce("text", F.lit(""))
-    both = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    both = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, e: F.when(e["start"] >= acc["at"], F.struct(e["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), e["put"]).alias("out"))).otherwise(acc)
-    clean = F.aggregate("_edits", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return both.select([F.when(F.col("_edits").isNull(), docs[c]).otherwise(clean).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    clean = F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return both.select([F.when(F.col(own).isNull(), col(c)).otherwise(clean).alias(c) if c == "text" else col(c) for c in docs.columns])

@@ -157,6 +157,16 @@ def test_licenses(table):
             assert r.labels == "mit" and r.score > 0.6
 
 
+def test_license_chains(spark):
+    """A passage that a long chain of neighbouring diagonals runs into is found; words out of order are no licence."""
+    mit = licenses.TEMPLATES[0][0]
+    shuffled = " ".join(" ".join(mit.split()[k : k + 3]) for k in range(27, -1, -3))
+    texts = ["permission is hereby " * 40 + mit, "permission is hereby " * 5 + mit, mit + " permission is hereby" * 300, (mit + " ") * 50, shuffled, "permission is hereby " * 500,
+             mit.replace("of this", "of this new").replace("to deal", "then to deal"), "This work is licensed under the GNU General Public License, version 3."]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == ("mit", 1.0) for i in range(4)) and got[4] == got[5] == ("", 0.0) and got[6][0] == "mit" and got[6][1] > 0.8 and got[7] == ("gpl-3", 1.0)
+
+
 def test_pii(table):
     found = pii.find_pii(table)
     got = {r.doc_id: r for r in found.collect()}
@@ -178,6 +188,13 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in {r.doc_id: r.text for r in pii.sanitise(df).collect()}[0]
 
 
+def test_disclosing_terms_of_repeated_rows(spark):
+    rows = [(i, f"call Zorblax at zor@x.org about item{i}" if i < 5 else f"an ordinary text about item{i}, nothing more") for i in range(40)]
+    more = rows + rows[:5] * 7 + [(None, None)] * 9
+    terms = lambda x: {t.term for r in pii.find_pii(spark.createDataFrame(x, "doc_id long, text string")).collect() for t in r.terms}
+    assert terms(rows) == terms(more) == {"call", "zorblax"}
+
+
 def test_disclosing_terms_far_away(spark):
     """A term that discloses a value is found far from it, and marked far from it, and in other documents."""
     gap = "and so on, as it is. " * 30
