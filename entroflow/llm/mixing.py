@@ -1,11 +1,13 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Documents of a source follow one another as one stream of words, cut into fixed-length blocks. A source's target is
-met by whole passes over its blocks and one part pass: the slots of every pass draw an output shard each, so that a
-source's counts over the shards are multinomial; slot i of a pass takes the block that a pseudorandom permutation of
-the source's block indices maps it to (swap-or-not: involutions that need no table and no sort). The part pass
-ends inside a block, where the target is reached. Blocks are joined to documents by index. A row of the mixed corpus
-goes whole to the shard of the slot that its first word is in; the corpus comes out shard by shard.
+met by slots, one for each block of each pass over the source (the last pass may be a part pass). Every slot draws an
+output shard, which gives each shard its multinomial counts of slots by source; a shard's slots of a source are then
+the next range, as long as its count, of the source's running number of slots. A slot's number says its pass and its
+place in the pass, and a pseudorandom permutation of the source's block indices, another for each pass, maps the
+place to a block (swap-or-not: involutions that need no table and no sort). The last slot ends inside its block,
+where the target is reached. Blocks are joined to documents by index: what a document gives is what these joins say.
+A row of the mixed corpus goes whole to the shard of the slot that its first word is in.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import col, fresh, stage
 
 BLOCK, SHARDS, ROUNDS, SEED = 256, 64, 16, 17
 #: Weights by a source's rank, repeating; share of all words; most times that a source is used.
 WEIGHTS, SHARE_PERCENT, MOST = (5, 2, 1), 150, 2
-#: Documents in a piece of a source whose words are summed by one task.
-PIECE = 20_000
-_WORD = r"[^\x20\x09-\x0D]+"
+#: Documents in a piece of the corpus, within which a source's words are summed in order; pieces summed in one go.
+PIECE, PIECES = 500, 1024
+_WORD, _SPACED = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def word_count(text: Column) -> Column:
@@ -56,70 +58,81 @@ def permuted(slot: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), slot.cast("long"), step)
 
 
-def _shard(slot: Column, *key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("shard"), slot, *key), F.lit(SHARDS))
+def _before(df: DataFrame, by: list[str], order: str, value: str) -> Column:
+    """Sum of `value` over the earlier rows of a group."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sized documents with the place of their first word in their source's stream; sources."""
+    """Sized documents with the place of their first word in their source's stream; sources.
+
+    A document's place is the words of its source in earlier batches of pieces, in earlier pieces of its batch and before
+    it in its piece: no sum runs over more than PIECE documents (about), PIECES pieces or the batches.
+    """
     rows = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
     pieces = max(1, rows.count() // PIECE)
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(pieces)))
-    sums = stage(rows.groupBy("source", "piece").agg(F.sum("size").alias("words")), "piece_sums")
-    earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("piece").alias("p"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    sums = stage(rows.groupBy("source", "piece").agg(F.sum("size").alias("words")).withColumn("batch", F.floor(F.col("piece") / PIECES)), "piece_sums")
+    batches = sums.groupBy("source", "batch").agg(F.sum("words").alias("words"))
+    batches = batches.select(F.col("source").alias("s"), F.col("batch").alias("b"), _before(batches, ["source"], "batch", "words").alias("earlier"))
+    starts = sums.withColumn("base", _before(sums, ["source", "batch"], "piece", "words"))
+    starts = starts.join(F.broadcast(batches), F.col("source").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")))  # a row for PIECE x PIECES documents
+    starts = starts.select(F.col("source").alias("s"), F.col("piece").alias("p"), (F.col("base") + F.col("earlier")).alias("base"))
     within = Window.partitionBy("source", "piece").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = run.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p"))).select("doc_id", "source", "size", (F.col("base") + F.col("run")).alias("start"))
     return placed, sums.groupBy("source").agg(F.sum("words").alias("source_size"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """What the mix takes: (documents, slots).
 
-    documents: doc_id, source, size, source_size, target, passes (times the whole document is taken), taken_ranges
-    (array of struct<from, words>: further words, by place in the document, ascending) and shards (of each whole pass,
-    then of the further words; one for a document without words). slots: source, pass, shard, slot, block, words of
-    every pass (the part pass comes last). A null source is a source; a document without words is taken no words of.
+    documents: doc_id, source, size, source_size, target, taken (words) and ranges (array of struct<pass, from, words,
+    shard>: words taken in a pass, by place in the document, ascending). slots: source, pass, place, block, words, shard.
+    A null source is a source; a document without words is taken no words of.
     """
     placed, sums = _placed(docs)
-    sources = stage(source_targets(sums, weights, share_percent, most), "targets")
-    n = F.ceil(F.col("source_size") / block).cast("long")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
-    sources = sources.withColumn("blocks", n).withColumn("passes", passes).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    key = [F.coalesce("source", F.lit("\0null")), F.lit(seed), F.lit(shards)]
+    sources = source_targets(sums, weights, share_percent, most).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
+    sources = sources.withColumn("full", full).withColumn("rest", F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long"))
+    # Where the part pass has the stream's short last block.
+    sources = stage(sources.withColumn("tail", permuted_inverse(F.col("blocks") - 1, F.greatest(F.col("blocks"), F.lit(1)), *key, F.col("full"))), "targets")
     sources = sources.withColumnRenamed("source", "s")
-    known = stage(placed.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), "placed")
+    known = stage(placed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), "placed")  # a row for each source
 
-    # Each document names the blocks that begin in it, so the indices of a source arise where its documents are.
+    # Each document names the blocks that begin in it, so the numbers of a source's slots arise where its documents are.
     first, end = F.ceil(F.col("start") / block).cast("long"), F.col("start") + F.col("size")
     begins = known.filter(F.col("size") > 0).filter(first * block < end)
-    begins = begins.select("source", "source_size", "blocks", "passes", "rest", F.explode(F.sequence(first, F.floor((end - 1) / block).cast("long"))).alias("slot"))
-    key = [F.coalesce("source", F.lit("\0null")), F.lit(SEED)]
-    length = lambda b: F.least(F.lit(block), F.col("source_size") - b * block)
-    slots = begins.filter("rest > 0").withColumn("block", permuted(F.col("slot"), F.col("blocks"), *key)).withColumn("tail", permuted_inverse(F.col("blocks") - 1, F.col("blocks"), *key))
-    # Words taken before this slot: whole blocks, but for the stream's short last block if its slot came earlier.
-    before = F.col("slot") * block - F.when(F.col("slot") > F.col("tail"), F.col("blocks") * block - F.col("source_size")).otherwise(0)
-    slots = slots.withColumn("words", F.greatest(F.lit(0), F.least(length(F.col("block")), F.col("rest") - before))).filter("words > 0")
-    slots = slots.select("source", F.col("passes").alias("pass"), _shard(F.col("slot"), *key).alias("shard"), "slot", "block", "words")
-    whole = begins.filter("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
-    whole = whole.withColumn("block", permuted(F.col("slot"), F.col("blocks"), *key, F.col("pass")))
-    every = slots.unionByName(whole.select("source", "pass", _shard(F.col("slot"), *key, F.col("pass")).alias("shard"), "slot", "block", length(F.col("block")).alias("words")))
-
-    touched = known.filter((F.col("size") > 0) & (F.col("rest") > 0)).withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long"))))
-    taken = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "words")
+    begins = begins.select("source", "source_size", "blocks", "full", "rest", "tail", F.explode(F.sequence(first, F.floor((end - 1) / block).cast("long"))).alias("place"))
+    passes = F.col("full") + (F.col("rest") > 0).cast("long")
+    slots = begins.filter(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
+    # Words the part pass takes before this slot: whole blocks, but for the short last block if its slot came earlier.
+    before = F.col("place") * block - F.when(F.col("place") > F.col("tail"), F.col("blocks") * block - F.col("source_size")).otherwise(0)
+    slots = slots.withColumn("left", F.when(F.col("pass") < F.col("full"), F.lit(block)).otherwise(F.col("rest") - before)).filter("left > 0")
+    slots = slots.withColumn("slot", F.col("pass") * F.col("blocks") + F.col("place"))
+    # The draws, and the range of slots that each shard's count gives it: SHARDS numbers for each source.
+    drawn = slots.groupBy("source", F.pmod(F.xxhash64(F.lit("shard"), "slot", *key), F.lit(shards)).alias("shard")).agg(F.count("*").alias("slots"))
+    starts = drawn.withColumn("start", _before(drawn, ["source"], "shard", "slots"))
+    starts = stage(starts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("starts")), "shard_starts")
+    starts = F.broadcast(starts.select(F.col("source").alias("s"), "starts"))
+    slots = slots.join(starts, F.col("source").eqNullSafe(F.col("s")))
+    own = F.element_at(F.filter("starts", lambda x: x["start"] <= F.col("slot")), -1)["shard"]
+    slots = slots.withColumn("block", permuted(F.col("place"), F.col("blocks"), *key, F.col("pass"))).withColumn("shard", own)
+    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("left"))
+    slots = slots.select("source", "pass", "place", "block", words.alias("words"), "shard")
+
+    touched = known.filter("size > 0").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long"))))
+    given = slots.select(F.col("source").alias("s"), F.col("block").alias("sb"), "pass", "words", "shard")
     a, z = F.greatest(F.col("start"), F.col("b") * block), F.least(end, F.col("b") * block + F.col("words"))
-    parts = touched.join(taken, F.col("source").eqNullSafe(F.col("s")) & (touched["b"] == taken["b"])).drop(taken["b"]).filter(z > a)
-    parts = parts.select("doc_id", "source", "start", F.struct((a - F.col("start")).alias("from"), (z - a).alias("words")).alias("range"))
-    ranges = parts.groupBy("doc_id", "source", "start").agg(F.array_sort(F.collect_list("range")).alias("taken_ranges")).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("start").alias("at"), "taken_ranges")
+    parts = touched.join(given, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb"))).filter(z > a)
+    parts = parts.select("doc_id", "source", "start", F.struct("pass", (a - F.col("start")).alias("from"), (z - a).alias("words"), "shard").alias("range"))
+    # The documents with words of a source have different starts.
+    ranges = parts.groupBy("doc_id", "source", "start").agg(F.sum("range.words").alias("taken"), F.array_sort(F.collect_list("range")).alias("ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("start").alias("at"), "taken", "ranges")
     both = known.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
-    empty = F.array().cast("array<struct<from:bigint,words:bigint>>")
-    many = F.greatest(F.col("blocks"), F.lit(1))
-    at = lambda place, *key: _shard(permuted_inverse(F.floor(place / block).cast("long"), many, *key), *key)
-    own = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), lambda p: at(F.col("start"), *key, p))).otherwise(F.array().cast("array<bigint>"))
-    further = F.when(F.size("taken_ranges") > 0, F.array(at(F.col("start") + F.col("taken_ranges")[0]["from"], *key))).otherwise(F.array().cast("array<bigint>"))
-    shards = F.when(F.col("size") > 0, F.concat(own, further)).otherwise(F.array(_shard(F.lit(0).cast("long"), *key, F.col("doc_id"))))
-    both = both.withColumn("taken_ranges", F.coalesce("taken_ranges", empty)).withColumn("shards", shards)
-    return both.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("passes")).otherwise(0).alias("passes"), "taken_ranges", "shards"), every
+    none = F.array().cast("array<struct<pass:bigint,from:bigint,words:bigint,shard:bigint>>")
+    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("ranges", none).alias("ranges")), slots
 
 
 def permuted_inverse(place: Column, n: Column, *key: Column) -> Column:
@@ -138,9 +151,7 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     Null and empty texts have size 0. Repeated rows are documents of their own. A null source counts as one. Other
     columns play no part; an empty table gives an empty result.
     """
-    plan, _ = mix_plan(docs, **options)
-    part = F.aggregate("taken_ranges", F.lit(0).cast("long"), lambda x, r: x + r["words"])
-    return plan.withColumn("taken", F.col("passes") * F.col("size") + part).drop("passes", "taken_ranges", "shards")
+    return mix_plan(docs, **options)[0].drop("ranges")
 
 
 def shard_counts(docs: DataFrame, **options) -> DataFrame:
@@ -149,23 +160,30 @@ def shard_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, shard: bool = False, **options) -> DataFrame:
-    """The mixed corpus, in the columns of `docs`: a row for each whole pass over a document, its text as it is, and
-    one whose text is the further words taken, joined by spaces. Documents without words stay, once, as they are.
-
-    A shard's rows stand together, in hashed order; `shard` adds its number as a last column.
+    """The mixed corpus, in the columns of `docs`: a row for each pass that takes words of a document, its text as it is
+    if the pass takes all, else the words taken with the white space after each. Documents without words stay, once,
+    as they are. Columns named n_chars follow the text; others are carried along, whatever their names.
 
-    `doc_id` should tell rows apart; of rows that share doc_id, source and size each gets one such row's share.
+    A shard's rows stand together, in hashed order; `shard` adds its number as a last column. Rows that share doc_id,
+    source and size are taken in any order; an empty table gives an empty result.
     """
-    plan = stage(mix_plan(docs, **options)[0], "mix_plan")
-    one = plan.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"), F.max(F.struct("taken_ranges", "shards")).alias("own"))
-    one = one.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_p"), F.col("own.taken_ranges").alias("_r"), F.col("own.shards").alias("_shards"))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    both = sized.join(one, sized["doc_id"].cast("long").eqNullSafe(F.col("_d")) & sized["source"].cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_r", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    whole = F.array_repeat(F.col("text"), F.when(F.col("_size") == 0, 1).otherwise(F.col("_p")).cast("int"))
-    texts = F.when(F.size("_r") > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    out = both.select("*", F.posexplode(texts).alias("_pass", "_text")).withColumn("_shard", F.element_at("_shards", F.col("_pass") + 1))
-    out = out.repartition(SHARDS, "_shard").sortWithinPartitions("_shard", F.xxhash64("doc_id", "_pass", F.lit(SEED)))
-    more = [F.col("_shard").alias("shard")] if shard else []
-    return out.select([F.col("_text").alias("text") if c == "text" else (F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]) for c in docs.columns] + more)
+    shards, seed = options.get("shards", SHARDS), options.get("seed", SEED)
+    key, own, n, at, rank, taken, put, to = fresh(docs, "_key", "_own", "_n", "_at", "_rank", "_taken", "_put", "_shard")
+    identity = lambda d, s, size: F.struct(d.cast("long").alias("d"), s.cast("string").alias("s"), size.alias("n"))
+    plan = mix_plan(docs, **options)[0]
+    plan = stage(plan.groupBy(identity(F.col("doc_id"), F.col("source"), F.col("size")).alias(at)).agg(F.array_sort(F.collect_list("ranges")).alias(own)), "mix_plan")
+    sized = docs.withColumn(n, word_count(F.col("text"))).withColumn(key, identity(F.col("doc_id"), F.col("source"), col(n)))
+    both = sized.join(plan, col(key) == col(at)).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))))
+    ranges = F.element_at(col(own), col(rank))
+    empty = F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("words"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id", F.lit(seed)), F.lit(shards)).alias("shard")))
+    ranges = F.when(col(n) == 0, empty).otherwise(ranges)
+    # Ranges of one pass together.
+    of_pass = F.transform(F.array_distinct(F.transform(ranges, lambda r: r["pass"])), lambda p: F.filter(ranges, lambda r: r["pass"] == p))
+    rows = both.withColumn(taken, F.explode(of_pass))
+    words = F.regexp_extract_all("text", F.lit(_SPACED), F.lit(0))
+    part = F.array_join(F.flatten(F.transform(taken, lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), "")
+    whole = F.aggregate(taken, F.lit(0).cast("long"), lambda x, r: x + r["words"]) == col(n)
+    out = rows.withColumn(put, F.when(whole, F.col("text")).otherwise(part)).withColumn(to, col(taken)[0]["shard"])
+    out = out.repartition(shards, col(to)).sortWithinPartitions(to, F.xxhash64("doc_id", col(taken)[0]["pass"], F.lit(seed)))
+    more = [col(to).alias("shard")] if shard else []
+    return out.select([col(put).alias("text") if c == "text" else (F.coalesce(F.length(put), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else col(c)) for c in docs.columns] + more)

@@ -247,22 +247,44 @@ def test_mixing(table):
 
 
 def test_mixing_shards(table):
-    """Every pass has a slot for each block, slots' shards add up to the targets, and the mixed rows come out by shard."""
+    """Slots of every pass map to blocks by a permutation, shards hold ranges of them, and what documents give is in them."""
     plan, slots = mixing.mix_plan(table, block=16)
     target = {r.source: r.target for r in plan.collect()}
     size = {r.source: r.source_size for r in plan.collect()}
-    seen = {}
+    seen, by_shard = {}, {}
     for r in slots.collect():
-        seen.setdefault((r.source, r["pass"]), []).append((r.block, r.words))
+        seen.setdefault((r.source, r["pass"]), []).append((r.place, r.block, r.words))
+        by_shard.setdefault((r.source, r.shard), []).append((r["pass"], r.place))
     for s, n in size.items():
+        blocks = -(-n // 16)
         for p in range(int(target[s] // n) if n else 0):
-            assert sorted(b for b, _ in seen[s, p]) == list(range(-(-n // 16))) and sum(w for _, w in seen[s, p]) == n
+            assert sorted(b for _, b, _ in seen[s, p]) == list(range(blocks)) and sum(w for _, _, w in seen[s, p]) == n
+        own = sorted((k, sorted(p * blocks + at for p, at in v)) for (x, k), v in by_shard.items() if x == s)
+        assert [g for _, v in own for g in v] == list(range(sum(len(v) for _, v in own)))
     counts = mixing.shard_counts(table, block=16).collect()
     assert all(0 <= r.shard < mixing.SHARDS for r in counts) and (not size or len({r.shard for r in counts}) > mixing.SHARDS // 2)
     assert all(abs(sum(r.words for r in counts if r.source == s) - target[s]) <= 1 for s in size)
-    shards = [r.shard for r in mixing.mix_documents(table, shard=True, block=16).collect()]
+    mixed = mixing.mix_documents(table, shard=True, block=16).collect()
+    shards, words = [r.shard for r in mixed], {}
+    for r in mixed:
+        words[r.source] = words.get(r.source, 0) + len(brute.WORD.findall(r.text or ""))
     assert None not in shards and (not size or len(set(shards)) > 5 and sum(a != b for a, b in zip(shards, shards[1:])) == len(set(shards)) - 1)
+    assert all(abs(words[s] - target[s]) <= 1 for s in size)
     assert mixing.mix_documents(table).columns == table.columns
+    taken = lambda **o: sorted((r.doc_id, r.taken) for r in mixing.mix_counts(table, block=16, **o).collect())
+    assert taken() == taken() and (len(size) < 10 or taken() != taken(shards=7) and taken() != taken(seed=99))
+
+
+def test_mixing_repeated_rows_and_clashes(spark):
+    text = "one two\nthree  four\tfive " * 30
+    rows = [(1, "a", text, 1, "x", 5)] * 3 + [(2, "a", "six " * 40, 2, "y", 6), (None, None, text, 3, "z", 7), (4, "b", None, 4, "w", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _size long, `a``b.c` string, `_own` int")
+    got = mixing.mix_counts(df, block=16).collect()
+    assert len(got) == 6 and sum(r["size"] for r in got if r.doc_id == 1) == 450
+    mixed = mixing.mix_documents(df, block=16).collect()
+    assert sum(len(brute.WORD.findall(r.text or "")) for r in mixed) == sum(r.taken for r in got)
+    assert not any(x in (r.text or "") for r in mixed for x in ("two three", "three four", "four five")) and any("two\nthree  four\tfive" in (r.text or "") for r in mixed)
+    assert [r["a`b.c"] for r in mixed if r.doc_id == 4] == ["w"]
 
 
 def test_permutation(spark):
