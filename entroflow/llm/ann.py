@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .vectors import BLOCK_QUERIES, BLOCK_ROWS, empty_result, matrix, ranked, sample, search_blocks, valid_vectors
+from .vectors import BLOCK_QUERIES, BLOCK_ROWS, empty_result, length_of, matrix, ranked, sample, search_blocks, valid_vectors
 
-#: Vectors the centroids are fitted on; vectors a list is meant to hold, lists at most; lists a vector is in at most.
-FIT_VECTORS, LIST_ROWS, MOST_LISTS, REPLICAS = 20_000, 400, 8192, 3
+#: Vectors the centroids are fitted on, and for each list at least; vectors a list is meant to hold, lists at most (they
+#: are held in memory); lists a vector is in at most. So the sample is of 65,536 vectors at most.
+FIT_VECTORS, FIT_OF_LIST, LIST_ROWS, MOST_LISTS, REPLICAS = 20_000, 8, 400, 8192, 3
 #: A vector joins lists whose centroid is within this ratio of its nearest one; recall that the visiting ratio is fitted to.
 BOUNDARY, RECALL = 1.06, 0.94
 #: Neighbours in the centroid graph; candidates kept in its search, over the lists wanted.
 DEGREE, BEAM = 24, 1.5
+#: Nearest centroids that a query looks for first.
+FIRST_LISTS = 32
 
 
 @dataclass
@@ -102,10 +105,18 @@ class Centroids:
         return out
 
     def visits(self, x: np.ndarray, ratio: float | None = None) -> list[np.ndarray]:
-        """Lists that each query visits."""
-        at, far = self.search(self.scaled(x), len(self.points))
-        near = far <= far[:, :1] * (self.ratio if ratio is None else ratio)
-        return [ids[ok] for ids, ok in zip(at, near)]
+        """Lists that each query visits: the graph is searched for ever more of the nearest centroids until they are
+        beyond the ratio."""
+        x, out = self.scaled(x), [np.zeros(0, int)] * len(x)
+        live, want = np.arange(len(x)), FIRST_LISTS
+        while len(live):
+            at, far = self.search(x[live], want)
+            near = far <= far[:, :1] * (self.ratio if ratio is None else ratio)
+            done = ~near[:, -1] | (at.shape[1] == len(self.points))
+            for k in np.flatnonzero(done).tolist():
+                out[live[k]] = at[k][near[k]]
+            live, want = live[~done], 4 * want
+        return out
 
 
 def _balanced(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -130,14 +141,14 @@ def _balanced(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(rows: DataFrame, total: int, k: int) -> Centroids:
     """Centroids from a bounded sample, and the visiting ratio that reaches RECALL on it."""
-    _, x = sample(rows, FIT_VECTORS)
+    _, x = sample(rows, max(FIT_VECTORS, FIT_OF_LIST * min(MOST_LISTS, total // LIST_ROWS)))
     norm = float(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]) ** 0.5
     return fit_sample(x, norm, total, k)
 
 
 def fit_sample(x: np.ndarray, norm: float, total: int, k: int) -> Centroids:
     """The same of a sample at hand, with the largest norm and the number of all vectors."""
-    lists = max(1, min(MOST_LISTS, total // LIST_ROWS, len(x) // 8))
+    lists = max(1, min(MOST_LISTS, total // LIST_ROWS, len(x) // FIT_OF_LIST))
     out = Centroids(np.zeros((1, x.shape[1] + 1)), np.zeros((1, 1), int), norm)
     lifted = out.lift(x, False)
     out.points = _balanced(lifted, lists)
@@ -159,13 +170,14 @@ def fit_sample(x: np.ndarray, norm: float, total: int, k: int) -> Centroids:
     return out
 
 
-def _deal(shared, query: bool):
+def _deal(shared, query: bool, ratio: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Centroids = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                lists = (own.visits if query else own.lists_of)(matrix(part.column("x")))
+                x = matrix(part.column("x"))
+                lists = own.visits(x, ratio) if query else own.lists_of(x)
                 at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(at)), pa.array(np.concatenate(lists).astype(np.int64)), part.column("x").take(pa.array(at))], ["vec_id", "cell", "x"])
 
@@ -195,24 +207,38 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20) -
     """Each query's k rows of largest inner product found: query_id, rank, vec_id, score.
 
     vectors, queries: vec_id, embedding (queries default to all vectors); a query isn't its own neighbour. Vectors that
-    are null, zero or hold null or non-finite components take no part; see valid_vectors() for lengths and repeats.
-    Scores are inner products in double precision of the vectors as they are.
+    are null, zero or hold null or non-finite components take no part, nor do queries of another length than the vectors;
+    see valid_vectors() for lengths and repeats. Scores are inner products in double precision of the vectors as they are;
+    ties go to the smaller vec_id, however many there are. A query whose lists hold fewer than k others is searched in
+    all lists, so it gets k rows if there are as many. Without vectors the result is empty. Other columns play no part.
     """
     rows = stage(valid_vectors(vectors, zero=False), "vectors")
     total = rows.count()
     if not total:
         return empty_result(vectors.sparkSession, "double")
-    asked = rows if queries is None else stage(valid_vectors(queries, zero=False), "queries")
+    asked = rows if queries is None else stage(valid_vectors(queries, False, length_of(rows)), "queries")
     model = fit(rows, total, k)
     shared = vectors.sparkSession.sparkContext.broadcast(model)  # at most MOST_LISTS centroids
-    listed = stage(rows.mapInArrow(_deal(shared, False), "vec_id long, cell long, x array<double>"), "lists")
-    visits = stage(asked.mapInArrow(_deal(shared, True), "vec_id long, cell long, x array<double>"), "visits")
+    dealt = "vec_id long, cell long, x array<double>"
+    listed = stage(rows.mapInArrow(_deal(shared, False), dealt), "lists")
+    visits = stage(asked.mapInArrow(_deal(shared, True), dealt), "visits")
     # Blocks of a list: parts of its rows by parts of its queries. A table of MOST_LISTS rows at most.
-    sizes = F.broadcast(listed.groupBy("cell").agg(F.count("*").alias("n")))
-    asks = F.broadcast(visits.groupBy("cell").agg(F.count("*").alias("m")))
-    a, b = F.ceil(F.col("n") / BLOCK_ROWS).cast("int"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int")
-    parts_of = lambda n: F.sequence(F.lit(0), n - 1)
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    left = visits.join(sizes, "cell").join(asks, "cell").select("cell", F.explode(F.transform(parts_of(a), lambda i: i * b + mine(b))).alias("part"), F.col("vec_id").alias("query_id"), F.lit(None).alias("floor"), "x")
-    right = listed.join(sizes, "cell").join(asks, "cell").select("cell", F.explode(F.transform(parts_of(b), lambda j: mine(a) * b + j)).alias("part"), "vec_id", "x")
-    return ranked(search_blocks(left, right, _products(k), k + 2, "double"), k)
+    sizes = stage(listed.groupBy("cell").agg(F.count("*").alias("n")), "list_sizes")
+
+    def search(visits: DataFrame) -> DataFrame:
+        sized = F.broadcast(sizes)
+        asks = F.broadcast(visits.groupBy("cell").agg(F.count("*").alias("m")))
+        a, b = F.ceil(F.col("n") / BLOCK_ROWS).cast("int"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int")
+        parts_of = lambda n: F.sequence(F.lit(0), n - 1)
+        mine = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+        left = visits.join(sized, "cell").join(asks, "cell").select("cell", F.explode(F.transform(parts_of(a), lambda i: i * b + mine(b))).alias("part"), F.col("vec_id").alias("query_id"), F.lit(None).alias("floor"), "x")
+        right = listed.join(sized, "cell").join(asks, "cell").select("cell", F.explode(F.transform(parts_of(b), lambda j: mine(a) * b + j)).alias("part"), "vec_id", "x")
+        return ranked(search_blocks(left, right, _products(k), k + 2, "double"), k)
+
+    found = stage(search(visits), "found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = stage(asked.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    every = stage(short.mapInArrow(_deal(shared, True, float("inf")), dealt), "all_lists")
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(every))

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
 
-def valid_vectors(vectors: DataFrame, zero: bool) -> DataFrame:
+def valid_vectors(vectors: DataFrame, zero: bool, length: int | None = None) -> DataFrame:
     """vec_id long, x array<double> of the rows that take part: an id, and a vector of finite components.
 
-    zero: whether vectors of zeros take part. Where lengths differ, the most frequent one (the smallest on a tie)
-    takes part. Repeated rows of an id and vector count once; ids should tell vectors apart.
+    zero: whether vectors of zeros take part. length: the length that takes part; without it, where lengths differ, the
+    most frequent one (the smallest on a tie). Repeated rows of an id and vector count once; ids should tell vectors apart.
     """
     x = F.col("x")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0))
     rows = rows.filter(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     if not zero:
         rows = rows.filter(F.exists(x, lambda v: v != 0))
+    if length is not None:
+        return rows.filter(F.size("x") == length)
     lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("x") == (lengths["n"] if lengths else 0))
 
@@ -35,6 +37,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def length_of(rows: DataFrame) -> int:
+    """The length of the vectors of a table that isn't empty."""
+    return rows.select(F.size("x")).first()[0]
+
+
 def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of at most `most` rows, those of the smallest hash: the bounded sample that an index is fitted on."""
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().combine_chunks()
@@ -58,7 +65,7 @@ class Best:
 
     def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not sum(len(p[0]) for p in self.parts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         q, v, s = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
         order = np.lexsort((v, -s, q))
         q, v, s = q[order], v[order], s[order]

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on small tables with awkward rows and on the smallest test tables."""
 
 import hashlib
+import math
 import os
 
 import numpy as np
@@ -348,7 +349,7 @@ def test_ann_copies(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, monkeypatch, small):
     if small:
-        for name, v in (("CELL_ROWS", 100), ("PART_ROWS", 64), ("GROUP_QUERIES", 8), ("LEAF", 8)):
+        for name, v in (("CELL_ROWS", 30), ("MOST_PIVOTS", 4), ("SPLIT_ROWS", 60), ("FAN", 3), ("PART_ROWS", 16), ("GROUP_QUERIES", 8), ("LEAF", 8)):
             monkeypatch.setattr(topk, name, v)
     df = vectors(spark)
     got = {}
@@ -358,6 +359,33 @@ def test_top_k(spark, monkeypatch, small):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id < 3"), k=5).count() == 6
 
 
+def test_top_k_is_exact_for_large_integers(spark):
+    """Products beyond 2**53, ties beyond k among them, and sums beyond a long."""
+    rng = np.random.default_rng(11)
+    x = [[1000001.0 + 1 / 256, 3 / 256], [2000000.0 + 3 / 256, 5 / 256], *rng.integers(-3_000_000, 3_000_000, (60, 2)).tolist()]
+    x += [x[1]] * 30 + [x[0]] * 5
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[math.floor(256 * a) for a in v] for v in x]
+    want = {i: sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in enumerate(whole) if j != i)[:5] for i, v in enumerate(whole)}
+    got = {}
+    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(1, [5e7] * 9), (2, [4e7] * 9)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_searches_of_mixed_lengths_and_repeats(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(80)]
+    odd = [(200 + i, [1.0] * 5) for i in range(30)]
+    df = spark.createDataFrame(rows + rows[:10] + odd + [(None, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>").withColumn("x", F.lit("clash")).withColumn("cell", F.lit(1))
+    for run, scale, k in ((ann.nearest, None, 20), (topk.top_k, 256, 5)):
+        got = {}
+        for r in run(df, df.filter("vec_id % 20 = 0"), k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == plain(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, k, scale)
+
+
 def test_hashes_of_the_queries(spark):
     out = {r.doc_id: r for r in queries.op4_line_dedup(spark, SF).collect()}
     want = brute.line_dedup(records(queries.documents(spark, SF)))
