@@ -5,12 +5,15 @@ tokens of its words; then one vectorised check looks at all adjacent pairs of al
 whether the merge order could leave that pair standing side by side. A word whose pairs all pass is encoded;
 only the others undergo exact merging. Results are kept per chunk in a bounded table of each Python worker.
 
-The vocabulary file is a parameter; nothing is trained.
+The vocabulary file (JSON of the tokenizers library, BPE) is a parameter; nothing is trained. Files whose rules part texts
+at white space are encoded chunk by chunk; for others the library's own rules part whole texts into words. A file
+with features that merging here doesn't know (dropout, byte fallback, unknown tokens, and so on) is an error.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import adding, as_text, slices, without
 
-#: Chunks remembered by a Python worker; the table is emptied when it grows beyond.
-CACHE_CHUNKS = 250_000
+#: Chunks remembered by a Python worker; the table is emptied when it grows beyond. Longer chunks aren't remembered.
+CACHE_CHUNKS, CACHE_LETTERS = 250_000, 256
+#: Words of more letters are merged one by one, in time n log n; shorter ones all at once, a merge of each in a round.
+LONG_WORD = 256
 #: White space to str.split() which the vocabularies' \s does not match.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _NEVER = 2**40
@@ -47,10 +52,17 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        rules = Tokenizer.from_file(path)
-        self.normalize, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
-        self.end, self.ids = model["end_of_word_suffix"] or "", model["vocab"]
+        known = {"type": ("BPE",), "dropout": (None, 0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+        odd = [f"model.{k} = {model.get(k)!r}" for k, own in known.items() if model.get(k) not in own]
+        odd += [f"added token {x['content']!r}: {k}" for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+        if odd or not spec.get("pre_tokenizer"):
+            raise ValueError(f"{path}: can't be encoded here: {', '.join(odd) or 'no pre_tokenizer'}")
+        rules = Tokenizer.from_file(path)
+        self.normalize = rules.normalizer.normalize_str if spec.get("normalizer") else str
+        self.split = rules.pre_tokenizer.pre_tokenize_str
+        self.library = rules if spec.get("decoder") else None
+        self.end, self.ids = model.get("end_of_word_suffix") or "", model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
@@ -60,9 +72,10 @@ class Codec:
         self._orders(model["merges"])
         self.cache: dict[str, bytes] = {}
         self.word_cache: dict[str, bytes] = {}
-        kinds = [x["type"] for x in spec["normalizer"].get("normalizers", [])]
-        #: Whether the file's rules are those that words_of() knows.
-        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _SPLIT_RULE}
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        first = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+        #: Whether the file's rules are those that words_of() knows: they part texts at white space.
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": _SPLIT_RULE}
 
     def _orders(self, merges: list) -> None:
         """Orders: single letters first, then each merge's product by rank. Tables are indexed by order."""
@@ -81,7 +94,7 @@ class Codec:
         values = np.array([len(singles) + r for r in range(len(pairs))])
         first = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_order = np.append(keys[first], np.int64(2**62)), np.append(values[first], 0)
-        self.ranks = {p: r for r, p in reversed(list(enumerate(pairs)))}
+        self.by_pair = {(self.order[a], self.order[b]): len(singles) + r for r, (a, b) in reversed(list(enumerate(pairs)))}
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; orders of the tokens, empty if a letter is unknown."""
@@ -129,6 +142,33 @@ class Codec:
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_order[at], _NEVER)
 
+    def merge_long(self, word: str) -> np.ndarray:
+        """Exact merging of one word: a queue of pairs by rank, then place, over a linked list of its tokens."""
+        token = [o for k, c in enumerate(word) if (o := self.order.get(c + self.end if k == len(word) - 1 else c)) is not None]
+        n = len(token)
+        if n < 2:
+            return self.id_of[np.array(token, np.int64)]
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        at = np.array(token, np.int64)
+        ranks = self._rank(at[:-1], at[1:])
+        queue = [(r, k) for k, r in enumerate(ranks.tolist()) if r != _NEVER]
+        heapq.heapify(queue)
+        get = self.by_pair.get
+        while queue:
+            r, k = heapq.heappop(queue)
+            other = after[k]
+            if token[k] < 0 or other < 0 or get((token[k], token[other])) != r:
+                continue
+            token[k], token[other] = r, -1
+            after[k] = after[other]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (new := get((r, token[after[k]]))) is not None:
+                    heapq.heappush(queue, (new, k))
+            if before[k] >= 0 and (new := get((token[before[k]], r))) is not None:
+                heapq.heappush(queue, (new, before[k]))
+        return self.id_of[np.array([o for o in token if o >= 0], np.int64)]
+
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """Exact merging, all words at once: each round merges in every word its pair of lowest rank, leftmost first."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
@@ -176,7 +216,12 @@ class Codec:
             good[fails] = False
         ids, ends = self.id_of[flat], np.cumsum(sizes)
         out = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
-        failing = np.flatnonzero(~good).tolist()
+        failing = []
+        for k in np.flatnonzero(~good).tolist():
+            if len(words[k]) > LONG_WORD:
+                out[k] = self.merge_long(words[k])
+            else:
+                failing.append(k)
         for k, got in zip(failing, self.merge([words[k] for k in failing])):
             out[k] = got
         return out
@@ -187,14 +232,15 @@ class Codec:
             return [w if w.isascii() else w.translate(_LETTERS) for w in _PARTS.findall(chunk.lower())]
         return [w for w, _ in self.split(self.normalize(chunk))]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks into the cache."""
-        if not self.plain:
-            split = [[w for w, _ in self.split(self.normalize(c))] for c in chunks]
-        else:
-            split = [self.words_of(c) for c in chunks]
+    def _learn_words(self, split: list[list[str]]) -> None:
+        """Encode words into the word cache."""
         words = list({w for own in split for w in own}.difference(self.word_cache))
         self.word_cache.update(zip(words, (x.tobytes() for x in self.encode_words(words))))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks into the cache."""
+        split = [self.words_of(c) for c in chunks]
+        self._learn_words(split)
         get = self.word_cache.__getitem__
         self.cache.update((c, b"".join(map(get, own))) for c, own in zip(chunks, split))
 
@@ -204,23 +250,39 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.word_cache) > CACHE_CHUNKS:
-            self.word_cache.clear()
+        for kept in (self.cache, self.word_cache):
+            if len(kept) > CACHE_CHUNKS:
+                kept.clear()
         split = []
         for text in texts:
             parts: list[str | bytes] = []
-            for k, seg in enumerate(self.special_split.split(text) if self.special_split and "<|" in text else [text]):
-                parts += [np.uint32(self.special[seg]).tobytes()] if k % 2 else self.encode_plain(seg)
+            segments = self.special_split.split(text) if any(x in text for x in self.special) else [text]
+            for k, seg in enumerate(segments):
+                if k % 2:
+                    parts.append(np.uint32(self.special[seg]).tobytes())
+                elif self.plain:
+                    parts += self.encode_plain(seg)
+                else:
+                    parts += [w for w, _ in self.split(self.normalize(seg))]
             split.append(parts)
-        new = {c for parts in split for c in parts}.difference(self.cache)
-        self.learn([c for c in new if isinstance(c, str)])
-        get = self.cache.__getitem__
-        return [b"".join(map(get, parts)) if not any(type(c) is bytes for c in parts) else b"".join(c if type(c) is bytes else get(c) for c in parts) for parts in split]
+        known = self.cache if self.plain else self.word_cache
+        new = [c for c in {c for parts in split for c in parts}.difference(known) if isinstance(c, str)]
+        if self.plain:
+            self.learn(new)
+        else:
+            self._learn_words([new])
+        get = known.__getitem__
+        out = [b"".join(map(get, parts)) if not any(type(c) is bytes for c in parts) else b"".join(c if type(c) is bytes else get(c) for c in parts) for parts in split]
+        if any(len(c) > CACHE_LETTERS for c in new):
+            for kept in (self.cache, self.word_cache):
+                for c in [c for c in kept if len(c) > CACHE_LETTERS]:
+                    del kept[c]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        """Texts of packed ids. These vocabularies have no decoder, so pieces are joined by a space."""
+        """Texts of packed ids, by the file's decoder; pieces are joined by a space where it has none."""
+        if self.library:
+            return self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
         get = self.pieces.__getitem__
         return [" ".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids]
 
@@ -260,8 +322,8 @@ def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     """Encode `text`: adds n_tokens and ids (binary: little-endian 32-bit integers), with decode=True also decoded.
 
     No special tokens are added; their strings in a text are encoded as themselves. A null or empty text has
-    no ids. Rows are kept as they are, repeated or not; input columns named as the added ones are replaced.
-    No shuffle; an empty table gives an empty result.
+    no ids. Rows are kept as they are, repeated or not, and so are other columns, whatever their names; those named
+    as the added ones are replaced. A text of any length is encoded whole. No shuffle; an empty table gives an empty result.
     """
     docs = without(docs, "n_tokens", "ids", "decoded")
     return docs.mapInArrow(_round_trip(vocabulary, decode), adding(docs, "n_tokens long, ids binary" + ", decoded string" * decode))

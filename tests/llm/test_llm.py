@@ -114,6 +114,42 @@ def test_bpe(table):
         assert r.decoded == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_other_vocabularies(docs, tmp_path):
+    """A byte-level file with a decoder of its own; a file with an unknown feature is refused."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    for r in bpe.encode(docs, path, decode=True).collect():
+        want = lib.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.decoded == lib.decode(want, skip_special_tokens=False)
+    with open(path) as f:
+        spec = json.load(f)
+    spec["model"]["byte_fallback"] = True
+    (tmp_path / "odd.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte_fallback"):
+        bpe.Codec(str(tmp_path / "odd.json"))
+
+
+def test_bpe_of_long_words():
+    """Words of a million letters are merged exactly, and in seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    codec, lib = bpe.Codec(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (300, 5_000, 60_000)] + ["漢字かな" * 9_000, "a" * 40_000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(len(c) > bpe.CACHE_LETTERS for c in [*codec.cache, *codec.word_cache])
+    began = time.monotonic()
+    codec.encode(["".join(rng.choice(list("etaoinshrdlu"), 1_000_000))])
+    assert time.monotonic() - began < 60
+
+
 def test_secrets(table):
     for r in secrets.find_secrets(table).collect():
         want = brute.secret_spans(r.text)
