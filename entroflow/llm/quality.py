@@ -4,14 +4,14 @@ Fitting takes a bounded sample of labelled documents (FIT_DOCUMENTS, those of th
 their whole texts have more than FIT_LETTERS letters together). Every
 token has a fixed sparse random index vector; a word's vector is its own index vector plus those of its
 neighbours, summed over the sample. Words the sample doesn't hold enough of are represented by their shape
-(letter cases, digits and signs, runs shortened). A document is the mean and the spread of its tokens' vectors. A two-layer
+(letter cases, digits and signs, runs shortened). A document is the mean and the spread of its tokens' vectors and the
+mean product of neighbouring tokens' (of unit length), by component, which tells repetition from prose. A two-layer
 network is trained on these in numpy and its logits are divided by a temperature that fits a part held back.
 Scoring is one scan without a shuffle; the model is of bounded size and travels by broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import Counter
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import adding, as_text, slices, without
+from .common import adding, as_text, slices, stage, without
 
 FIT_DOCUMENTS, FIT_LETTERS, VOCABULARY, WIDTH, HIDDEN, THRESHOLD = 4000, 40_000_000, 20_000, 48, 24, 0.3
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,18 +33,16 @@ _KEPT = 300_000
 
 
 def shape(token: str) -> str:
-    """Letters by case (runs shortened), digits as 0, signs as they are, runs of one sign as two."""
-    out = _SHAPES[0][0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() else "Aa", token[:64])
-    return "\0" + re.sub(r"(.)\1+", r"\1\1", _SHAPES[1][0].sub("0", out))[:12]
+    """Letters by case (runs shortened), digits as 0, signs as they are, runs of one sign as two; of the whole token."""
+    out = _SHAPES[0][0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() else "Aa", token)
+    return "\0" + re.sub(r"(.)\1+", r"\1\1", _SHAPES[1][0].sub("0", out))
 
 
 def index_vector(token: str) -> np.ndarray:
-    """The token's fixed random vector: eight places of plus or minus one."""
+    """The token's fixed random vector: eight places of plus or minus one, each from 16 bits of the token's hash."""
+    bits = np.frombuffer(xxhash.xxh3_128_digest(token), np.uint16)
     out = np.zeros(WIDTH, np.float32)
-    h = xxhash.xxh3_128_intdigest(token)
-    for _ in range(8):
-        out[h % WIDTH] += 1 if h >> 20 & 1 else -1
-        h >>= 21 - 6 if h >> 16 < 1 else 15
+    np.add.at(out, (bits >> 1) % WIDTH, 2.0 * (bits & 1) - 1)
     return out
 
 
@@ -63,22 +61,40 @@ class Model:
     temperature: float
     default: float
 
+    def __post_init__(self):
+        self.unit = self.vectors / np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
+
     def pool(self, texts: list[str], cache: dict[str, int]) -> np.ndarray:
-        """A row for each text: mean and spread of its tokens' vectors, zeros without tokens."""
-        out = np.zeros((len(texts), 2 * WIDTH), np.float32)
+        """A row for each text: mean and spread of its tokens' vectors and mean product of neighbours', zeros without tokens."""
+        out = np.zeros((len(texts), 3 * WIDTH), np.float32)
         if len(cache) > _KEPT:
             cache.clear()
         split = [t.split() if t.isascii() and not _ODD.search(t) else _TOKEN.findall(t) for t in texts]
-        for token in {x for own in split for x in own}.difference(cache):
+        new = {x for own in split for x in own}.difference(cache)
+        for token in new:
             cache[token] = self.rows.get(token, -1) if token in self.rows else self.rows.get(shape(token), len(self.vectors) - 1)
-        get = cache.__getitem__
-        for k, own in enumerate(split):
-            if own:
-                counts = np.bincount(np.fromiter(map(get, own), np.int64, len(own)))
-                at = np.flatnonzero(counts)
-                weight, own_rows = counts[at].astype(np.float32) / len(own), self.vectors[at]
-                mean = weight @ own_rows
-                out[k, :WIDTH], out[k, WIDTH:] = mean, np.sqrt(np.maximum(weight @ (own_rows * own_rows) - mean * mean, 0))
+        sizes, get = np.array([len(own) for own in split], np.int64), cache.__getitem__
+        at = np.fromiter((r for own in split for r in map(get, own)), np.int64, int(sizes.sum()))
+        for token in [t for t in new if len(t) > 64]:
+            del cache[token]
+        if len(at):
+            # Counts by (text, row): sorted keys and the lengths of their runs; then a sum for each text.
+            keys = np.sort(np.repeat(np.arange(len(texts)), sizes) * len(self.vectors) + at)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            text, row = np.divmod(keys[first], len(self.vectors))
+            starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            weight = (np.diff(np.append(first, len(keys))) / sizes[text]).astype(np.float32)[:, None]
+            has, own = text[starts], self.vectors[row]
+            mean, square = (np.add.reduceat(weight * x, starts) for x in (own, own * own))
+            out[has, :WIDTH], out[has, WIDTH : 2 * WIDTH] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            for a in range(0, len(at) - 1, 50_000):  # in blocks: a text may be long
+                b = min(a + 50_000, len(at) - 1)
+                text = owner[a:b]
+                product = self.unit[at[a:b]] * self.unit[at[a + 1 : b + 1]] * (text == owner[a + 1 : b + 1])[:, None]
+                starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+                out[text[starts], 2 * WIDTH :] += np.add.reduceat(product, starts)
+            out[:, 2 * WIDTH :] /= np.maximum(sizes - 1, 1)[:, None]
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -114,7 +130,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, seed: int = 3) ->
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.5
     rows, vectors = _word_vectors(texts)
-    z, e = np.zeros(2 * WIDTH, np.float32), np.zeros((2 * WIDTH, HIDDEN), np.float32)
+    z, e = np.zeros(3 * WIDTH, np.float32), np.zeros((3 * WIDTH, HIDDEN), np.float32)
     model = Model(rows, vectors, z, z + 1, e, np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, share)
     if len(y) < 2 or not 0 < share < 1:
         return model
@@ -153,31 +169,28 @@ def fit_on(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -
     """
     one = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min("quality").alias("y"))
     chosen = one.orderBy(F.xxhash64("k"), "k").limit(documents)
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "k")
-    # Of whole texts, as many of the smallest hashes as have FIT_LETTERS letters together, in whatever order they come.
-    heap, letters = [], 0
-    for r in rows.select(F.xxhash64("k").alias("h"), "k", "y", "text").toLocalIterator():
-        heapq.heappush(heap, (-r["h"], -r["k"], r["y"], r["text"]))
-        letters += len(r["text"])
-        while letters > FIT_LETTERS and len(heap) > 1:
-            letters -= len(heapq.heappop(heap)[3])
-    got = sorted((-k, y, text) for _, k, y, text in heap)
-    seen = {k: (t, y) for k, y, t in got}
-    return fit([t for t, _ in seen.values()], [int(y) for _, y in seen.values()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "k")  # `documents` rows at most
+    rows = stage(rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")), "fit_sample")
+    # Of whole texts, as many of the smallest hashes as have FIT_LETTERS letters together (one at least).
+    sized = rows.select("k", F.xxhash64("k").alias("h"), F.length("text").cast("long").alias("n")).orderBy("h", "k").collect()
+    ends = np.cumsum([r["n"] for r in sized])
+    keys = [r["k"] for r, end in zip(sized, ends) if end <= FIT_LETTERS] or [r["k"] for r in sized[:1]]
+    got = rows.filter(F.col("k").isin(keys)).orderBy(F.xxhash64("k"), "k").toArrow().to_pydict() if keys else {"text": [], "y": []}
+    return fit(got["text"], [int(y) for y in got["y"]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add score (0 to 1, higher: better) and predicted (1 from THRESHOLD) to `docs`, reading nothing but whole texts.
 
-    Null and empty texts score the share of label 1 in the fit. Rows are kept as they are; columns of the added names
-    are replaced; an empty table gives an empty result.
+    Null and empty texts score the share of label 1 in the fit. Rows are kept as they are, repeated ones alike; columns
+    of the added names are replaced, others carried along whatever their names; an empty table gives an empty result.
     """
     docs = without(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             s = own.scores(as_text(batch.column("text")), cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
