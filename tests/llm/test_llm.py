@@ -184,6 +184,28 @@ def test_glued_and_long_credentials():
     assert secrets.scan_text("see some-ordinary-words/and-a-path/of-them/part-2 there", formats) == []
 
 
+def test_secrets_of_a_labelled_table(spark, real):
+    """Formats from a labelled table, words from the documents: held-out credentials are found in prose, prose is left alone."""
+    rng = np.random.default_rng(12)
+    some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    make = {"deploy": lambda: "dpl_" + some(30), "paired": lambda: f"K9{some(12)}-{some(12)}".upper(), "": lambda: "word"}
+    rows = [(k, f()) for k, f in make.items() for _ in range(80)] + [(None, "x"), ("deploy", None), ("deploy", "")]
+    labelled = spark.createDataFrame(rows, "format string, example string")
+    assert {k: len(v) for k, v in secrets.labelled_of(labelled, most=50).items()} == {"deploy": 50, "paired": 50, "": 1}
+    words = real.limit(60).collect()
+    docs, want = [], {}
+    for i, r in enumerate(words):
+        own, text = [*make.values()][i % 2](), (r.text or "") + " use "
+        if i % 3:
+            want[i] = f"format:{len(text)}:{len(text) + len(own)}"
+            text += own + " here"
+        docs.append((i, text, "clash"))
+    got = {r.doc_id: r.spans.split(",") for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string, SPANS string"), labelled).collect()}
+    assert np.mean([want[i] in got[i] for i in want]) >= 0.9
+    assert not any(x.startswith("format") for i in got if i not in want for x in got[i])
+    assert secrets.corpus_words(real) and secrets.corpus_words(real.limit(0)) == []
+
+
 def test_licenses(table):
     got = {r.doc_id: r for r in licenses.scan_licenses(table).collect()}
     for d in records(table):
