@@ -1,9 +1,11 @@
 """Line dedup with a sharded minimal perfect hash.
 
-One pass counts, for every distinct line key, its documents. Keys found in enough documents go into
+One pass counts, for every distinct line key, its documents. Keys found in enough documents (all others would only
+fill the arrays that every document probes) go into
 shards by hash; for each shard one task builds a minimal perfect hash (levels of bitmaps, ranked) that
 indexes three plain arrays: fingerprints, document counts and the largest doc_id. The shards are written
-to the shared folder. A second pass over the documents probes those arrays; lines are never joined.
+to the shared folder, which Python workers open by its URI (local and mounted folders, hdfs, s3, gs, abfs). A second pass
+over the documents probes those arrays; lines are never joined.
 
 A probe compares 64 fingerprint bits besides the slot, which is itself drawn from the other 64 bits of a
 128-bit hash, so a foreign line is taken for a listed one with probability 2**-64.
@@ -12,6 +14,7 @@ A probe compares 64 fingerprint bits besides the slot, which is itself drawn fro
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -141,8 +144,8 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 class Index:
     """Shards read from the shared folder as they are needed, the latest used kept within HELD_BYTES."""
 
-    def __init__(self, path: str, shards: int):
-        self.path, self.shards, self.held = path, shards, OrderedDict()
+    def __init__(self, path: str, shards: int, least: int):
+        self.path, self.shards, self.least, self.held = re.sub("^s3[an]:", "s3:", path), shards, least, OrderedDict()
 
     def shard(self, k: int) -> Shard:
         if k not in self.held:
@@ -156,7 +159,7 @@ class Index:
         return self.held[k]
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is listed, and the largest doc_id that holds it. Shards are visited one after another."""
+        """Whether enough documents hold each key, and the largest doc_id that holds it. Shards are visited one after another."""
         found, last = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
         where = np.mod(h1.view(np.int64), self.shards)
         for k in np.unique(where).tolist():
@@ -164,13 +167,13 @@ class Index:
             shard = self.shard(k)
             slot = shard.probe(h1[at], h2[at])
             at, slot = at[slot >= 0], slot[slot >= 0]
-            found[at], last[at] = True, shard.last[slot]
+            found[at], last[at] = shard.count[slot] >= self.least, shard.last[slot]
         return found, last
 
 
-def _drop_lines(path: str, shards: int, least: int):
+def _drop_lines(path: str, shards: int, least: int, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(path, shards)
+        index = Index(path, shards, min_docs)
         for batch in slices(batches, most=16 << 20):
             texts, ids = as_bytes(batch.column("text")), batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             lines = [x.split(b"\n") for x in texts]
@@ -211,4 +214,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     docs = without(docs, "n_lines", "n_dropped")
     path, shards = build_index(docs, min_chars, min_docs)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_drop_lines(path, shards, min_chars), adding(docs, "n_lines long, n_dropped long"))
+    return docs.mapInArrow(_drop_lines(path, shards, min_chars, min_docs), adding(docs, "n_lines long, n_dropped long"))

@@ -277,6 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     heads = stage(full.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch", "bands").dropDuplicates(["id"]), "heads")
     banded = heads.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1")
+    buckets = small(stage(buckets, "buckets"))
     members = stage(banded.join(buckets, "key"), "members")
     most = most_odd(percent, bands * rows)
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")

@@ -92,4 +92,30 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_near_duplicates, op4_line_dedup, op5_bpe, op6_licenses, op7_pii, op8_quality, op9_mixing, op10_top_k)}
 
-ORACLES: dict[str, str] = {}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPACE = r"'[\x20\x09-\x0D]+'"
+
+#: The other operators' columns hold what SQL can't express (trained or inferred models, an index, a vocabulary's merges,
+#: draws); the tests hold those queries against plain versions, the library or held-out rows instead.
+ORACLES: dict[str, str] = {
+    "op3_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), {_SPACE}), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+            FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT u, v FROM pairs WHERE 100 * common >= 80 * (n + m - common)), every AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.v FROM reach r JOIN every e ON r.b = e.u),
+        least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON a = doc_id""",
+    "op4_line_dedup": rf"""
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM t),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LETTERS}) AS key FROM l),
+        listed AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        told AS (SELECT k.*, coalesce(last <> doc_id, false) AS gone FROM k LEFT JOIN listed USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id""",
+    "op10_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+}
