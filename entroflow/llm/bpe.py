@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import adding, as_text, slices, without
+from .common import as_text, map_batches, slices, without
 
 #: Chunks remembered by a Python worker; the table is emptied when it grows beyond. Longer chunks aren't remembered.
 CACHE_CHUNKS, CACHE_LETTERS = 250_000, 256
@@ -326,13 +326,13 @@ def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     as the added ones are replaced. A text of any length is encoded whole. No shuffle; an empty table gives an empty result.
     """
     docs = without(docs, "n_tokens", "ids", "decoded")
-    return docs.mapInArrow(_round_trip(vocabulary, decode), adding(docs, "n_tokens long, ids binary" + ", decoded string" * decode))
+    return map_batches(docs, _round_trip(vocabulary, decode), "n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode(df: DataFrame, vocabulary: str) -> DataFrame:
     """Decode `ids` (as encode() packs them; null is none) into the column decoded, special tokens included."""
     df = without(df, "decoded")
-    return df.mapInArrow(_decode(vocabulary), adding(df, "decoded string"))
+    return map_batches(df, _decode(vocabulary), "decoded string")
 
 
 def ids_array(ids: F.Column) -> F.Column:

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +76,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def adding(df: DataFrame, fields: str) -> T.StructType:
-    """The schema of `df` with more fields (as DDL)."""
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that `df` doesn't have, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -92,6 +87,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_batches(df: DataFrame, run: Callable, fields: str) -> DataFrame:
+    """df.mapInArrow(run) for a function that adds fields (as DDL) at the end; columns may have any names."""
+    more = T.StructType.fromDDL(fields).fields
+    plain = df.toDF(*(c if c.isidentifier() else fresh(df, f"_c{k}")[0] for k, c in enumerate(df.columns)))  # mapInArrow looks columns up by name
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *more])).toDF(*df.columns, *(f.name for f in more))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of `column`, and one row at least."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, adding, as_bytes, mix, slices, stage, stage_path, without
+from .common import NULL_ID, as_bytes, map_batches, mix, slices, stage, stage_path, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard, at most about: 17 bytes each once built.
@@ -214,4 +214,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     docs = without(docs, "n_lines", "n_dropped")
     path, shards = build_index(docs, min_chars, min_docs)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_drop_lines(path, shards, min_chars, min_docs), adding(docs, "n_lines long, n_dropped long"))
+    return map_batches(docs, _drop_lines(path, shards, min_chars, min_docs), "n_lines long, n_dropped long")

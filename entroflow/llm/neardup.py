@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept
     (doc_id = component_id), a row for each row of `docs`; other columns play no part. A document without words is
     linked with nothing. Rows that repeat a doc_id get its result each and are kept or dropped alike. A null doc_id
-    is linked with nothing and kept. An empty table gives an empty result.
+    is linked with nothing, in no component and kept. An empty table gives an empty result.
     """
     signs = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(words, bands, rows), "doc_id long, n long, s1 long, s2 long, sketch binary, bands array<long>"), "signatures")
     full = signs.filter("n > 0 and doc_id is not null")
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         heads_of = heads_of.join(joined, "component", "left").select("s1", "s2", "n", F.coalesce("least", "component").alias("component"))
 
     out = signs.select("doc_id", "n", "s1", "s2").join(heads_of, ["s1", "s2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import adding, as_text, slices, stage, without
+from .common import as_text, map_batches, slices, stage, without
 
 FIT_DOCUMENTS, FIT_LETTERS, VOCABULARY, WIDTH, HIDDEN, THRESHOLD = 4000, 40_000_000, 20_000, 48, 24, 0.3
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = own.scores(as_text(batch.column("text")), cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, adding(docs, "score double, predicted int"))
+    return map_batches(docs, run, "score double, predicted int")
 
 
 def crc32(doc_id: int) -> int:

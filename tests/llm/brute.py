@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -122,3 +124,63 @@ def license_places(text):
         found += [(k, label) for k in range(len(words) - len(own) + 1) if words[k : k + len(own)] == own]
     starts = [k for k, _ in found]
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def license_labels(text, least=0.6):
+    """Labels of phrases and of templates whose words stand in the text, in order and close together; the best coverage.
+
+    Plain and slow: for every window of a template's length and a half the longest common subsequence.
+    """
+    from entroflow.llm.licenses import TEMPLATES
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_LOWER))
+    phrases = license_places(text)
+    labels, best = set(phrases[4].split(",")) - {""}, 1.0 if phrases[1] else 0.0
+    found = []
+    for template, label in TEMPLATES:
+        t = template.split()
+        grams = {tuple(t[k : k + 3]) for k in range(len(t) - 2)}
+        for k in range(len(words)):
+            if tuple(words[k : k + 3]) in grams:
+                own, row = words[k : k + len(t) * 3 // 2], [0] * (len(t) + 1)
+                for w in own:
+                    row = [0, *itertools.accumulate(range(1, len(t) + 1), lambda left, j, w=w, row=row: row[j - 1] + 1 if t[j - 1] == w else max(row[j], left), initial=0)][1:]
+                if row[-1] / len(t) >= least:
+                    found.append((k, row[-1] / len(t), label))
+    for k, c, label in found:
+        if c == max(x[1] for x in found if abs(x[0] - k) <= 8):
+            labels.add(label)
+            best = max(best, c)
+    return ",".join(sorted(labels)), best
+
+
+_TERM = re.compile(r"[^\W\d_](?:[^\W_]){2,}")
+
+
+def disclosing_terms(docs, share=0.8, support=3):
+    """Terms that disclose a value: pointwise mutual information over distinct documents."""
+    docs = {(d["doc_id"], d["text"] or "") for d in docs}
+    holders, having, both = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d in docs:
+        spans = pii_spans(d[1])
+        for w in _TERM.findall(d[1]):
+            having[w.lower()].add(d)
+        outside = list(d[1])
+        for _, a, z in spans:
+            outside[a:z] = "\0" * (z - a)
+        own = {w.lower() for w in _TERM.findall("".join(outside))}
+        for k, a, z in spans:
+            holders[k, d[1][a:z]].add(d)
+            for w in own:
+                both[k, d[1][a:z], w].add(d)
+    out = set()
+    for (k, v, w), together in both.items():
+        n, h, t = len(docs), len(holders[k, v]), len(together)
+        if t >= support and h < n and math.log2(n * t / (len(having[w]) * h)) >= share * math.log2(n / h) - 1e-12:
+            out.add(w)
+    return out
+
+
+def term_spans(text, base, terms):
+    found = [("term", m.start(), m.end()) for m in _TERM.finditer(text or "") if m[0].lower() in terms]
+    return [x for x in found if not any(a < x[2] and x[1] < z for _, a, z in base)]

@@ -91,7 +91,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, WORDS), (1, WORDS), (2, WORDS), (None, WORDS)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=repr)
-    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)] or len(got) == 4
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
     for run in (linededup.drop_repeated_lines, secrets.find_secrets, licenses.scan_licenses, pii.find_pii, lambda x: bpe.encode(x, queries.vocabulary())):
         assert run(df).count() == 4
     assert mixing.mix_counts(df.withColumn("source", F.lit(None).cast("string"))).count() == 4
@@ -444,33 +444,163 @@ def test_searches_of_mixed_lengths_and_repeats(spark):
         assert got == plain(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, k, scale)
 
 
-def test_hashes_of_the_queries(spark):
-    out = {r.doc_id: r for r in queries.op4_line_dedup(spark, SF).collect()}
-    want = brute.line_dedup(records(queries.documents(spark, SF)))
-    assert all((r.n_lines, r.n_dropped, r.kept_sha256) == (*want[d][:2], brute.sha(want[d][2])) for d, r in out.items())
-    r = queries.op5_bpe(spark, SF).first()
-    assert len(r.ids_sha256) == len(hashlib.sha256().hexdigest())
+def rows_of(spark, name):
+    return getattr(queries, name)(spark, SF).collect()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"create view {t.split('.')[0]} as select * from '{SF}/{t}'")
+    df, rel = getattr(queries, name)(spark, SF), con.sql(queries.ORACLES[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    order = [rel.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in order) for r in rel.fetchall())
+
+
+def test_query_op1(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want, got = plain(df, 20, 20), {}
+    for r in sorted(rows_of(spark, "op1_ann"), key=lambda r: (r.query_id, r.rank)):
+        assert r.rank == len(got.setdefault(r.query_id, [])) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got.keys() == want.keys() and np.mean([len({a for a, _ in want[q]} & {a for a, _ in got[q]}) / len(want[q]) for q in want]) >= 0.9
+    assert all(abs(s - dict(want[q]).get(v, s)) < 1e-12 for q, own in got.items() for v, s in own)
+
+
+def test_query_op2(spark, real):
+    text = {r["doc_id"]: r["text"] for r in records(real)}
+    got = rows_of(spark, "op2_secrets")
+    for r in got:
+        spans = brute.secret_spans(text[r.doc_id])
+        assert r.base_sha256 == brute.span_sha(spans) and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in spans) for k in ("assign", "access", "hex"))
+        own = [x.split(":") for x in r.spans.split(",") if x]
+        assert {tuple(x) for x in own} >= {(k, str(a), str(z)) for k, a, z in spans} and [int(x[1]) for x in own] == sorted(int(x[1]) for x in own)
+    assert len(got) == len(text)
+
+
+def test_query_op3_op4(spark, real):
+    rows = records(real)
+    want = brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows_of(spark, "op3_near_duplicates")} == {d: (n, c, c == d) for d, (n, c) in want.items()}
+    want = brute.line_dedup(rows)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in rows_of(spark, "op4_line_dedup")} == {d: (a, b, brute.sha(c)) for d, (a, b, c) in want.items()}
+
+
+def test_query_op5(spark, real):
+    from tokenizers import Tokenizer
+
+    lib, text = Tokenizer.from_file(queries.vocabulary()), {r["doc_id"]: r["text"] or "" for r in records(real)}
+    for r in rows_of(spark, "op5_bpe"):
+        ids = lib.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), brute.sha(lib.decode(ids, skip_special_tokens=False)))
+
+
+def test_query_op6(spark, real):
+    text = {r["doc_id"]: r["text"] for r in records(real)}
+    for r in rows_of(spark, "op6_licenses"):
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.license_places(text[r.doc_id])
+        labels, score = brute.license_labels(text[r.doc_id])
+        assert (r.labels, r.score) == (labels, pytest.approx(score))
+
+
+def test_query_op7(spark, real):
+    rows = records(real)
+    terms = brute.disclosing_terms(rows)
+    for r in rows_of(spark, "op7_pii"):
+        text = next(d["text"] for d in rows if d["doc_id"] == r.doc_id)
+        spans = brute.pii_spans(text)
+        more = brute.term_spans(text, spans, terms)
+        assert r.base_sha256 == brute.span_sha(spans) and r.spans == ",".join(f"{k}:{a}:{z}" for k, a, z in spans + more)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in spans) for k in ("email", "ip", "card", "phone"))
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        who = int(rng.integers(0, 12))
+        words = [f"word{int(w)}" for w in rng.zipf(1.5, 20) if w < 300]
+        rows.append((i, " ".join(words + ([f"Name{who} Town{who // 3}", f"u{who}@x.org"] if rng.random() < 0.5 else [f"name{who}"] * int(rng.random() < 0.1)))))
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = brute.disclosing_terms([{"doc_id": i, "text": t} for i, t in rows])
+    assert len(terms) > 3
+    for r in pii.find_pii(df).collect():
+        text = rows[r.doc_id][1]
+        assert [("term", t.start, t.end) for t in r.terms] == brute.term_spans(text, brute.pii_spans(text), terms)
+
+
+def test_query_op8_op9(spark, real):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = rows_of(spark, "op8_quality")
+    assert len(got) == real.count() and all(r.held_out == brute.held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert np.mean([r.predicted == labels[r.doc_id] for r in got if r.doc_id in labels]) > 0.85
+    rows, sizes = records(real), {}
+    for d in rows:
+        sizes[d["source"]] = sizes.get(d["source"], 0) + len(brute.WORD.findall(d["text"] or ""))
+    want, source, taken = brute.targets(sizes), {d["doc_id"]: d["source"] for d in rows}, dict.fromkeys(sizes, 0)
+    for r in rows_of(spark, "op9_mixing"):
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r["size"]
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+@pytest.mark.parametrize("name", ["a`b", "a.b c", "_d", "n"])
+def test_columns_with_clashing_names(spark, docs, name):
+    """Extra columns of any name go through every operator that keeps its rows."""
+    nested = F.struct(F.lit(1).alias("odd name"), F.array(F.lit("y")).alias("z`z"))
+    some = docs.filter("doc_id in (0, 5, 10, 25)").withColumn(name, nested)
+    model = quality.fit([], [])
+    for run in (linededup.drop_repeated_lines, secrets.find_secrets, neardup.drop_near_duplicates, pii.sanitise, mixing.mix_documents, lambda x: bpe.encode(x, queries.vocabulary()), lambda x: quality.score(x, model)):
+        out = run(some).collect()
+        assert {r.doc_id for r in out} <= {0, 5, 10, 25} and out and all(r[name]["z`z"] == ["y"] for r in out)
+
+
+def test_quality_of_repeated_and_odd_rows(spark):
+    rows = [(1, "fine words here"), (1, "fine words here"), (2, None), (3, ""), (4, " \n "), (None, "x" * 100_000)]
+    out = quality.score(spark.createDataFrame(rows, "doc_id long, text string"), quality.fit(["good words " * 9, "bad ### $$$ " * 9] * 30, [1, 0] * 30)).collect()
+    score = [r.score for r in out]
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id == 1}) == 1 and all(0 <= s <= 1 for s in score)
+    assert {r.score for r in out if r.doc_id in (2, 3)} == {0.5}
 
 
 def test_pipeline(spark):
+    """Every stage on what the one before kept, against the plain versions; rows of the result against their tokens."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as P
+    from entroflow.llm.common import stage
 
     docs = queries.documents(spark, SF)
-    out = P.run(spark, SF).collect()
-    # Each stage again, by the plain versions.
-    kept = {r.doc_id for r in P.keep_quality(spark, docs, SF).collect()}
-    rows = [d for d in records(docs) if d["doc_id"] in kept]
-    lines = brute.line_dedup(rows)
-    rows = [d | {"text": lines[d["doc_id"]][2]} for d in rows]
-    groups = brute.near_duplicates(rows, 5)
-    rows = [d for d in rows if groups[d["doc_id"]][1] == d["doc_id"]]
-    assert {r.doc_id for r in out} <= {d["doc_id"] for d in rows}
-    sizes = {}
-    for d in rows:
-        sizes[d["source"]] = sizes.get(d["source"], 0) + len(brute.WORD.findall(d["text"]))
-    want = brute.targets(sizes)
-    taken = dict.fromkeys(sizes, 0)
+    columns = docs.columns
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = stage(P.keep_quality(spark, docs, SF), "t")
+    want = {r.doc_id for r in quality.score(docs, quality.fit_on(docs, labels)).filter("predicted = 1").collect()}
+    assert {r.doc_id for r in good.collect()} == want and good.columns == columns
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert np.mean([(d in want) == bool(y) for d, y in known.items()]) > 0.85
+    lines, plainly = stage(P.drop_lines(spark, good, SF), "t"), brute.line_dedup(records(good))
+    assert {r.doc_id: r.text for r in lines.collect()} == {d: x[2] for d, x in plainly.items()} and lines.columns == columns
+    assert all(r.n_chars == len(r.text) for r in lines.collect())
+    single, groups = stage(P.drop_near_copies(spark, lines, SF), "t"), brute.near_duplicates(records(lines), 5)
+    assert {r.doc_id for r in single.collect()} == {d for d, (_, c) in groups.items() if c == d} and single.columns == columns
+    mixed, rows, sizes = stage(P.mix_sources(spark, single, SF), "t"), {r["doc_id"]: r for r in records(single)}, {}
+    for d in rows.values():
+        sizes[d["source"]] = sizes.get(d["source"], 0) + len(brute.WORD.findall(d["text"] or ""))
+    targets, taken, each = brute.targets(sizes), dict.fromkeys(sizes, 0), {}
+    for r in mixed.collect():
+        words = brute.WORD.findall(r.text or "")
+        taken[r.source] += len(words)
+        each[r.doc_id] = each.get(r.doc_id, 0) + len(words)
+        assert r.text == rows[r.doc_id]["text"] or all(w in (rows[r.doc_id]["text"] or "") for w in words)
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in targets) and mixed.columns == columns
+    assert all(n <= 2 * len(brute.WORD.findall(rows[d]["text"] or "")) for d, n in each.items())
+    out, lib = P.run(spark, SF).collect(), Tokenizer.from_file(queries.vocabulary())
+    assert sorted((r.doc_id, r.text or "") for r in out) == sorted((r.doc_id, r.text or "") for r in mixed.collect())
     for r in out:
-        taken[r.source] += len(brute.WORD.findall(r.text or ""))
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
-    assert os.path.exists(P.__file__)
+        assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(r.text or "", add_special_tokens=False).ids
