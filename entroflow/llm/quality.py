@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,18 +108,29 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 
 def _word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    split = [_TOKEN.findall(t) for t in texts]
-    df = Counter(x for own in split for x in set(own))
-    shapes = Counter(shape(x) for own in split for x in set(own))
-    words = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= 5][:VOCABULARY]
-    names = words + [s for s, n in sorted(shapes.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY]
+    """Rows of words and shapes, and their vectors. Texts are held as numbers of distinct tokens, not as lists of strings."""
+    number: dict[str, int] = {}
+    split = [np.fromiter((number.setdefault(x, len(number)) for x in _TOKEN.findall(t)), np.int32) for t in texts]
+    tokens = list(number)
+    form: dict[str, int] = {}
+    shape_of = np.array([form.setdefault(shape(x), len(form)) for x in tokens], np.int64)
+    df, shapes = np.zeros(len(tokens), np.int64), np.zeros(len(form), np.int64)
+    for own in split:
+        df[np.unique(own)] += 1
+        shapes[np.unique(shape_of[own])] += 1
+    often = lambda names, n, least: sorted((x for x, k in zip(names, n.tolist()) if k >= least), key=lambda x: (-n[names[x]], x))[:VOCABULARY]
+    names = often(number, df, 5) + often(form, shapes, 3)
     rows = {w: k for k, w in enumerate(names)}
     index = np.stack([*(index_vector(w) for w in names), np.zeros(WIDTH, np.float32)])
+    row_of = np.array([rows.get(x, rows.get(s, len(names))) for x, s in zip(tokens, np.array(list(form), object)[shape_of].tolist() if tokens else [])], np.int64)
     sums = np.zeros_like(index)
     for own in split:
-        at = np.array([rows.get(x, rows.get(shape(x), len(names))) for x in own], np.int64)
-        for a, b in ((at[:-1], at[1:]), (at[1:], at[:-1])):
-            np.add.at(sums, a, index[b])
+        at = row_of[own]
+        for a in range(0, max(len(at) - 1, 0), 50_000):  # in blocks: a text may be long
+            left, right = at[a : a + 50_000], at[a + 1 : a + 50_001]
+            left = left[: len(right)]
+            np.add.at(sums, left, index[right])
+            np.add.at(sums, right, index[left])
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     return rows, index / np.sqrt(8) + sums / np.maximum(norm, 1e-9)
 
@@ -134,7 +144,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, seed: int = 3) ->
     model = Model(rows, vectors, z, z + 1, e, np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 1.0, share)
     if len(y) < 2 or not 0 < share < 1:
         return model
-    x = model.pool(texts, {})
+    cache: dict[str, int] = {}
+    x = np.concatenate([model.pool(texts[a : a + 16], cache) for a in range(0, len(texts), 16)])
     model.center, model.scale = x.mean(0), x.std(0) + 1e-3
     x = (x - model.center) / model.scale
     rng = np.random.default_rng(seed)
