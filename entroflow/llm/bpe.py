@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import as_text, map_batches, slices, without
 
-#: Chunks remembered by a Python worker; the table is emptied when it grows beyond. Longer chunks aren't remembered.
-CACHE_CHUNKS, CACHE_LETTERS = 250_000, 256
+#: Chunks remembered by a Python worker; the table is halved when it grows beyond. Longer chunks aren't remembered.
+CACHE_CHUNKS, CACHE_LETTERS = 120_000, 256
 #: Words of more letters are merged one by one, in time n log n; shorter ones all at once, a merge of each in a round.
 LONG_WORD = 256
 #: White space to str.split() which the vocabularies' \s does not match.
@@ -251,9 +252,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         for kept in (self.cache, self.word_cache):
-            if len(kept) > CACHE_CHUNKS:
-                kept.clear()
-        split = []
+            if len(kept) > CACHE_CHUNKS:  # frequent chunks come early: the first half stays
+                for c in list(itertools.islice(kept, CACHE_CHUNKS // 2, None)):
+                    del kept[c]
+        split, odd = [], []
         for text in texts:
             parts: list[str | bytes] = []
             segments = self.special_split.split(text) if any(x in text for x in self.special) else [text]
@@ -265,6 +267,7 @@ class Codec:
                 else:
                     parts += [w for w, _ in self.split(self.normalize(seg))]
             split.append(parts)
+            odd.append(len(segments) > 1)
         known = self.cache if self.plain else self.word_cache
         new = [c for c in {c for parts in split for c in parts}.difference(known) if isinstance(c, str)]
         if self.plain:
@@ -272,7 +275,7 @@ class Codec:
         else:
             self._learn_words([new])
         get = known.__getitem__
-        out = [b"".join(map(get, parts)) if not any(type(c) is bytes for c in parts) else b"".join(c if type(c) is bytes else get(c) for c in parts) for parts in split]
+        out = [b"".join(map(get, parts)) if not special else b"".join(c if type(c) is bytes else get(c) for c in parts) for parts, special in zip(split, odd)]
         if any(len(c) > CACHE_LETTERS for c in new):
             for kept in (self.cache, self.word_cache):
                 for c in [c for c in kept if len(c) > CACHE_LETTERS]:
@@ -295,7 +298,7 @@ def codec(path: str) -> Codec:
 def _round_trip(path: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             packed = own.encode(as_text(batch.column("text")))
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["n_tokens"] = pa.array([len(x) // 4 for x in packed], pa.int64())

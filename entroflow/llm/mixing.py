@@ -172,7 +172,7 @@ def mix_documents(docs: DataFrame, shard: bool = False, **options) -> DataFrame:
     identity = lambda d, s, size: F.struct(d.cast("long").alias("d"), s.cast("string").alias("s"), size.alias("n"))
     plan = mix_plan(docs, **options)[0]
     plan = stage(plan.groupBy(identity(F.col("doc_id"), F.col("source"), F.col("size")).alias(at)).agg(F.array_sort(F.collect_list("ranges")).alias(own)), "mix_plan")
-    sized = docs.withColumn(n, word_count(F.col("text"))).withColumn(key, identity(F.col("doc_id"), F.col("source"), col(n)))
+    sized = docs.withColumn(n, word_count(F.col("text"))).withColumn(key, identity(F.col("doc_id"), F.col("source"), col(n)).cast(plan.schema[at].dataType))  # of the very type, so that join and window share a shuffle
     both = sized.join(plan, col(key) == col(at)).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))))
     ranges = F.element_at(col(own), col(rank))
     empty = F.array(F.struct(F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("words"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id", F.lit(seed)), F.lit(shards)).alias("shard")))

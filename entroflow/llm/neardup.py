@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, mix, slices, small, stage
+from .common import as_bytes, fresh, handing_back, mix, slices, small, stage
 from .graph import components
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 5, 512, 1024
@@ -256,7 +256,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     """Check links (u, v) on full shingle sets: u, v, linked."""
     ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pair_ids")
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
-    sets = stage(chosen.mapInArrow(_sets(words), "id long, grams array<long>").dropDuplicates(["id"]), "pair_sets")
+    sets = stage(chosen.mapInArrow(handing_back(_sets(words)), "id long, grams array<long>").dropDuplicates(["id"]), "pair_sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b")).cast("long")
     sized = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     linked with nothing. Rows that repeat a doc_id get its result each and are kept or dropped alike. A null doc_id
     is linked with nothing, in no component and kept. An empty table gives an empty result.
     """
-    signs = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(words, bands, rows), "doc_id long, n long, s1 long, s2 long, sketch binary, bands array<long>"), "signatures")
+    signs = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(handing_back(_signatures(words, bands, rows)), "doc_id long, n long, s1 long, s2 long, sketch binary, bands array<long>"), "signatures")
     full = signs.filter("n > 0 and doc_id is not null")
     classes = stage(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
     heads = stage(full.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch", "bands").dropDuplicates(["id"]), "heads")
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     placed = members.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
     placed = placed.join(heads.select("id", "n", "sketch"), "id").select("key", "chunk", "id", "n", "sketch")
     dealt = placed.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("key", "chunk", "id")
-    forest = stage(dealt.mapInArrow(_chunk_forests(most, percent), "key long, u long, v long"), "forest")
+    forest = stage(dealt.mapInArrow(handing_back(_chunk_forests(most, percent)), "key long, u long, v long"), "forest")
     first = stage(confirm(docs, forest.select("u", "v").distinct(), words, percent), "confirmed")
     found = stage(components(first.filter("linked").select("u", "v")), "components")
 
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     spread = spread.withColumn("block", block).withColumn("with", F.explode(meets))
     spread = spread.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("int(block > with)").alias("side"), "id", "component")
     spread = spread.join(heads.select("id", "n", "sketch"), "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
-    more = stage(spread.mapInArrow(_block_pairs(most, percent), "key long, u long, v long").select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "more_pairs")
+    more = stage(spread.mapInArrow(handing_back(_block_pairs(most, percent)), "key long, u long, v long").select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "more_pairs")
     heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     if not more.isEmpty():
         ends = confirm(docs, more, words, percent).filter("linked").select("u", "v")

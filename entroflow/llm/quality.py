@@ -28,7 +28,7 @@ from .common import as_text, map_batches, slices, stage, without
 FIT_DOCUMENTS, FIT_LETTERS, VOCABULARY, WIDTH, HIDDEN, THRESHOLD = 4000, 40_000_000, 20_000, 48, 24, 0.3
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
-_KEPT = 300_000
+_KEPT = 100_000
 
 
 def shape(token: str) -> str:
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=1 << 18):
             s = own.scores(as_text(batch.column("text")), cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
