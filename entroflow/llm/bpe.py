@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .common import as_text, map_batches, slices, without
 
 #: Chunks remembered by a Python worker; the table is halved when it grows beyond. Longer chunks aren't remembered.
-CACHE_CHUNKS, CACHE_LETTERS = 120_000, 256
+CACHE_CHUNKS, CACHE_LETTERS = 160_000, 256
 #: Words of more letters are merged one by one, in time n log n; shorter ones all at once, a merge of each in a round.
 LONG_WORD = 256
 #: White space to str.split() which the vocabularies' \s does not match.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _NEVER = 2**40
+#: Letters by which the longest token of a beginning is looked up.
+_HEAD = 4
 # The word-splitting rule of the vocabulary file.
 _SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for chunks of printable ASCII and Latin letters whose lower case is one letter.
@@ -69,7 +71,11 @@ class Codec:
         self.pieces = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
         for piece, i in [*self.ids.items(), *self.special.items()]:
             self.pieces[i] = piece
-        self.longest = max(len(x.removesuffix(self.end)) for x in self.ids)
+        self.reach: dict[str, int] = {}
+        for x in self.ids:
+            x = x.removesuffix(self.end)
+            if len(x) >= _HEAD:
+                self.reach[x[:_HEAD]] = max(len(x), self.reach.get(x[:_HEAD], 0))
         self._orders(model["merges"])
         self.cache: dict[str, bytes] = {}
         self.word_cache: dict[str, bytes] = {}
@@ -99,9 +105,12 @@ class Codec:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; orders of the tokens, empty if a letter is unknown."""
-        out, at, n, order, end = [], 0, len(word), self.order, self.end
+        out, at, n, order, end, reach = [], 0, len(word), self.order, self.end, self.reach
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
+            # No token is longer than those that begin with the same letters; of other beginnings none has so many letters.
+            left = n - at
+            most = min(left, reach.get(word[at : at + _HEAD], _HEAD - 1)) if left >= _HEAD else left
+            for stop in range(at + most, at, -1):
                 got = order.get(word[at:] + end if stop == n else word[at:stop])
                 if got is not None:
                     out.append(got)
@@ -205,7 +214,8 @@ class Codec:
             rank[at] = self._rank(token[at], token[at + 1])
         return out
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word."""
         proposals = [self.propose(w) for w in words]
         sizes = np.array([len(x) for x in proposals], np.int64)
         flat = np.fromiter((o for x in proposals for o in x), np.int64, int(sizes.sum()))
@@ -215,20 +225,22 @@ class Codec:
             inner = owner[1:] == owner[:-1]
             fails = owner[1:][inner][~self.compatible(flat[:-1][inner], flat[1:][inner])]
             good[fails] = False
-        ids, ends = self.id_of[flat], np.cumsum(sizes)
-        out = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        packed, ends = self.id_of[flat].tobytes(), 4 * np.cumsum(sizes)
+        out = [packed[a:z] for a, z in zip((ends - 4 * sizes).tolist(), ends.tolist())]
         failing = []
         for k in np.flatnonzero(~good).tolist():
             if len(words[k]) > LONG_WORD:
-                out[k] = self.merge_long(words[k])
+                out[k] = self.merge_long(words[k]).tobytes()
             else:
                 failing.append(k)
         for k, got in zip(failing, self.merge([words[k] for k in failing])):
-            out[k] = got
+            out[k] = got.tobytes()
         return out
 
     def words_of(self, chunk: str) -> list[str]:
         """A chunk's words in byte-level letters. Plain Latin is split here, by the same rule; the rest by the library."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         if _PLAIN.fullmatch(chunk):
             return [w if w.isascii() else w.translate(_LETTERS) for w in _PARTS.findall(chunk.lower())]
         return [w for w, _ in self.split(self.normalize(chunk))]
@@ -236,14 +248,14 @@ class Codec:
     def _learn_words(self, split: list[list[str]]) -> None:
         """Encode words into the word cache."""
         words = list({w for own in split for w in own}.difference(self.word_cache))
-        self.word_cache.update(zip(words, (x.tobytes() for x in self.encode_words(words))))
+        self.word_cache.update(zip(words, self.encode_words(words)))
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks into the cache."""
         split = [self.words_of(c) for c in chunks]
         self._learn_words(split)
         get = self.word_cache.__getitem__
-        self.cache.update((c, b"".join(map(get, own))) for c, own in zip(chunks, split))
+        self.cache.update((c, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for c, own in zip(chunks, split))
 
     def encode_plain(self, text: str) -> list[str]:
         """Chunks of a text without special tokens; a text with odd white space is one chunk."""
