@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,7 @@ class Codec:
         self.pieces = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
         for piece, i in [*self.ids.items(), *self.special.items()]:
             self.pieces[i] = piece
+        self.texts = pa.array(self.pieces, pa.string())
         self.reach: dict[str, int] = {}
         for x in self.ids:
             x = x.removesuffix(self.end)
@@ -294,12 +296,13 @@ class Codec:
                     del kept[c]
         return out
 
-    def decode(self, ids: list[bytes]) -> list[str]:
+    def decode(self, ids: list[bytes]) -> pa.Array:
         """Texts of packed ids, by the file's decoder; pieces are joined by a space where it has none."""
         if self.library:
-            return self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
-        get = self.pieces.__getitem__
-        return [" ".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            return pa.array(self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False), pa.string())
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        taken = self.texts.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), " ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -316,7 +319,7 @@ def _round_trip(path: str, decode: bool):
             columns["n_tokens"] = pa.array([len(x) // 4 for x in packed], pa.int64())
             columns["ids"] = pa.array(packed, pa.binary())
             if decode:
-                columns["decoded"] = pa.array(own.decode(packed), pa.string())
+                columns["decoded"] = own.decode(packed)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -327,7 +330,7 @@ def _decode(path: str):
         own = codec(path)
         for batch in slices(batches, "ids"):
             columns = {n: batch.column(n) for n in batch.schema.names}
-            columns["decoded"] = pa.array(own.decode(batch.column("ids").fill_null(b"").to_pylist()), pa.string())
+            columns["decoded"] = own.decode(batch.column("ids").fill_null(b"").to_pylist())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run

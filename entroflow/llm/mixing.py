@@ -20,6 +20,8 @@ from .common import col, fresh, stage
 BLOCK, SHARDS, ROUNDS, SEED = 256, 64, 16, 17
 #: Weights by a source's rank, repeating; share of all words; most times that a source is used.
 WEIGHTS, SHARE_PERCENT, MOST = (5, 2, 1), 150, 2
+#: Words of a shard that one task sorts, about.
+SHARD_WORDS = 4_000_000
 #: Documents in a piece of the corpus, within which a source's words are summed in order; pieces summed in one go.
 PIECE, PIECES = 500, 1024
 _WORD, _SPACED = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -164,7 +166,7 @@ def mix_documents(docs: DataFrame, shard: bool = False, **options) -> DataFrame:
     if the pass takes all, else the words taken with the white space after each. Documents without words stay, once,
     as they are. Columns named n_chars follow the text; others are carried along, whatever their names.
 
-    A shard's rows stand together, in hashed order; `shard` adds its number as a last column. Rows that share doc_id,
+    A shard's rows stand together, in hashed order (in several partitions if they are very many); `shard` adds its number as a last column. Rows that share doc_id,
     source and size are taken in any order; an empty table gives an empty result.
     """
     shards, seed = options.get("shards", SHARDS), options.get("seed", SEED)
@@ -184,6 +186,9 @@ def mix_documents(docs: DataFrame, shard: bool = False, **options) -> DataFrame:
     part = F.array_join(F.flatten(F.transform(taken, lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), "")
     whole = F.aggregate(taken, F.lit(0).cast("long"), lambda x, r: x + r["words"]) == col(n)
     out = rows.withColumn(put, F.when(whole, F.col("text")).otherwise(part)).withColumn(to, col(taken)[0]["shard"])
-    out = out.repartition(shards, col(to)).sortWithinPartitions(to, F.xxhash64("doc_id", col(taken)[0]["pass"], F.lit(seed)))
+    # A shard of more words than a task should sort falls into parts.
+    words = plan.agg(F.sum(F.aggregate(F.flatten(own), F.lit(0).cast("long"), lambda x, r: x + r["words"]))).first()[0] or 0
+    parts = 1 + words // (shards * SHARD_WORDS)
+    out = out.repartition(shards * parts, col(to), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions(to, F.xxhash64("doc_id", col(taken)[0]["pass"], F.lit(seed)))
     more = [col(to).alias("shard")] if shard else []
     return out.select([col(put).alias("text") if c == "text" else (F.coalesce(F.length(put), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else col(c)) for c in docs.columns] + more)
