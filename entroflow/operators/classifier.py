@@ -83,6 +83,19 @@ def n_params(p: steps.Parameters) -> float:
     return d * (p.clusters + 1) + (len(p.classes) - 1) * p.clusters
 
 
+#: What tools that drive models may rely on.
+TRAITS = {
+    "human_name": "Entropy-regularised classifier",
+    "features": "numeric columns or one array column, without null or NaN",
+    "label": "any column of few values",
+    "iteration_parameter": "max_iter",
+    "supports_weights": True,
+    "supports_training_losses": True,
+    "reports_feature_importances": True,
+    "reporting_operations": ("predict",),
+}
+
+
 @dataclass(frozen=True)
 class EspaClassifier:
     """Settings. eps_c weighs labels (0: blind to them), eps_w the entropy of feature weights (infinite: uniform)."""
@@ -211,7 +224,7 @@ class EspaClassifier:
         return new, far - self.eps_c / rows * told - (0 if math.isinf(self.eps_w) else self.eps_w * steps.entropy_of(new.importances))
 
     def _train(self, data, p, label, w, rows, now, budget, seconds) -> Model:
-        losses, before, iteration, started = [], math.inf, 0, time.monotonic()
+        losses, before, iteration, started, stats = [], math.inf, 0, time.monotonic(), {}
         while not converged(iteration, budget, before, now, self.tol):
             stats = steps.statistics(data, p, label, self.eps_c, rows, w, self.lowering)
             before = now
@@ -231,4 +244,6 @@ class EspaClassifier:
             n = np.array([stats[k][3] for k in alive])
             p = p.change(centroids=[p.centroids[k] for k in alive], probabilities=(n / n.sum(1, keepdims=True)).tolist())
             seconds["unbias"] = time.monotonic() - started
-        return Model(p, self, Report(iteration, losses, n_params(p), list(p.classes), seconds))
+        rows_of = sum((n for _, _, _, n in stats.values()), np.zeros(len(p.classes)))
+        seen = [c for c, n in zip(p.classes, rows_of) if n > 0]
+        return Model(p, self, Report(iteration, losses, n_params(p), seen, seconds))

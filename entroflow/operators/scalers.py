@@ -7,16 +7,18 @@ min-max, two numbers a column, is collected.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def check_columns(df: DataFrame, features: list[str]) -> None:
-    """The table must have the fitted columns (others are carried along)."""
-    if missing := [f for f in features if f not in df.columns]:
-        raise ValueError(f"columns differ from the fitted ones: missing {missing}, present {[c for c in df.columns if c not in features]}")
+def check_columns(df: DataFrame, features: list[str], carry: Iterable[str] = ()) -> None:
+    """The table must have the fitted columns, in any order, and besides them none but those named to be carried along."""
+    missing, more = [f for f in features if f not in df.columns], [c for c in df.columns if c not in features and c not in carry]
+    if missing or more:
+        raise ValueError(f"columns differ from the fitted ones: missing {missing}, unknown {more}")
 
 
 def check_range(lo: float, hi: float) -> None:
@@ -63,12 +65,12 @@ class MinMaxScaler:
             return F.lit(float("nan"))
         return F.lit(lo) if hi == lo or a == b else (s.cast("double") - a) / (b - a) * (hi - lo) + lo
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        check_columns(df, list(self.bounds))
+    def transform(self, df: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
+        check_columns(df, list(self.bounds), carry)
         return df.withColumns({f: F.when(F.col(f).isNotNull(), self.forward(F.col(f), *b)) for f, b in self.bounds.items()})
 
-    def inverse_transform(self, df: DataFrame) -> DataFrame:
-        check_columns(df, list(self.bounds))
+    def inverse_transform(self, df: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
+        check_columns(df, list(self.bounds), carry)
         return df.withColumns({f: F.when(F.col(f).isNotNull(), self.backward(F.col(f), *b)) for f, b in self.bounds.items()})
 
 
@@ -139,7 +141,7 @@ class QuantileTransformer:
         return both.select(*key, "feature", F.when(F.col("v").isNotNull(), F.coalesce(value, F.lit(float("nan")))).alias("v"))
 
     def _wide(self, df: DataFrame, key: list[str], step) -> DataFrame:
-        check_columns(df, self.features)
+        check_columns(df, self.features, key)
         out = step(melt(df, key, self.features)).groupBy(*key).pivot("feature", self.features).agg(F.first("v"))
         return df.select(*key).join(out, key, "left")
 

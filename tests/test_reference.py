@@ -92,8 +92,11 @@ def test_minmax(spark):
     assert all(math.isnan(v) for v in nan.bounds["a"])
     with pytest.raises(ValueError):
         MinMaxScaler((1.0, 0.0))
-    with pytest.raises(ValueError):
-        s.transform(x.drop("b"))
+    for odd in (x.drop("b"), x.withColumn("c", F.lit(1.0))):
+        for step in (s.transform, s.inverse_transform):
+            with pytest.raises(ValueError, match="columns differ"):
+                step(odd)
+    assert s.transform(x.withColumn("c", F.lit(1.0)), carry=["c"]).columns == ["a", "b", "c"]
 
 
 def test_quantile(spark):
@@ -183,22 +186,21 @@ def test_zero_weight_cluster_gets_zero_centroid():
 
 
 def test_split_fit_equals_one(spark):
-    df = blobs(spark)
-    one = EspaClassifier(max_iter=4, tol=1e-300, unbias=False, verbosity=0)
+    df, start = blobs(spark), {"centroids": [[0.2, 0.1, 0.0], [0.6, 0.9, 0.1], [0.1, 0.7, 0.2]]}
+    one = EspaClassifier(max_iter=2, tol=1e-300, unbias=False, verbosity=0, initial=start)
     whole = one.fit(df, X, "y", ["id"])
-    part = EspaClassifier(max_iter=2, tol=1e-300, unbias=False, verbosity=0)
-    more = part.update(part.fit(df, X, "y", ["id"]), df, "y", ["id"], extra_iter=2)
-    if whole.report.iterations == 4:
-        assert more.report.losses == pytest.approx(whole.report.losses, abs=1e-10)
-        assert np.allclose(more.parameters.centroids, whole.parameters.centroids, atol=1e-10)
+    part = EspaClassifier(max_iter=1, tol=1e-300, unbias=False, verbosity=0, initial=start)
+    more = part.update(part.fit(df, X, "y", ["id"]), df, "y", ["id"], extra_iter=1)
+    assert whole.report.iterations == more.report.iterations == 2
+    assert more.report.losses == pytest.approx(whole.report.losses, abs=1e-10)
+    assert np.allclose(more.parameters.centroids, whole.parameters.centroids, atol=1e-10)
 
 
 def test_settings_and_convergence(spark):
     for bad in ({"clusters": 0}, {"eps_c": -1.0}, {"eps_w": 0.0}, {"max_iter": 0}, {"tol": 0.0}):
         with pytest.raises(ValueError):
             EspaClassifier(**bad)
-    losses = [10, 5, 2, 1.9, 1.899999, 1.899998]
-    assert not converged(3, 99, losses[2], losses[3], 1e-6) and converged(5, 99, losses[4], losses[5], 1e-6)
+    assert not converged(4, 99, 3.0, 2.5, 1e-4) and converged(7, 99, 2.0, 1.99999, 1e-4)
     assert converged(2, 2, 5, 1, 1e-9) and not converged(0, 9, 1, 1, 1)
     df = spark.createDataFrame([(1, 1.0, "a"), (2, math.nan, "b"), (3, 2.0, "b")], "id int, x double, y string")
     with pytest.raises(ValueError, match="NaN"):
@@ -207,6 +209,28 @@ def test_settings_and_convergence(spark):
         EspaClassifier(clusters=9).fit(df.filter("id <> 2"), ["x"], "y", ["id"])
 
 
+def test_warnings_of_a_fit(spark):
+    """Budgets that run out and losses that rise are told, unless the budget is one iteration or nobody listens."""
+    df, start = blobs(spark), {"centroids": [[0.2, 0.1, 0.0], [0.6, 0.9, 0.1], [0.1, 0.7, 0.2]]}
+    fit = lambda **o: EspaClassifier(mi_init=False, tol=1e-300, initial=start, **o).fit(df, X, "y", ["id"])
+    with pytest.warns(UserWarning, match="no convergence within 2"):
+        fit(max_iter=2)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        fit(max_iter=1)
+        fit(max_iter=2, verbosity=0)
+    rising = iter([3.0, 2.0, 2.5])
+    settings = EspaClassifier(max_iter=3)
+    with pytest.MonkeyPatch.context() as patch, pytest.warns(UserWarning, match="rose from 2.0 to 2.5"):
+        patch.setattr(EspaClassifier, "_step", lambda self, stats, p, rows: (p, next(rising)))
+        settings._train(df, steps.Parameters(X, ["a", "b", "c"], start["centroids"], [0.3, 0.3, 0.4], [[0.4, 0.3, 0.3]] * 3), "y", None, 90, 9.0, 3, {})
+
+
+def test_classes_that_occur(spark):
+    m = EspaClassifier(max_iter=1, mi_init=False, verbosity=0).fit(blobs(spark).filter("y <> 'b'"), X, "y", ["id"], classes=["a", "b", "c"])
+    assert m.report.classes_seen == ["a", "c"] and m.parameters.classes == ["a", "b", "c"] and all(r[1] == 0 for r in m.parameters.probabilities)
+
+
 def test_model_is_saved_and_streams(spark, tmp_path):
     from entroflow.streaming.apply import predict, read
 
