@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import EPS, digamma, hash_uniform
+from ..functions.ordered import carried, cuts_of, pieces, with_piece
 from .scalers import melt
 
 TRIFLE = 1e-11
@@ -22,17 +23,35 @@ def _radius(k: int, by) -> F.Column:
     return F.least(*options)
 
 
+def _borders(rows: DataFrame, k: int) -> DataFrame:
+    """feature, label, piece, v: for each piece of a class the k values before it and the k after it, as rows of its own."""
+    up, down = pieces("feature", "label").orderBy("v", "id"), pieces("feature", "label").orderBy(F.desc("v"), F.desc("id"))
+    told = rows.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
+    ends = told.groupBy("feature", "label", "piece").agg(F.collect_list(F.when(F.col("up") <= k, F.col("v"))).alias("first"), F.collect_list(F.when(F.col("down") <= k, F.col("v"))).alias("last"))
+    along = Window.partitionBy("feature", "label").orderBy("piece")  # a row for each piece, none of them without rows
+    before = F.flatten(F.collect_list("last").over(along.rowsBetween(-k, -1)))
+    after = F.flatten(F.collect_list("first").over(along.rowsBetween(1, k)))
+    near = ends.withColumn("before", F.slice(F.sort_array(before, asc=False), 1, k)).withColumn("after", F.slice(F.sort_array(after), 1, k))
+    # An explode keeps as many rows as pieces have borders.
+    return near.select("feature", "label", "piece", F.explode(F.concat("before", "after")).alias("v")).select("feature", "label", "piece", "v")
+
+
 def mutual_information(long: DataFrame, k: int = 3) -> DataFrame:
     """feature, mi of a long table (feature, label, v, id): the kNN estimate between a continuous and a discrete variable.
 
     Classes of one row are left out; where fewer than two classes or rows remain the estimate is 0, and it is never
-    negative. Counts within each row's radius come from one sorted pass over values and interval ends.
+    negative. Counts within each row's radius come from sorting values and interval ends together, piece by piece.
     """
-    sized = long.withColumn("n_c", F.count("*").over(Window.partitionBy("feature", "label"))).filter("n_c > 1")
-    own = Window.partitionBy("feature", "label").orderBy("v", "id")
-    kk = F.least(F.lit(k), F.col("n_c") - 1)
-    radius = F.coalesce(*(F.when(kk == j, _radius(j, own)) for j in range(1, k + 1)))
-    rows = sized.withColumn("k", kk).withColumn("r", radius)
+    classes = F.broadcast(long.groupBy("feature", "label").agg(F.count("*").alias("n_c")).filter("n_c > 1"))  # a row for each class
+    sized = long.join(classes, ["feature", "label"])
+    cuts, most = cuts_of(sized, "v")
+    sized = with_piece(sized, "v", cuts, most).withColumn("k", F.least(F.lit(k), F.col("n_c") - 1))
+    around = sized.select("feature", "label", "piece", "v", "id", "n_c", "k")
+    if most:
+        around = around.unionByName(_borders(around, k), allowMissingColumns=True)
+    own = pieces("feature", "label").orderBy("v", "id")
+    radius = F.coalesce(*(F.when(F.col("k") == j, _radius(j, own)) for j in range(1, k + 1)))
+    rows = around.withColumn("r", radius).filter("n_c is not null")
     tiny = F.col("r") <= EPS
     # Points within the radius: strictly nearer, or up to EPS where the radius is nothing. The radius is drawn in by a
     # trifle, so that rounding in v - r and v + r doesn't take a neighbour at the radius itself for a nearer one.
@@ -41,8 +60,13 @@ def mutual_information(long: DataFrame, k: int = 3) -> DataFrame:
     hi = F.struct((F.col("v") + F.when(tiny, F.lit(EPS)).otherwise(inner)).alias("at"), F.when(tiny, 2).otherwise(0).alias("order"), F.lit(1).alias("sign"))
     point = F.struct(F.col("v").alias("at"), F.lit(1).alias("order"), F.lit(0).alias("sign"))
     events = rows.select("feature", "label", "id", "n_c", "k", F.explode(F.array(point, lo, hi)).alias("e")).select("feature", "label", "id", "n_c", "k", "e.*")
-    running = F.sum(F.when(F.col("sign") == 0, 1).otherwise(0)).over(Window.partitionBy("feature").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0))
-    counted = events.withColumn("c", running).filter("sign <> 0").groupBy("feature", "label", "id").agg(F.sum(F.col("sign") * F.col("c")).alias("m"), F.max("n_c").alias("n_c"), F.max("k").alias("k"))
+    events = with_piece(events, "at", cuts, most)
+    points = F.sum(F.when(F.col("sign") == 0, 1).otherwise(0))
+    running = points.over(pieces("feature").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0))
+    counted = events.withColumn("c", running).filter("sign <> 0")
+    if most:
+        counted = counted.join(F.broadcast(carried(events, ["feature"], points)), ["feature", "piece"]).withColumn("c", F.col("c") + F.col("before"))
+    counted = counted.groupBy("feature", "label", "id").agg(F.sum(F.col("sign") * F.col("c")).alias("m"), F.max("n_c").alias("n_c"), F.max("k").alias("k"))
     means = counted.groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.avg(digamma("k")).alias("a"), F.avg(digamma("n_c")).alias("b"), F.avg(digamma(F.greatest("m", F.lit(1)))).alias("c"))
     mi = F.when(F.col("labels") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), digamma("n") + F.col("a") - F.col("b") - F.col("c")))
     every = long.select("feature").distinct()

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import carried, cuts_of, pieces, with_piece
+
 
 def check_columns(df: DataFrame, features: list[str], carry: Iterable[str] = ()) -> None:
     """The table must have the fitted columns, in any order, and besides them none but those named to be carried along."""
@@ -101,22 +103,36 @@ class QuantileTransformer:
 
     def fit(self, df: DataFrame, features: list[str]) -> QuantileTransformer:
         distinct = melt(df, [], features).filter(finite("v")).distinct()
-        by = Window.partitionBy("feature")
-        knots = distinct.select("feature", F.row_number().over(by.orderBy("v")).cast("long").alias("rank"), F.col("v").alias("value"), F.count("*").over(by).alias("n"))
+        cuts, most = cuts_of(distinct, "v")
+        placed = with_piece(distinct, "v", cuts, most)
+        sums = F.broadcast(carried(placed, ["feature"], F.count("*")))  # a row for each piece
+        knots = placed.join(sums, ["feature", "piece"]).select("feature", (F.col("before") + F.row_number().over(pieces("feature").orderBy("v"))).alias("rank"), F.col("v").alias("value"), F.col("whole").alias("n"))
         return QuantileTransformer(self.feature_range, knots, list(features))
 
+    def _near(self, values: DataFrame) -> DataFrame:
+        """feature, v (distinct), below and above: the knots (rank, v) next to each value."""
+        points = self.knots.select("feature", F.col("value").alias("v"), "rank")
+        cuts, most = cuts_of(points, "v")
+        both = with_piece(values.withColumn("rank", F.lit(None).cast("long")).withColumn("is_value", F.lit(1)).unionByName(points.withColumn("is_value", F.lit(0))), "v", cuts, most)
+        up = pieces("feature").orderBy("v", "is_value").rowsBetween(Window.unboundedPreceding, 0)
+        down = pieces("feature").orderBy(F.desc("v"), "is_value").rowsBetween(Window.unboundedPreceding, 0)
+        knot = F.when(F.col("rank").isNotNull(), F.struct("rank", "v"))
+        near = both.withColumn("below", F.last(knot, ignorenulls=True).over(up)).withColumn("above", F.last(knot, ignorenulls=True).over(down)).filter("is_value = 1")
+        if most:  # the nearest knots of other pieces
+            ends = both.groupBy("feature", "piece").agg(F.min(knot).alias("first"), F.max(knot).alias("last"))
+            along = Window.partitionBy("feature").orderBy("piece")  # a row for each piece
+            ends = ends.select("feature", "piece", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+            near = near.join(F.broadcast(ends), ["feature", "piece"], "left").withColumn("below", F.coalesce("below", "left")).withColumn("above", F.coalesce("above", "right"))
+        return near.select("feature", "v", "below", "above")
+
     def transform_long(self, long: DataFrame) -> DataFrame:
-        """key..., feature, v with v mapped: an as-of search by one sort of values and knots together."""
+        """key..., feature, v with v mapped: an as-of search by sorting pieces of values and knots together."""
         a, b = self.feature_range
         key = [c for c in long.columns if c not in ("feature", "v")]
         k = self.knots
-        values = long.filter(finite("v")).select(*key, "feature", "v", F.lit(None).cast("long").alias("rank"))
-        points = k.select(*(F.lit(None).cast(long.schema[c].dataType).alias(c) for c in key), "feature", F.col("value").alias("v"), "rank")
-        both = values.withColumn("is_value", F.lit(1)).unionByName(points.withColumn("is_value", F.lit(0)))
-        up = Window.partitionBy("feature").orderBy("v", "is_value").rowsBetween(Window.unboundedPreceding, 0)
-        down = Window.partitionBy("feature").orderBy(F.desc("v"), "is_value").rowsBetween(Window.unboundedPreceding, 0)
-        knot = F.when(F.col("rank").isNotNull(), F.struct("rank", "v"))
-        near = both.withColumn("below", F.last(knot, ignorenulls=True).over(up)).withColumn("above", F.last(knot, ignorenulls=True).over(down)).filter("is_value = 1")
+        # Values that rows share are placed once.
+        values = long.filter(finite("v")).select(*key, "feature", "v")
+        near = values.join(self._near(values.select("feature", "v").distinct()), ["feature", "v"])
         n = F.broadcast(k.groupBy("feature").agg(F.max("n").alias("n")))  # a row for each feature
         gap = F.col("above.v") - F.col("below.v")
         place = F.when(F.col("below").isNull(), 0.0).when(F.col("above").isNull(), 1.0)

@@ -38,6 +38,15 @@ def test_query_matches_sql(spark, name):
         assert all(x == y or (isinstance(x, float) and float(x) == float(y)) for x, y in zip(a, b)), (a, b)
 
 
+@pytest.mark.parametrize("name", ["quantile_fit", "quantile_transform", "quantile_interp", "quantile_inverse", "quantile_single", "mi_matrix"])
+def test_order_in_pieces(spark, monkeypatch, name):
+    """The same results when every column falls into many pieces."""
+    from entroflow.functions import ordered
+
+    monkeypatch.setattr(ordered, "PIECE_ROWS", 7)
+    test_query_matches_sql(spark, name)
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
