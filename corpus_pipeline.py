@@ -1,6 +1,9 @@
 """The corpus pipeline: quality classifier, line dedup, near-dedup, mixing, BPE.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
+
+In every stage a null text counts as empty, texts are read whole however long, extra columns of any name are carried
+along, and an empty table gives an empty result. Rows that repeat a doc_id are rows of their own, treated alike.
 """
 
 from __future__ import annotations
@@ -13,29 +16,33 @@ from entroflow.llm.common import docs_table, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled documents of the corpus, doesn't reject."""
+    """Documents that the classifier, fitted on labelled documents of the corpus, doesn't reject. Null and empty
+    texts score the share of good labels; ties at the threshold stay."""
     model = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share; n_chars follows the text."""
+    """Documents without the lines that many of them share; n_chars follows the text. A line stays in the
+    largest doc_id that holds it (in all rows of that id); a document whose lines all go stays, with an empty text."""
     out = linededup.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest
+    doc_id, in all its rows. Documents without words and those without an id stay."""
     return neardup.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: rows for the whole passes over a document and one for the further words taken."""
+    """The mix: a row for each pass that takes words of a document, with its whole text or the words taken. Documents
+    without words stay, once; a null source is a source."""
     return mixing.mix_documents(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with n_tokens and token ids, packed as little-endian 32-bit integers."""
+    """Documents with n_tokens and token ids, packed as little-endian 32-bit integers; none for a text without words."""
     return bpe.encode(docs, queries.vocabulary())
 
 
@@ -52,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of sf_dir; each but the last is written to the shared folder and read again."""
     docs = docs_table(spark, sf_dir)
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes (8 a field, strings and arrays as long as they are) up to which a staged table is broadcast; beyond, a shuffle join.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Stands for a null doc_id inside numpy arrays; below every real id.
 NULL_ID = -(2**63)
 
