@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with n_tokens and token ids, packed as little-endian 32-bit integers; none for a text without words."""
-    return bpe.encode(docs, queries.vocabulary())
+    return bpe.encode(docs, queries.vocabulary(), remember=60_000)  # the workers hold other stages' state besides
 
 
 STAGES = [

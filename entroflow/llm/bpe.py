@@ -69,10 +69,10 @@ class Codec:
         self.end, self.ids = model.get("end_of_word_suffix") or "", model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
+        pieces = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
         for piece, i in [*self.ids.items(), *self.special.items()]:
-            self.pieces[i] = piece
-        self.texts = pa.array(self.pieces, pa.string())
+            pieces[i] = piece
+        self.texts = pa.array(pieces, pa.string())
         self.reach: dict[str, int] = {}
         for x in self.ids:
             x = x.removesuffix(self.end)
@@ -263,12 +263,16 @@ class Codec:
         """Chunks of a text without special tokens; a text with odd white space is one chunk."""
         return [text] if _ODD_SPACE.search(text) else text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def forget(self, most: int) -> None:
+        """Let tables of more than `most` entries keep the first half of these: frequent chunks come early."""
         for kept in (self.cache, self.word_cache):
-            if len(kept) > CACHE_CHUNKS:  # frequent chunks come early: the first half stays
-                for c in list(itertools.islice(kept, CACHE_CHUNKS // 2, None)):
+            if len(kept) > most:
+                for c in list(itertools.islice(kept, most // 2, None)):
                     del kept[c]
+
+    def encode(self, texts: list[str], remember: int = CACHE_CHUNKS) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. remember: entries of the tables kept between calls."""
+        self.forget(remember)
         split, odd = [], []
         for text in texts:
             parts: list[str | bytes] = []
@@ -310,17 +314,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _round_trip(path: str, decode: bool):
+def _round_trip(path: str, decode: bool, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in slices(batches, most=1 << 20):
-            packed = own.encode(as_text(batch.column("text")))
+        for batch in slices(batches, most=1 << 19):
+            packed = own.encode(as_text(batch.column("text")), remember)
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["n_tokens"] = pa.array([len(x) // 4 for x in packed], pa.int64())
             columns["ids"] = pa.array(packed, pa.binary())
             if decode:
                 columns["decoded"] = own.decode(packed)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        own.forget(remember // 8)  # the worker lives on, in other stages too
 
     return run
 
@@ -336,15 +341,16 @@ def _decode(path: str):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, decode: bool = False, remember: int = CACHE_CHUNKS) -> DataFrame:
     """Encode `text`: adds n_tokens and ids (binary: little-endian 32-bit integers), with decode=True also decoded.
 
+    remember: chunks and words that a Python worker remembers, about 0.4 KB each: memory against time, never the result.
     No special tokens are added; their strings in a text are encoded as themselves. A null or empty text has
     no ids. Rows are kept as they are, repeated or not, and so are other columns, whatever their names; those named
     as the added ones are replaced. A text of any length is encoded whole. No shuffle; an empty table gives an empty result.
     """
     docs = without(docs, "n_tokens", "ids", "decoded")
-    return map_batches(docs, _round_trip(vocabulary, decode), "n_tokens long, ids binary" + ", decoded string" * decode)
+    return map_batches(docs, _round_trip(vocabulary, decode, remember), "n_tokens long, ids binary" + ", decoded string" * decode)
 
 
 def decode(df: DataFrame, vocabulary: str) -> DataFrame:

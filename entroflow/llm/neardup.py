@@ -32,7 +32,7 @@ BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 5, 512, 1024
 _WORD_OF = SKETCH_BITS // 64
 #: Members of a band bucket that one task compares at once.
 CHUNK = 512
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,6 +140,7 @@ def _signatures(words: int, bands: int, rows: int):
                 [batch.column("doc_id"), pa.array(sizes), *(pa.array(sets[:, k].view(np.int64)) for k in (0, 1)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))],
                 ["doc_id", "n", "s1", "s2", "sketch", "bands"],
             )
+        _words.clear()
 
     return run
 
@@ -149,6 +150,7 @@ def _sets(words: int):
         for batch in slices(batches):
             flat, sizes = shingles(as_bytes(batch.column("text")), words)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int64)))], ["id", "grams"])
+        _words.clear()
 
     return run
 

@@ -61,7 +61,7 @@ class Model:
     default: float
 
     def __post_init__(self):
-        self.unit = self.vectors / np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
+        self.shrink = 1 / np.maximum(np.linalg.norm(self.vectors, axis=1), 1e-9)
 
     def pool(self, texts: list[str], cache: dict[str, int]) -> np.ndarray:
         """A row for each text: mean and spread of its tokens' vectors and mean product of neighbours', zeros without tokens."""
@@ -87,10 +87,11 @@ class Model:
             mean, square = (np.add.reduceat(weight * x, starts) for x in (own, own * own))
             out[has, :WIDTH], out[has, WIDTH : 2 * WIDTH] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
             owner = np.repeat(np.arange(len(texts)), sizes)
-            for a in range(0, len(at) - 1, 50_000):  # in blocks: a text may be long
-                b = min(a + 50_000, len(at) - 1)
-                text = owner[a:b]
-                product = self.unit[at[a:b]] * self.unit[at[a + 1 : b + 1]] * (text == owner[a + 1 : b + 1])[:, None]
+            for a in range(0, len(at) - 1, 20_000):  # in blocks: a text may be long
+                b = min(a + 20_000, len(at) - 1)
+                text, left, right = owner[a:b], at[a:b], at[a + 1 : b + 1]
+                scale = self.shrink[left] * self.shrink[right] * (text == owner[a + 1 : b + 1])
+                product = self.vectors[left] * self.vectors[right] * scale[:, None]
                 starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
                 out[text[starts], 2 * WIDTH :] += np.add.reduceat(product, starts)
             out[:, 2 * WIDTH :] /= np.maximum(sizes - 1, 1)[:, None]
