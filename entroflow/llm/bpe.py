@@ -62,7 +62,8 @@ class Codec:
         odd += [f"added token {x['content']!r}: {k}" for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
         if odd or not spec.get("pre_tokenizer"):
             raise ValueError(f"{path}: can't be encoded here: {', '.join(odd) or 'no pre_tokenizer'}")
-        rules = Tokenizer.from_file(path)
+        # Without a decoder only the rules are needed: no second copy of the vocabulary.
+        rules = Tokenizer.from_file(path) if spec.get("decoder") else Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.normalize = rules.normalizer.normalize_str if spec.get("normalizer") else str
         self.split = rules.pre_tokenizer.pre_tokenize_str
         self.library = rules if spec.get("decoder") else None
@@ -103,7 +104,11 @@ class Codec:
         values = np.array([len(singles) + r for r in range(len(pairs))])
         first = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_order = np.append(keys[first], np.int64(2**62)), np.append(values[first], 0)
-        self.by_pair = {(self.order[a], self.order[b]): len(singles) + r for r, (a, b) in reversed(list(enumerate(pairs)))}
+
+    @functools.cached_property
+    def by_pair(self) -> dict[int, int]:
+        """Order of each pair's product, the earliest of equal pairs'; made for the first long word."""
+        return dict(zip(self.pair_keys[-2::-1].tolist(), self.pair_order[-2::-1].tolist()))
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; orders of the tokens, empty if a letter is unknown."""
@@ -165,19 +170,19 @@ class Codec:
         ranks = self._rank(at[:-1], at[1:])
         queue = [(r, k) for k, r in enumerate(ranks.tolist()) if r != _NEVER]
         heapq.heapify(queue)
-        get = self.by_pair.get
+        get = lambda a, b: self.by_pair.get(a << 32 | b)
         while queue:
             r, k = heapq.heappop(queue)
             other = after[k]
-            if token[k] < 0 or other < 0 or get((token[k], token[other])) != r:
+            if token[k] < 0 or other < 0 or get(token[k], token[other]) != r:
                 continue
             token[k], token[other] = r, -1
             after[k] = after[other]
             if after[k] >= 0:
                 before[after[k]] = k
-                if (new := get((r, token[after[k]]))) is not None:
+                if (new := get(r, token[after[k]])) is not None:
                     heapq.heappush(queue, (new, k))
-            if before[k] >= 0 and (new := get((token[before[k]], r))) is not None:
+            if before[k] >= 0 and (new := get(token[before[k]], r)) is not None:
                 heapq.heappush(queue, (new, before[k]))
         return self.id_of[np.array([o for o in token if o >= 0], np.int64)]
 
