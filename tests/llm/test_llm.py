@@ -404,6 +404,24 @@ def test_ann_copies(spark):
     assert got == {q: [i for i in range(1, 43, 2) if i != q][:20] for q in range(1, 2000, 100)}
 
 
+def test_ann_visits_by_true_neighbours(spark, monkeypatch):
+    """The visiting ratio follows from neighbours among all rows: those within a small sample lie so far out that nearly all lists were visited."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(24_000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>").repartition(4)
+    for name, v in (("FIT_VECTORS", 800), ("LIST_ROWS", 240)):
+        monkeypatch.setattr(ann, name, v)
+    models, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: models.append(fit(*a)) or models[0])
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 120 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {v for v, _ in own} for q, own in plain(df, 120, 20).items()}
+    assert got.keys() == want.keys() and np.mean([len(want[q] & got[q]) / 20 for q in want]) >= 0.9
+    assert np.mean([len(v) for v in models[0].visits(x[::120])]) < 0.7 * len(models[0].points)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, monkeypatch, small):
     if small:
