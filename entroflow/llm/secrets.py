@@ -3,23 +3,23 @@
 Grammar inference: the labelled examples of a format form a prefix tree with counts; states whose endings and
 transitions are statistically compatible (Hoeffding bounds, applied to all that follows) are merged into a
 probabilistic automaton. Every candidate string of a text is scored by the likelihood of its best format against
-that of an automaton inferred from ordinary words in the same way. Candidates are the stretches of a run of credential
+that of an automaton of ordinary words. Candidates are the stretches of a run of credential
 letters that begin at its start or after a joint (= / - _) and end at its end or before one, without a joint that the
 format never writes; of those that overlap, such are taken as together save most bits. A run without any is scored whole.
-Ordinary words come from the documents themselves: a sample of their distinct words, those of the smallest hashes.
+Ordinary words are those of the documents themselves, every distinct one. There are too many for a prefix tree, so of their
+automaton's states those are merged that share the last ORDER symbols: its counts are bounded, whatever the corpus.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ _PLAIN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _JOINTS, LEAST = frozenset("=/-_"), 20
 #: Examples of each format, exact letters at the start, merging's confidence, bits a letter over ordinary words.
 EXAMPLES, LITERAL, ALPHA, MARGIN = 150, 4, 0.05, 1.0
-#: Labelled examples of a format at most; distinct words of the documents that ordinary words are learnt from, at most.
-MOST_EXAMPLES, WORDS = 2000, 1000
+#: Labelled examples of a format at most; symbols that tell an ordinary word's state; words a task remembers, to send each once.
+MOST_EXAMPLES, ORDER, REMEMBERED = 2000, 4, 100_000
 #: A candidate has a digit and a letter: without a digit it is a word, without a letter a number.
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
@@ -139,6 +139,48 @@ class Automaton:
         return out / max(1, len(text))
 
 
+class Words:
+    """A probabilistic automaton of ordinary words, whose states that share the last ORDER symbols are merged; symbols are
+    classes throughout. counts: (state, symbol, words), as word_steps() has them; a symbol of "" is a word's end."""
+
+    def __init__(self, examples: list[str], counts: Iterable[tuple[str, str, int]] = ()):
+        every = word_steps(examples)
+        for state, a, n in counts:
+            every[state, a] += n
+        self.names = {name: k for k, name in enumerate(sorted({"^"} | {state for state, _ in every}, key=lambda x: (x != "^", x)))}
+        self.count, self.total = [{} for _ in self.names], [0] * len(self.names)
+        for (state, a), n in sorted(every.items()):
+            self.count[self.names[state]][a] = n
+            self.total[self.names[state]] += n
+        self.states = list(self.names)
+        self.steps: dict[tuple[int, str], tuple[float, int]] = {}
+
+    def step(self, s: int, c: str, start: bool) -> tuple[float, int]:
+        """Bits of letter c in state s, and the next state."""
+        got = self.steps.get((s, c))
+        if got is None:
+            a = _CLASS.get(c, c)
+            n = self.count[s].get(a, 0)
+            bits = math.log2(len(_CLASSES.get(a, "1"))) + (math.log2(self.total[s] / n) if n else 16.0)
+            got = self.steps[s, c] = (bits, self.names[(self.states[s] + a)[-ORDER:]] if n else s)
+        return got
+
+    bits = Automaton.bits
+
+
+def word_steps(words: Iterable[str]) -> Counter:
+    """Of words' automaton how often each (state, symbol) is taken; a state is the last ORDER symbols, from ^ at the start."""
+    out: Counter = Counter()
+    for word in words:
+        state = "^"
+        for c in word:
+            a = _CLASS.get(c, c)
+            out[state, a] += 1
+            state = (state + a)[-ORDER:]
+        out[state, ""] += 1
+    return out
+
+
 def labelled_credentials(seed: int = 5, examples: int = EXAMPLES) -> dict[str, list[str]]:
     """Labelled examples: strings in widely documented credential formats, and ordinary words."""
     rng = random.Random(seed)
@@ -160,8 +202,8 @@ def labelled_credentials(seed: int = 5, examples: int = EXAMPLES) -> dict[str, l
 class Formats:
     """Automata of all formats and of ordinary words; a format's limit is what nearly all its examples keep to."""
 
-    def __init__(self, labelled: dict[str, list[str]]):
-        self.words = Automaton(labelled[""])
+    def __init__(self, labelled: dict[str, list[str]], counts: Iterable[tuple[str, str, int]] = ()):
+        self.words = Words(labelled[""], counts)
         self.own = {k: Automaton(v) for k, v in labelled.items() if k}
         self.limit = {k: max(self.own[k].bits(x) for x in v) + 0.25 for k, v in labelled.items() if k}
         self.joints = {k: {(c, i < LITERAL) for x in v for i, c in enumerate(x) if c in _JOINTS} for k, v in labelled.items() if k}
@@ -272,33 +314,49 @@ def labelled_of(table: DataFrame, most: int = MOST_EXAMPLES) -> dict[str, list[s
     return out
 
 
-def corpus_words(docs: DataFrame, most: int = WORDS) -> list[str]:
-    """Of the distinct words of all texts those of the smallest hashes, `most` at most, without what could be a credential."""
+def plain_words(text: str) -> set[str]:
+    """The distinct words of a text, without marks around them and without what could be a credential."""
+    words = (w.strip(".,;:!?()[]'\"") for w in set(text.split()))
+    return {w for w in words if _PLAIN.fullmatch(w) and not (len(w) >= LEAST and _DIGIT.search(w) and _LETTER.search(w))}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, str] = {}
-        for batch in slices(batches):
-            words = {w for t in as_text(batch.column("text")) for w in t.split()}
-            kept |= {xxhash.xxh3_64_intdigest(w) >> 1: w for w in words}
-            kept = {h: kept[h] for h in heapq.nsmallest(4 * most, kept)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.string())], ["h", "w"])
 
-    got = docs.select("text").mapInArrow(run, "h long, w string").distinct().orderBy("h", "w").limit(4 * most).collect()
-    plain = (w for r in got if (w := r["w"].strip(".,;:!?()[]'\"")) and _PLAIN.fullmatch(w) and not (len(w) >= LEAST and _DIGIT.search(w) and _LETTER.search(w)))
-    return list(dict.fromkeys(plain))[:most]
+def corpus_words(docs: DataFrame) -> list[tuple[str, str, int]]:
+    """Of all distinct plain words of all texts how many take each (state, symbol) of their automaton: rows of bounded number."""
 
-
-def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | DataFrame | None = None, words: int = WORDS) -> DataFrame:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, sent = set(), set()
+        for batch in slices(batches):
+            every = {w for t in as_text(batch.column("text")) for w in t.split()}
+            new = plain_words(" ".join(every - raw)) - sent
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["w"])
+            if len(raw) > REMEMBERED:
+                raw, sent = set(), set()
+            raw |= every
+            sent |= new
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
+        for batch in batches:
+            out.update(word_steps(batch.column("w").to_pylist()))
+        rows = [(s, a, n) for (s, a), n in out.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["state", "symbol", "n"])
+
+    distinct = docs.select("text").mapInArrow(words, "w string").distinct()
+    got = distinct.mapInArrow(steps, "state string, symbol string, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n")).orderBy("state", "symbol")
+    return [tuple(r) for r in got.collect()]
+
+
+def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
     """Add n_assign, n_access, n_hex, base_spans and spans (kind:start:end by start, comma-joined) to `docs`.
 
     `labelled`: formats' examples, "" ordinary words, as a mapping or a table (format, example); default:
-    labelled_credentials(). `words` distinct words of the documents are learnt from besides. A null or empty text has no
+    labelled_credentials(). All distinct words of the documents are learnt from besides. A null or empty text has no
     spans. Rows are kept as they are, repeated ones alike, and so are other columns, whatever their names; columns of the
-    added names are replaced. One scan samples the words, one finds the spans; an empty table gives an empty result.
+    added names are replaced. One scan counts the words, one finds the spans; an empty table gives an empty result.
     """
     labelled = dict(labelled_of(labelled) if isinstance(labelled, DataFrame) else labelled or labelled_credentials())
-    labelled[""] = [*(labelled.get("") or labelled_credentials()[""]), *corpus_words(docs, words)]
-    formats = Formats(labelled)
+    labelled[""] = labelled.get("") or labelled_credentials()[""]
+    formats = Formats(labelled, corpus_words(docs))
     docs = without(docs, "n_assign", "n_access", "n_hex", "base_spans", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,24 @@ def test_secrets_of_a_labelled_table(spark, real):
     assert secrets.corpus_words(real) and secrets.corpus_words(real.limit(0)) == []
 
 
+def test_ordinary_words_are_all_words(spark, monkeypatch):
+    """Every distinct word of every text is counted once, however many there are and however they are dealt."""
+    monkeypatch.setattr(secrets, "REMEMBERED", 50)
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abgzABGZ07-_"), int(rng.integers(1, 12)))) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(words, 60)) + ", (end)." + " café a1" + "b" * 30) for i in range(300)] + [(300, None), (301, "")]
+    got = secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = {}
+    for w in {w for _, t in rows for w in (t or "").replace(", (end).", " end ").split() if w != "café" and not w.endswith("b" * 30)}:
+        symbols = ["h" if c in "abde" else "g" if c in "gzn" else "H" if c in "AB" else "G" if c in "GZ" else "0" if c.isdigit() else c for c in w]
+        for k, a in enumerate([*symbols, ""]):
+            at = ("^" + "".join(symbols[:k]))[-4:], a
+            want[at] = want.get(at, 0) + 1
+    assert {(s, a): n for s, a, n in got} == want and len(got) == len(want)
+    model = secrets.Words(["word"], got)
+    assert sum(model.count[0].values()) == 1 + sum(n for (s, _), n in want.items() if s == "^")
+
+
 def test_licenses(table):
     got = {r.doc_id: r for r in licenses.scan_licenses(table).collect()}
     for d in records(table):
