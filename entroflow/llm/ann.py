@@ -37,10 +37,15 @@ DEGREE, BEAM = 24, 1.5
 ENTRIES, WIDE = 64, 4
 #: Queries that the visiting ratio is fitted to, by brute force over all rows.
 FIT_QUERIES = 200
-#: Groups of lists at least where rows suffice, rows of a group (at least; and components, at most), queries searched at once.
+#: Groups of lists at least where rows suffice, rows of a group (at least; and components, at most, half as many in double precision), queries searched at once.
 GROUPS, GROUP_ROWS, GROUP_COMPONENTS, QUERIES = 16, 8192, 1 << 25, 2048
 
 
+def single_error(width: int) -> float:
+    """What a product of two vectors of length 1 at most may err in single precision, amply."""
+    return 8 * (width + 4) * float(np.finfo(np.float32).eps)
+
+
 @dataclass
 class Centroids:
     """Centroids, their graph, the largest norm and the ratio that queries visit lists by."""
@@ -155,16 +160,21 @@ class Centroids:
             near[rr, to] = self._near(x, rr, to)
 
     def floors(self, ids: np.ndarray, x: np.ndarray, place: int) -> np.ndarray:
-        """The score that so many rows of the sample reach, besides the query's own row; a little less, as its last bits
-        depend on the block."""
+        """The score that so many rows of the sample reach, besides the query's own row; less by what single precision may err."""
         out = np.full(len(x), -np.inf)
         if len(self.sample_ids) > place:
-            s = x @ self.sample.T
             own = np.minimum(np.searchsorted(self.sample_ids, ids), len(self.sample_ids) - 1)
             mine = self.sample_ids[own] == ids
-            s[mine, own[mine]] = -np.inf
-            out = np.partition(s, -place, axis=1)[:, -place] - 1e-12 * self.norm * np.sqrt((x * x).sum(1))
-        return out
+            length = np.sqrt((x * x).sum(1))
+            small = (x / length[:, None]).astype(np.float32)
+            for a in range(0, len(x), 64):
+                s = small[a : a + 64] @ self.sample.T
+                at = np.flatnonzero(mine[a : a + 64])
+                s[at, own[a + at]] = -np.inf
+                s.partition(len(self.sample_ids) - place, axis=1)
+                out[a : a + 64] = s[:, -place]
+            out = (out - single_error(x.shape[1])) * length * self.norm
+        return np.where(np.isnan(out), -np.inf, out)
 
 
 def _balanced(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -194,7 +204,7 @@ def fit(rows: DataFrame, asked: DataFrame, total: int, k: int) -> Centroids:
     norm = float(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))).first()[0]) ** 0.5
     out = fit_sample(x, norm, total)
     out.sample_ids, first = np.unique(ids, return_index=True)
-    out.sample = x[first]
+    out.sample = (x[first] / norm).astype(np.float32)
     # Chosen by another hash: the centroids lie nearer to the rows that they are fitted on than to others.
     got = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(FIT_QUERIES).toArrow().combine_chunks()
     if got.num_rows:
@@ -255,7 +265,7 @@ def _ratio(model: Centroids, q: np.ndarray, at: np.ndarray, found: np.ndarray) -
 
 def _groups(points: np.ndarray, groups: int) -> np.ndarray:
     """A group for each list: centroids are parted at the middle of the direction they spread most in, until there are so many."""
-    parts = [np.arange(len(points))]
+    points, parts = np.where(np.isfinite(points), points, 0), [np.arange(len(points))]
     while len(parts) < min(groups, len(points)):
         at = parts.pop(max(range(len(parts)), key=lambda i: len(parts[i])))
         x = points[at] - points[at].mean(0)
@@ -299,8 +309,10 @@ class _Rows:
         self.at, cells = at[order], cells[order]
         self.names, first = np.unique(cells, return_index=True)
         self.ends = np.append(first, len(cells))
-        self.ids, self.x, self.norm = ids, x, norm
-        self.scaled = (x / norm).astype(np.float32)
+        self.ids, self.x = ids, x
+        # Single-precision vectors serve as they are, where products can neither overflow nor vanish.
+        self.norm, self.scaled = (1.0, x) if x.dtype == np.float32 and 1e-9 < norm < 1e9 else (norm, (x / norm).astype(np.float32))
+        self.slack = single_error(x.shape[1]) * norm / self.norm
 
     def find(self, q_ids: np.ndarray, floors: np.ndarray, cells: np.ndarray, lengths: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
         """The best k of each query among the lists it visits, as (queries, rows, scores).
@@ -311,7 +323,6 @@ class _Rows:
         q = q.astype(float)
         length = np.sqrt((q * q).sum(1))
         small = (q / length[:, None]).astype(np.float32)
-        slack = 8 * (q.shape[1] + 4) * np.finfo(np.float32).eps
         floors, best, pending, held = floors.copy(), Best(k + 2), [], 0
 
         def settle() -> None:
@@ -340,7 +351,8 @@ class _Rows:
                 v = self.scaled[rows]
                 for d in range(a, b, 256):
                     r = own[d : min(d + 256, b)]
-                    least = (floors[r] / (length[r] * self.norm) - slack).astype(np.float32)
+                    least = (floors[r] / (length[r] * self.norm) - self.slack).astype(np.float32)
+                    least[np.isnan(least)] = -np.inf  # squares beyond double precision
                     i, j = np.divmod(np.flatnonzero((small[r] @ v.T >= least[:, None]).ravel()), len(rows))
                     i, j = r[i], rows[j]
                     other = q_ids[i] != self.ids[j]
@@ -386,7 +398,8 @@ def _search(queries: DataFrame, rows: DataFrame, norm: float, k: int) -> DataFra
                         parts.append(got)
                         continue
                     if parts:
-                        held, parts = _Rows(parts, norm), []
+                        held = _Rows(parts, norm)
+                        parts.clear()
                     waiting.append(got)
                     count += own.num_rows
                     if count >= QUERIES:
@@ -418,13 +431,13 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20) -
     width = length_of(rows)
     asked = rows if queries is None else stage(valid(queries, width), "queries")
     model = fit(rows, asked, total, k)
-    most = int(min(max(total * REPLICAS / GROUPS, GROUP_ROWS), max(GROUP_COMPONENTS // width, 1)))
+    most = int(min(max(total * REPLICAS / GROUPS, GROUP_ROWS), max(GROUP_COMPONENTS // width // (1 if kind == "float" else 2), 1)))
     group = _groups(model.points, -(-total * REPLICAS // most))
     shared = vectors.sparkSession.sparkContext.broadcast((model, group))  # at most MOST_LISTS centroids and the sample
     dealt = f"vec_id long, group int, cells array<int>, floor double, x array<{kind}>"
     listed = stage(rows.mapInArrow(_deal(shared), dealt), "lists")
     # A group of many more rows than meant is dealt over several parts; every query that visits it comes to all of them.
-    sizes = F.broadcast(stage(listed.groupBy("group").agg(F.ceil(F.count("*") / (2 * most)).cast("int").alias("parts")), "group_sizes"))
+    sizes = F.broadcast(stage(listed.groupBy("group").agg(F.ceil(F.count("*") / (1.5 * most)).cast("int").alias("parts")), "group_sizes"))
     dealt_rows = listed.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).drop("parts")
 
     def search(asked: DataFrame, place: int, ratio: float | None = None) -> DataFrame:
