@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, stage
+from .common import col, fresh, small, stage
 
 BLOCK, SHARDS, ROUNDS, SEED = 256, 64, 16, 17
 #: Weights by a source's rank, repeating; share of all words; most times that a source is used.
@@ -45,8 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share_percent: in
     by_fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, whole = by_fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     level = (F.sum("source_size").over(whole) * share_percent / 100 - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    filled = ranked.withColumn("level", level).withColumn("fits", F.col("cap") >= F.col("level") * F.col("weight"))
-    first = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"]
+    filled = ranked.withColumn("level", level).withColumn("place", F.row_number().over(by_fill)).withColumn("fits", F.col("cap") >= F.col("level") * F.col("weight"))
+    # The first source that fits in the order of filling, which tells sources of one cap over weight apart.
+    first = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(whole)["level"]
     return filled.withColumn("settled", first).select("source", "source_size", "weight", F.when(F.col("settled").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("settled") * F.col("weight"))).alias("target"))
 
 
@@ -71,16 +72,18 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A document's place is the words of its source in earlier batches of pieces, in earlier pieces of its batch and before
     it in its piece: no sum runs over more than PIECE documents (about), PIECES pieces or the batches.
     """
-    rows = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+    # The text's hash deals rows without an id, and different rows of one id, to pieces of their own.
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED), "text")
+    rows = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), mark.alias("mark")), "sizes")
     pieces = max(1, rows.count() // PIECE)
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(pieces)))
+    rows = rows.withColumn("piece", F.pmod("mark", F.lit(pieces)))
     sums = stage(rows.groupBy("source", "piece").agg(F.sum("size").alias("words")).withColumn("batch", F.floor(F.col("piece") / PIECES)), "piece_sums")
     batches = sums.groupBy("source", "batch").agg(F.sum("words").alias("words"))
-    batches = batches.select(F.col("source").alias("s"), F.col("batch").alias("b"), _before(batches, ["source"], "batch", "words").alias("earlier"))
+    batches = stage(batches.select(F.col("source").alias("s"), F.col("batch").alias("b"), _before(batches, ["source"], "batch", "words").alias("earlier")), "batch_sums")
     starts = sums.withColumn("base", _before(sums, ["source", "batch"], "piece", "words"))
-    starts = starts.join(F.broadcast(batches), F.col("source").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")))  # a row for PIECE x PIECES documents
+    starts = starts.join(small(batches), F.col("source").eqNullSafe(F.col("s")) & (F.col("batch") == F.col("b")))  # a row for PIECE x PIECES documents of a source
     starts = starts.select(F.col("source").alias("s"), F.col("piece").alias("p"), (F.col("base") + F.col("earlier")).alias("base"))
-    within = Window.partitionBy("source", "piece").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "piece").orderBy("doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = run.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p"))).select("doc_id", "source", "size", (F.col("base") + F.col("run")).alias("start"))
     return placed, sums.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -101,7 +104,7 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
     # Where the part pass has the stream's short last block.
     sources = stage(sources.withColumn("tail", permuted_inverse(F.col("blocks") - 1, F.greatest(F.col("blocks"), F.lit(1)), *key, F.col("full"))), "targets")
     sources = sources.withColumnRenamed("source", "s")
-    known = stage(placed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), "placed")  # a row for each source
+    known = stage(placed.join(small(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), "placed")
 
     # Each document names the blocks that begin in it, so the numbers of a source's slots arise where its documents are.
     first, end = F.ceil(F.col("start") / block).cast("long"), F.col("start") + F.col("size")
@@ -117,8 +120,7 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
     drawn = slots.groupBy("source", F.pmod(F.xxhash64(F.lit("shard"), "slot", *key), F.lit(shards)).alias("shard")).agg(F.count("*").alias("slots"))
     starts = drawn.withColumn("start", _before(drawn, ["source"], "shard", "slots"))
     starts = stage(starts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("starts")), "shard_starts")
-    starts = F.broadcast(starts.select(F.col("source").alias("s"), "starts"))
-    slots = slots.join(starts, F.col("source").eqNullSafe(F.col("s")))
+    slots = slots.join(small(starts.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     own = F.element_at(F.filter("starts", lambda x: x["start"] <= F.col("slot")), -1)["shard"]
     slots = slots.withColumn("block", permuted(F.col("place"), F.col("blocks"), *key, F.col("pass"))).withColumn("shard", own)
     words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("left"))

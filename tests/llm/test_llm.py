@@ -323,6 +323,26 @@ def test_mixing(table):
     assert words == sum(taken.values())
 
 
+@pytest.mark.parametrize("sizes", [[60] * 3, [60] * 9, [60] * 300, [60, 60, 60, 61, 60, 60], [7], [0, 0, 5], [0], [1, 10, 1, 10, 100, 0, 7]])
+def test_mixing_targets_of_tied_sources(spark, sizes):
+    """Sources of one cap over weight settle together: targets as filled by hand, 150 % of all words wherever caps let them."""
+    df = spark.createDataFrame([(f"s{k:03d}", n) for k, n in enumerate(sizes)], "source string, source_size long")
+    want = brute.targets({f"s{k:03d}": n for k, n in enumerate(sizes)})
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(1.5 * sum(sizes))
+
+
+def test_mixing_of_tied_sources(spark):
+    """The documents of nine sources of 60 words each, whole: every source's words come near its target."""
+    rows = [(k, " ".join(f"w{k}" for _ in range(20)), f"s{k % 9}", 0) for k in range(27)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got, want = mixing.mix_counts(df).collect(), brute.targets({f"s{k}": 60 for k in range(9)})
+    for s, target in want.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= 1
+    mixed = mixing.mix_documents(df).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in got) == 810
+
+
 def test_mixing_shards(table):
     """Slots of every pass map to blocks by a permutation, shards hold ranges of them, and what documents give is in them."""
     plan, slots = mixing.mix_plan(table, block=16)
