@@ -60,8 +60,8 @@ def clear_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Mark a staged table for broadcast if its measured bytes are under the bound, else leave it to a shuffle join."""
+def fits(df: DataFrame) -> bool:
+    """Whether a staged table's measured bytes are under the bound for a broadcast."""
     parts = [F.lit(8 * len(df.columns))]
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType | T.BinaryType):
@@ -69,7 +69,12 @@ def small(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.ArrayType):
             parts.append(16 * F.coalesce(F.size(col(f.name)), F.lit(0)))
     measured = df.agg(F.sum(sum(parts[1:], parts[0]).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if measured <= BROADCAST_BYTES else df
+    return measured <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a staged table for broadcast if its measured bytes are under the bound, else leave it to a shuffle join."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def col(name: str) -> Column:
@@ -144,3 +149,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select([col(c) for c in df.columns if c.lower() not in taken])
+
+
+def hot_join(left: DataFrame, facts: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Inner join of staged tables on `key`, which `facts` holds once, with `count`, the rows of `left` that have it.
+
+    Keys of more than a thousandth of all those rows (so fewer than a thousand keys) are joined by a broadcast, wherever
+    their rows are; the others are shuffled without them. A small table of facts is broadcast whole. `count` is dropped.
+    """
+    if fits(facts):
+        return left.join(F.broadcast(facts.drop(count)), key)
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    bound = max(100, int(total) // 1000)
+    hot, cold = facts.filter(F.col(count) > bound).drop(count), facts.filter(F.col(count) <= bound).drop(count)
+    hot = F.broadcast(hot)  # fewer than a thousand rows, or rows of a table of fewer than 100,000
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(cold, key))

@@ -5,11 +5,8 @@
    many samples differ, precisely so for high similarities. A second parity bitmap is folded from the whole set: two
    sets differ in at least as many shingles as the XOR has ones, so this one never rules out a link.
 2. Documents with equal sets form a class; only its smallest doc_id goes on, so copies are never expanded.
-3. Band buckets are cut into chunks of bounded size, each with the bucket's smallest id. A chunk yields a maximum
-   spanning forest of its sketch similarities (at most a link fewer than members), never all pairs.
-4. Links are confirmed on the full sets. Where a forest link fails, or a bucket has several chunks, and the
-   bucket's members lie in several components, all remaining pairs between components are weighed block by block
-   (members of the bucket's largest one against the others only) and those that the sketches don't rule out are confirmed too. So every link that banding finds takes effect.
+3. Band buckets give candidate links by sketch similarity, which are confirmed on the full sets (see buckets.py): never
+   all pairs of a bucket, but every link that banding finds takes effect.
 
 With 40 bands of 5 samples a pair at the threshold of 0.8 is missed with a probability of 1.3e-7, and the sketch
 rule (five deviations) rules out about as few.
@@ -21,64 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import link_buckets
 from .common import as_bytes, fresh, handing_back, mix, slices, small, stage
-from .graph import components
+from .shingling import forget, shingles
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 5, 512, 1024
 _WORD_OF = SKETCH_BITS // 64
-#: Members of a band bucket that one task compares at once.
-CHUNK = 512
-_WORDS_KEPT = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """8-byte hashes of words, bounded."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > _WORDS_KEPT:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_digest(word)
-        return got
-
-
-_words = _Words()
-
-
-def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles, ascending, one text after another, and how many each has.
-
-    Words are runs of what isn't ASCII white space, A-Z in lower case. A text with fewer words than a shingle
-    has its whole sequence as one; without words it has none.
-    """
-    get = _words.__getitem__
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(x) for x in split], np.int64)
-    flat = np.frombuffer(b"".join(b"".join(map(get, x)) for x in split), np.uint64)
-    sums = np.zeros(max(0, len(flat) - words + 1), np.uint64)
-    for k in range(words):
-        sums = sums * _P + mix(flat[k : k + len(sums)] + np.uint64(k)) if k else mix(flat[: len(sums)])
-    sums = mix(sums)
-    out, at = [], 0
-    for n in sizes.tolist():
-        if n >= words:
-            own = np.sort(sums[at : at + n - words + 1])
-            out.append(own[np.append(True, own[1:] != own[:-1])])
-        elif n:
-            whole = np.full(1, n, np.uint64)
-            for k in range(at, at + n):
-                whole = mix(whole ^ flat[k : k + 1]) * _P
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += n
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array([len(x) for x in out], np.int64)
-
-
 def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _P) | np.uint64(1)
 
@@ -140,129 +91,21 @@ def _signatures(words: int, bands: int, rows: int):
                 [batch.column("doc_id"), pa.array(sizes), *(pa.array(sets[:, k].view(np.int64)) for k in (0, 1)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))],
                 ["doc_id", "n", "s1", "s2", "sketch", "bands"],
             )
-        _words.clear()
+        forget()
 
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            flat, sizes = shingles(as_bytes(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int64)))], ["id", "grams"])
-        _words.clear()
-
-    return run
-
-
-def _odd(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, most: int, percent: int) -> np.ndarray:
+def _rule(most: int, percent: int):
     """Ones in the XOR of two sample sketches; over `most` where these, the sets' sketches or sizes rule a link out."""
-    ones = np.bitwise_count(a ^ b)
-    odd, differ = ones[..., :_WORD_OF].sum(axis=-1, dtype=np.int32), ones[..., _WORD_OF:].sum(axis=-1, dtype=np.int64)
-    odd[(100 * np.minimum(n, m) < percent * np.maximum(n, m)) | ((100 + percent) * differ > (100 - percent) * (n + m))] = most + 1
-    return odd
-
-
-def _forest(sketch: np.ndarray, size: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
-    """Maximum spanning forest (Prim) over the pairs that sketches and set sizes don't rule out."""
-    m, links = len(size), []
-    best, by, out = np.full(m, most + 1, np.int32), np.zeros(m, np.int64), np.ones(m, bool)
-    k = 0
-    for _ in range(m):
-        out[k] = False
-        if best[k] <= most:
-            links.append((int(by[k]), k))
-        odd = _odd(sketch, sketch[k], size, size[k], most, percent)
-        nearer = out & (odd < best)
-        best[nearer], by[nearer] = odd[nearer], k
-        left = np.flatnonzero(out)
-        if len(left):
-            k = int(left[np.argmin(best[left])])
-    return links
-
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, np.ndarray]]:
-    """Columns and group starts of sorted batches; a group is never cut."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    def odd(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, *places) -> np.ndarray:
+        ones = np.bitwise_count(a ^ b)
+        odd, differ = ones[..., :_WORD_OF].sum(axis=-1, dtype=np.int32), ones[..., _WORD_OF:].sum(axis=-1, dtype=np.int64)
+        odd[(100 * np.minimum(n, m) < percent * np.maximum(n, m)) | ((100 + percent) * differ > (100 - percent) * (n + m))] = most + 1
+        return odd
 
-    def flush(last: bool):
-        nonlocal held, rows
-        table = pa.Table.from_batches(held)
-        cols = {n: table.column(n).combine_chunks() for n in table.column_names}
-        at = np.zeros(table.num_rows, bool)
-        at[:1] = True
-        for k in keys:
-            v = cols[k].to_numpy(zero_copy_only=False)
-            at[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(at)
-        whole = table.num_rows if last else int(starts[-1])
-        held, rows = ([] if last else table.slice(whole).to_batches()), table.num_rows - whole
-        if whole:
-            data = {n: c.slice(0, whole) for n, c in cols.items()}
-            return {n: (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(whole, -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)) for n, c in data.items()}, np.append(starts[starts < whole], whole)
-        return None
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 20_000 and (got := flush(False)):
-                yield got
-    if rows and (got := flush(True)):
-        yield got
-
-
-def _links(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    key, u, v = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["key", "u", "v"])
-
-
-def _chunk_forests(most: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, starts in _groups(batches, ["key", "chunk"]):
-            found, sizes = [], np.diff(starts)
-            two = starts[:-1][sizes == 2]
-            if len(two):
-                ok = two[_odd(c["sketch"][two], c["sketch"][two + 1], c["n"][two], c["n"][two + 1], most, percent) <= most]
-                found.append((c["key"][ok], c["id"][ok], c["id"][ok + 1]))
-            for a, b in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist()):
-                if links := _forest(c["sketch"][a:b], c["n"][a:b], most, percent):
-                    at = np.array(links) + a
-                    found.append((c["key"][at[:, 0]], c["id"][at[:, 0]], c["id"][at[:, 1]]))
-            yield _links(found)
-
-    return run
-
-
-def _block_pairs(most: int, percent: int):
-    """Pairs between components, of blocks that hold sides 0 and 1 (only side 0: within)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, starts in _groups(batches, ["key", "i", "j"]):
-            found = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                own = {n: v[a:b] for n, v in c.items()}
-                left, right = np.flatnonzero(own["side"] == 0), np.flatnonzero(own["side"] == (own["i"][0] != own["j"][0]))
-                for k in left.tolist():
-                    other = right[(own["component"][right] != own["component"][k]) & ((own["i"][0] != own["j"][0]) | (right > k))]
-                    ok = _odd(own["sketch"][other], own["sketch"][k], own["n"][other], own["n"][k], most, percent) <= most
-                    if ok.any():
-                        found.append((own["key"][other[ok]], np.full(int(ok.sum()), own["id"][k]), own["id"][other[ok]]))
-            yield _links(found)
-
-    return run
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Check links (u, v) on full shingle sets: u, v, linked."""
-    ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pair_ids")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
-    sets = stage(chosen.mapInArrow(handing_back(_sets(words)), "id long, grams array<long>").dropDuplicates(["id"]), "pair_sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    sized = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return sized.select("u", "v", (100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).alias("linked"))
+    return odd
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -277,44 +120,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = signs.filter("n > 0 and doc_id is not null")
     classes = stage(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
     heads = stage(full.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch", "bands").dropDuplicates(["id"]), "heads")
-    banded = heads.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1")
-    buckets = small(stage(buckets, "buckets"))
-    members = stage(banded.join(buckets, "key"), "members")
     most = most_odd(percent, bands * rows)
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    placed = members.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
-    placed = placed.join(heads.select("id", "n", "sketch"), "id").select("key", "chunk", "id", "n", "sketch")
-    dealt = placed.repartition(F.col("key"), F.col("chunk")).sortWithinPartitions("key", "chunk", "id")
-    forest = stage(dealt.mapInArrow(handing_back(_chunk_forests(most, percent)), "key long, u long, v long"), "forest")
-    first = stage(confirm(docs, forest.select("u", "v").distinct(), words, percent), "confirmed")
-    found = stage(components(first.filter("linked").select("u", "v")), "components")
-
-    # Buckets where the forest doesn't settle everything: all pairs of different components, block by block.
-    open_keys = forest.join(first.filter("not linked"), ["u", "v"], "left_semi").select("key").unionByName(members.filter(F.col("members") > CHUNK).select("key")).distinct()
-    left = members.join(open_keys, "key", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    left = stage(left.select("key", "members", "id", "component"), "open_members")
-    # A bucket's largest component needs no pairs of its own: its blocks meet those of the bucket's other members alone.
-    parts = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
-    others, own = F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int"), F.ceil(F.col("most") / CHUNK).cast("int")
-    spread = left.join(parts.filter("all > most").withColumn("others", others).withColumn("own", own), "key")
-    minor, hashed = F.col("component") != F.col("major"), F.xxhash64("id")
-    block = F.when(minor, F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.col("own"))).cast("int")
-    meets = F.sequence(F.lit(0), F.col("others") + F.when(minor, F.col("own")).otherwise(0) - 1)
-    spread = spread.withColumn("block", block).withColumn("with", F.explode(meets))
-    spread = spread.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("int(block > with)").alias("side"), "id", "component")
-    spread = spread.join(heads.select("id", "n", "sketch"), "id").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
-    more = stage(spread.mapInArrow(handing_back(_block_pairs(most, percent)), "key long, u long, v long").select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "more_pairs")
+    keyed = heads.select("id", F.explode("bands").alias("key"), F.lit(0).alias("at"))
+    found = link_buckets(docs, keyed, heads, _rule(most, percent), most, words, percent)
     heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    if not more.isEmpty():
-        ends = confirm(docs, more, words, percent).filter("linked").select("u", "v")
-        for end in ("u", "v"):
-            ends = ends.join(found.select(F.col("id").alias(end), F.col("component").alias(f"{end}c")), end, "left")
-        joined = components(ends.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")))
-        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("least"))
-        heads_of = heads_of.join(joined, "component", "left").select("s1", "s2", "n", F.coalesce("least", "component").alias("component"))
-
     out = signs.select("doc_id", "n", "s1", "s2").join(heads_of, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

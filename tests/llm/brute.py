@@ -184,3 +184,65 @@ def disclosing_terms(docs, share=0.8, support=3):
 def term_spans(text, base, terms):
     found = [("term", m.start(), m.end()) for m in _TERM.finditer(text or "") if m[0].lower() in terms]
     return [x for x in found if not any(a < x[2] and x[1] < z for _, a, z in base)]
+
+
+def alignment(docs, a_path, b_path):
+    """Whole texts through the two libraries, links by walking over both token lists, counts over all documents."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_lib, b_lib = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_lib.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    rows, held = [], defaultdict(int)
+    for d in docs:
+        text, links, groups, a, b = d["text"] or "", [], [], [], []
+        if text:
+            a, b = a_lib.encode(" " + text, add_special_tokens=False).ids, b_lib.encode(text)
+            a_raw = [bytes(byte[c] for c in a_lib.id_to_token(k)) for k in a]
+            b_raw = [bytes([int(p[3:5], 16)]) if b_lib.is_byte(k) else p.replace("▁", " ").encode() for k in b for p in [b_lib.id_to_piece(k)]]
+            if not b"".join(a_raw) == b"".join(b_raw) == (" " + text).encode():
+                a, b = [], []
+        i = j = a_end = b_end = first_a = first_b = 0
+        if a:
+            a_end, b_end = len(a_raw[0]), len(b_raw[0])
+        while i < len(a):
+            links.append((a[i], b[j]))
+            if a_end == b_end:
+                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
+                first_a, first_b = i + 1, j + 1
+            step_a, step_b = a_end <= b_end, b_end <= a_end
+            if step_a:
+                i += 1
+                a_end += len(a_raw[i]) if i < len(a) else 0
+            if step_b:
+                j += 1
+                b_end += len(b_raw[j]) if j < len(b) else 0
+        for x in set(links):
+            held[x] += 1
+        rows.append((d["doc_id"], len(a), len(b), len(groups), links, ";".join(groups)))
+    best = defaultdict(int)
+    for (a, _), n in held.items():
+        best[a] = max(best[a], n)
+    out = [(d, n, m, g, len(x), sum(held[p] == best[p[0]] for p in x), sum(held[p] for p in x), hashlib.sha256(t.encode()).hexdigest() if n else "") for d, n, m, g, x, t in rows]
+    return out, dict(held)
+
+
+def clusters(rows, clusters=16, rounds=3, width=64, scale=64, seed=1):
+    """Lloyd's rounds over every row, in Python's integers."""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1]))
+    centres = [q for _, q in order[:clusters]]
+    far = lambda q, c: sum((x - y) ** 2 for x, y in zip(q, c))
+    near = lambda q: min((far(q, c), k) for k, c in enumerate(centres))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, q in kept:
+            groups[near(q)[1]].append(q)
+        centres = [[sum(x) // len(groups[k]) for x in zip(*groups[k])] if k in groups else c for k, c in enumerate(centres)]
+    found = [(i, *near(q)[::-1]) for i, q in kept]
+    inertia = defaultdict(int)
+    for _, k, d in found:
+        inertia[k] += d
+    return [(i, k, d, inertia[k], sum(inertia.values())) for i, k, d in found], centres

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entroflow.llm import ann, bpe, graph, licenses, linededup, mixing, neardup, pii, quality, queries, secrets, topk
+from entroflow.llm import ann, bpe, buckets, graph, licenses, linededup, mixing, neardup, pii, quality, queries, secrets, topk
 
 from . import brute
 
@@ -74,7 +74,7 @@ def test_near_duplicates(table, words):
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """Chunks far smaller than the buckets: every link must still take effect."""
-    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(buckets, "CHUNK", 4)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(60)]
     rows = []
