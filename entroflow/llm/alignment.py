@@ -16,6 +16,7 @@ once and knows its tokens, groups and links from then on.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from .common import handing_back, slices, small, stage
 
 #: A ids of a stripe: its dense matrix of 64-bit counts has so many rows and a column for each B id (66 MB for 32,000).
 STRIPE_IDS = 256
-#: Bytes of text of a batch, and of a chunk that a task remembers; chunks remembered.
-BATCH_BYTES, SHORT, REMEMBERED = 8 << 20, 64, 150_000
+#: Bytes of text of a batch; chunks that a task remembers.
+BATCH_BYTES, REMEMBERED = 8 << 20, 300_000
 #: Batches whose pairs of a stripe one task adds up.
 DEALT = 64
 FIELDS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
@@ -76,6 +77,9 @@ class _Pair:
         for k, v in self.a_bytes.items():
             self.a_size[k] = len(v)
         self.b_size[:] = [len(v) for v in self.b_bytes]
+        # An id in a group's text with what follows it: another of its side, or the other side or the next group.
+        self.symbols = [b"%d%b" % (k, x) for n, ends in ((len(self.a_size), (b",", b"|")), (size, (b",", b";"))) for k in range(n) for x in ends]
+        self.symbol_size = np.array([len(v) for v in self.symbols], np.int64)
 
 
 _loaded: dict[tuple[str, str], _Pair] = {}
@@ -92,49 +96,50 @@ class _Chunks:
     """What is known of chunks: numbers of tokens, groups and links, the text of their groups, and their links."""
 
     def __init__(self, pair: _Pair):
-        self.pair, self.at = pair, {}
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.texts: list[bytes] = []
-        self.links: list[np.ndarray] = []
+        self.pair, self.at, self.texts = pair, {}, []
+        self.numbers, self.links, self.start = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        """Add chunks (each begins with a space); one whose bytes don't come back from both sides has no links and None."""
+        """Add chunks (each begins with a space), all at once; one whose bytes don't come back from both sides has no text."""
+        p, raw = self.pair, [c.encode() for c in chunks]
+        a, b = [p.a.encode_ordinary(c) for c in chunks], p.b.encode([c[1:] for c in chunks], num_threads=1)
+        good = self._good(raw, a, b)
+        sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+        sizes[~good] = 0
+        if not good.all():
+            a, b = ([x for x, ok in zip(side, good) if ok] for side in (a, b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n)) for side, n in zip((a, b), sizes.sum(0)))
+        numbers, links, codes, cuts = self._over(a, b, sizes)
+        text = b"".join([p.symbols[c] for c in codes.tolist()])
+        ends = np.append(0, np.cumsum(p.symbol_size[codes]))[cuts]
+        for k, chunk in enumerate(chunks):
+            self.at[chunk] = len(self.at)
+        self.texts += [text[i:j] if ok else None for ok, i, j in zip(good.tolist(), [0, *ends.tolist()], ends.tolist())]
+        self.start = np.concatenate([self.start, len(self.links) + np.cumsum(numbers[:, 3]) - numbers[:, 3]])
+        self.numbers, self.links = np.concatenate([self.numbers, numbers]), np.concatenate([self.links, links])
+
+    def _good(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        a_bytes, b_bytes = self.pair.a_bytes, self.pair.b_bytes
+        return np.array([r == b"".join([a_bytes[k] for k in x]) == b"".join([b_bytes[k] for k in y]) for r, x, y in zip(raw, a, b)], bool)
+
+    def _over(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Numbers of each chunk, all links, the symbols of all groups' texts and where each chunk's end. Both sides have the same bytes."""
         p = self.pair
-        for chunk, a, b in zip(chunks, p.a.encode_ordinary_batch(chunks, num_threads=1), p.b.encode([c[1:] for c in chunks], num_threads=1)):
-            self.at[chunk] = len(self.numbers)
-            raw = chunk.encode()
-            if b"".join([p.a_bytes[k] for k in a]) != raw or b"".join([p.b_bytes[k] for k in b]) != raw:
-                self.numbers.append((0, 0, 0, 0))
-                self.texts.append(None)
-                self.links.append(np.zeros(0, np.int64))
-            else:
-                self._add(np.array(a, np.int64), np.array(b, np.int64))
-
-    def _add(self, a: np.ndarray, b: np.ndarray) -> None:
-        p = self.pair
-        if len(a) == 1 or len(b) == 1:  # one group: every token lies over the other side's only one
-            links = a * p.width + b
-            text = ",".join(map(str, a.tolist())) + "|" + ",".join(map(str, b.tolist()))
-            groups = 1
-        else:
-            a_end, b_end = np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b])
-            # B tokens from the one that holds an A token's first byte to the one that holds its last.
-            first, last = np.searchsorted(b_end, a_end - p.a_size[a], "right"), np.searchsorted(b_end, a_end - 1, "right")
-            n = last - first + 1
-            b_at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            links = np.repeat(a, n) * p.width + b[b_at]
-            both = np.intersect1d(a_end, b_end, assume_unique=True)
-            a_cut, b_cut = np.searchsorted(a_end, both, "right").tolist(), np.searchsorted(b_end, both, "right").tolist()
-            a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            i = j = 0
-            parts = []
-            for x, y in zip(a_cut, b_cut):
-                parts.append(",".join(a_text[i:x]) + "|" + ",".join(b_text[j:y]))
-                i, j = x, y
-            text, groups = ";".join(parts), len(parts)
-        self.numbers.append((len(a), len(b), groups, len(links)))
-        self.texts.append(text.encode())
-        self.links.append(links)
+        a_end, b_end = np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b])
+        # B tokens from the one that holds an A token's first byte to the one that holds its last.
+        first, last = np.searchsorted(b_end, a_end - p.a_size[a], "right"), np.searchsorted(b_end, a_end, "left")
+        n = last - first + 1
+        links = np.repeat(a, n) * p.width + b[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        a_last, b_last = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        # A group's A tokens, then its B tokens.
+        a_upto, b_upto = np.append(0, np.flatnonzero(a_last) + 1), np.append(0, np.flatnonzero(b_last) + 1)
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + b_upto[a_group]] = 2 * a + a_last
+        codes[np.arange(len(b)) + a_upto[b_group + 1]] = 2 * (b + len(p.a_size)) + b_last
+        a_cut = np.cumsum(sizes[:, 0])
+        sums = lambda v: np.diff(np.append(0, np.append(0, np.cumsum(v))[a_cut]))
+        return np.column_stack([sizes, sums(a_last), sums(n)]), links, codes, a_cut + np.cumsum(sizes[:, 1])
 
 
 def _split(texts: pa.Array) -> list[list[str]]:
@@ -184,24 +189,17 @@ def _of_batch(part: pa.RecordBatch, known: _Chunks, number: int, names: list[str
     whole = sizes > 0
     whole[doc[bad[flat]]] = False
     keep = whole[doc]
-    flat, doc = flat[keep], doc[keep]
-    numbers = np.array(known.numbers, np.int64).reshape(-1, 4)
-    sums = np.zeros((len(texts), 4), np.int64)
-    for k in range(4):
-        sums[:, k] = np.bincount(doc, weights=numbers[flat, k], minlength=len(texts)).astype(np.int64)
-    digests, text_of, ends = [], known.texts, np.cumsum(np.bincount(doc, minlength=len(texts)))
-    own = flat.tolist()
-    for d, z in enumerate(ends.tolist()):
-        a = int(ends[d - 1]) if d else 0
-        digests.append(hashlib.sha256(b";".join([text_of[c] for c in own[a:z]])).hexdigest() if z > a else "")
+    flat, doc, numbers = flat[keep], doc[keep], known.numbers
+    sums = np.stack([np.bincount(doc, weights=numbers[flat, k], minlength=len(texts)) for k in range(4)], 1).astype(np.int64)
+    digests, text_of, own, a = [], known.texts, flat.tolist(), 0
+    for z in np.cumsum(np.bincount(doc, minlength=len(texts))).tolist():
+        digests.append(hashlib.sha256(b"".join([text_of[c] for c in own[a:z]])[:-1]).hexdigest() if z > a else "")
+        a = z
     # (document, chunk) with its number, then (pair, document) with the times that they are linked.
     both, times = np.unique(doc * len(known.texts) + flat, return_counts=True)
     doc, flat = both // max(len(known.texts), 1), both % max(len(known.texts), 1)
     n = numbers[flat, 3]
-    used, place = np.unique(flat, return_inverse=True)
-    links = np.concatenate([known.links[c] for c in used.tolist()]) if len(used) else np.zeros(0, np.int64)
-    first = np.cumsum(numbers[used, 3]) - numbers[used, 3]
-    pair = links[np.repeat(first[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    pair = known.links[np.repeat(known.start[flat] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     key, times = (pair << 16) | np.repeat(doc, n), np.repeat(times, n)
     order = np.argsort(key, kind="stable")
     key, times = key[order], times[order]
