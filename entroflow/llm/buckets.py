@@ -18,29 +18,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, hot_join, small, stage
+from .common import fits, handing_back, hot_join, mix, small, stage
 from .graph import components
 from .shingling import shingle_sets
 
 #: Members of a bucket that one task compares at once.
 CHUNK = 512
-#: Partners of a document whose sets one task compares with its own.
+#: Pairs of a document that one task joins its set to.
 PARTNERS = 256
 
 #: rule(sketches, sketch, sizes, size, places, place): a score for each pair, lower is nearer; above `most` it can't be a link.
 Rule = Callable[..., np.ndarray]
 
 
-def _forest(sketch: np.ndarray, size: np.ndarray, at: np.ndarray, rule: Rule, most: int) -> list[tuple[int, int]]:
-    """Maximum spanning forest (Prim) over the pairs that the rule doesn't exclude."""
+def _forest(ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, at: np.ndarray, rule: Rule, most: int) -> list[tuple[int, int]]:
+    """Minimum spanning forest (Prim) over the pairs that the rule doesn't exclude. Equal scores go by a hash of the pair, so
+    that the buckets of a group of documents mostly agree on its links."""
+    own, most = mix(ids.astype(np.uint64)), (most + 1) << 20
     m, links = len(size), []
-    best, by, out = np.full(m, most + 1, np.int32), np.zeros(m, np.int64), np.ones(m, bool)
+    best, by, out = np.full(m, most, np.int64), np.zeros(m, np.int64), np.ones(m, bool)
     k = 0
     for _ in range(m):
         out[k] = False
-        if best[k] <= most:
+        if best[k] < most:
             links.append((int(by[k]), k))
-        far = rule(sketch, sketch[k], size, size[k], at, at[k])
+        far = (rule(sketch, sketch[k], size, size[k], at, at[k]).astype(np.int64) << 20) | (mix(own ^ own[k]) >> np.uint64(44)).astype(np.int64)
         nearer = out & (far < best)
         best[nearer], by[nearer] = far[nearer], k
         left = np.flatnonzero(out)
@@ -95,7 +97,7 @@ def _chunk_forests(rule: Rule, most: int):
                 ok = two[rule(c["sketch"][two], c["sketch"][two + 1], c["n"][two], c["n"][two + 1], c["at"][two], c["at"][two + 1]) <= most]
                 found.append((c["key"][ok], c["id"][ok], c["id"][ok + 1]))
             for a, b in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist()):
-                if links := _forest(c["sketch"][a:b], c["n"][a:b], c["at"][a:b], rule, most):
+                if links := _forest(c["id"][a:b], c["sketch"][a:b], c["n"][a:b], c["at"][a:b], rule, most):
                     at = np.array(links) + a
                     found.append((c["key"][at[:, 0]], c["id"][at[:, 0]], c["id"][at[:, 1]]))
             yield _links(found)
@@ -122,37 +124,55 @@ def _block_pairs(rule: Rule, most: int):
     return run
 
 
-def _dealt(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
-    """Pairs with the set of one end; an end of more than PARTNERS pairs is dealt to several tasks, its set to each."""
-    busy = stage(pairs.groupBy(end).count().filter(F.col("count") > PARTNERS).select(end, F.ceil(F.col("count") / PARTNERS).cast("int").alias("salts")), "busy_ends")
-    own = sets.select(F.col("id").alias(end), F.col("grams").alias(name))
-    if busy.isEmpty():
-        return pairs.join(own, end)
-    busy = small(busy)
-    left = pairs.join(busy, end, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), "salts"), F.lit(0)).cast("int")).drop("salts")
-    right = own.join(busy, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
-    return left.join(right, [end, "salt"]).drop("salt")
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, at), sorted, of the keys that several rows have, with their number and smallest id."""
+    for c, starts in _groups(batches, ["key"]):
+        sizes = np.diff(starts)
+        members, hub = np.repeat(sizes, sizes), np.repeat(c["id"][starts[:-1]], sizes)
+        kept = members > 1
+        yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (c["key"], c["id"], c["at"], members, hub)], ["key", "id", "at", "members", "hub"])
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Check links (u, v), each once in a staged table, on full shingle sets: u, v, linked."""
-    ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pair_ids")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
-    sets = stage(chosen.mapInArrow(handing_back(shingle_sets(words)), "id long, grams array<long>").dropDuplicates(["id"]), "pair_sets")
-    both = _dealt(_dealt(pairs, sets, "u", "v", "a"), sets, "v", "u", "b")
+    """Check links (u, v), each once in a staged table, on full shingle sets: u, v, linked.
+
+    Each pair is a key of its own: both sets are sent to it, so a document of very many pairs is no task's burden. Where
+    the pairs are too many for a broadcast, its rows are dealt by salt before its set joins them.
+    """
+    ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").count(), "pair_ids")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id")
+    sets = stage(chosen.select("id", "text").mapInArrow(handing_back(shingle_sets(words)), "id long, grams array<long>"), "pair_sets")
+
+    def side(end: str, name: str) -> DataFrame:
+        own = sets.select(F.col("id").alias(end), F.col("grams").alias(name))
+        if fits(pairs):
+            return own.join(F.broadcast(pairs.select("u", "v")), end)
+        busy = small(stage(ids.filter(F.col("count") > PARTNERS).select(F.col("id").alias(end), F.ceil(F.col("count") / PARTNERS).cast("int").alias("salts")), "busy_ids"))
+        salt = F.pmod(F.xxhash64("u", "v"), F.coalesce("salts", F.lit(1))).cast("int")
+        left = pairs.select("u", "v").join(busy, end, "left").withColumn("salt", salt).drop("salts")
+        right = own.join(busy, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        return left.join(right, [end, "salt"]).drop("salt")
+
+    both = side("u", "a").join(side("v", "b"), ["u", "v"])
     common = F.size(F.array_intersect("a", "b")).cast("long")
     sized = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return sized.select("u", "v", (100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).alias("linked"))
+    linked = 100 * F.col("common") >= percent * (F.col("total") - F.col("common"))
+    return sized.groupBy("u", "v").agg(F.bool_or(linked).alias("linked"))  # rows that repeat an id count once
 
 
 def link_buckets(docs: DataFrame, keyed: DataFrame, heads: DataFrame, rule: Rule, most: int, words: int, percent: int) -> DataFrame:
     """id, component (the smallest id) of the documents that links within buckets reach; others are missing.
 
-    keyed: key, id, at (the key's place in the document). heads, staged: id (once), n, sketch. docs: doc_id, text.
+    keyed: key, id, at (the key's place in the document) and heavy: whether very many rows might have the key. Rows of
+    other keys meet by key; heavy keys are counted first and their rows never do. heads, staged: id (once), n, sketch. docs: doc_id, text.
     """
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1")
-    buckets = stage(buckets.withColumn("rows", F.col("members")), "buckets")
-    members = stage(hot_join(keyed, buckets, ["key"], "rows"), "members")
+    light = keyed.filter("not heavy").select("key", "id", "at").repartition(F.col("key")).sortWithinPartitions("key", "id")
+    heavy = keyed.filter("heavy").select("key", "id", "at")
+    counted = heavy.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1")
+    counted = stage(counted.withColumn("rows", F.col("members")), "buckets")
+    kept = light.mapInArrow(handing_back(_shared), "key long, id long, at int, members long, hub long")
+    members = stage(kept.unionByName(hot_join(heavy, counted, ["key"], "rows").select(*kept.columns)), "members")
+    buckets = members.filter("id = hub").select("key", "members", F.col("members").alias("rows"))
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     placed = members.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
     placed = placed.join(heads.select("id", "n", "sketch"), "id").select("key", "chunk", "id", "n", "at", "sketch")
@@ -163,7 +183,8 @@ def link_buckets(docs: DataFrame, keyed: DataFrame, heads: DataFrame, rule: Rule
 
     # Buckets where the forest doesn't settle everything: all pairs of different components, block by block.
     failed = forest.join(first.filter("not linked"), ["u", "v"], "left_semi").select("key").distinct()
-    unsettled = stage(buckets.filter(F.col("members") > CHUNK).select("key").unionByName(failed).distinct().join(buckets.select("key", "rows"), "key"), "unsettled")
+    unsettled = buckets.join(failed.withColumn("failed", F.lit(True)), "key", "left").filter(F.col("failed") | (F.col("members") > CHUNK))
+    unsettled = stage(unsettled.select("key", "rows"), "unsettled")
     left = hot_join(members, unsettled, ["key"], "rows").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     left = stage(left.select("key", "id", "at", "component"), "open_members")
     # A bucket's largest component needs no pairs of its own: its blocks meet those of the bucket's other members alone.

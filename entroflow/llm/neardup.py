@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = stage(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
     heads = stage(full.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch", "bands").dropDuplicates(["id"]), "heads")
     most = most_odd(percent, bands * rows)
-    keyed = heads.select("id", F.explode("bands").alias("key"), F.lit(0).alias("at"))
+    keyed = heads.select("id", F.explode("bands").alias("key"), F.lit(0).alias("at"), F.lit(True).alias("heavy"))
     found = link_buckets(docs, keyed, heads, _rule(most, percent), most, words, percent)
     heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = signs.select("doc_id", "n", "s1", "s2").join(heads_of, ["s1", "s2", "n"], "left")

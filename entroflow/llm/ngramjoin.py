@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .buckets import link_buckets
-from .common import as_bytes, handing_back, mix, slices, stage
+from .common import as_bytes, handing_back, mix, slices, small, stage
 from .shingling import forget, shingles
 
 WORDS, PERCENT = 4, 85
@@ -34,6 +34,8 @@ COUNTERS, STRIPES = 1 << 20, 64
 ADDED = 64
 #: Parts of the hash range of the suffix filter.
 PARTS = 64
+#: An n-gram whose counter is above 4 times the mean, within these bounds, is counted before its documents meet.
+HEAVY = (1000, 1_000_000)
 _MOST = 4096
 _CAP = np.int64(2**32 - 1)
 
@@ -97,7 +99,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def _prefixes(words: int, percent: int, counters):
+def _prefixes(words: int, percent: int, counters, heavy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counters.value
         for batch in slices(batches):
@@ -108,11 +110,12 @@ def _prefixes(words: int, percent: int, counters):
             order = np.lexsort((place, doc))
             take = prefix_length(sizes, percent)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = flat[order[at < np.repeat(take, sizes)]]
+            chosen = order[at < np.repeat(take, sizes)]
+            kept, light = flat[chosen], np.bincount(doc[chosen], weights=table[_counter(flat[chosen])] <= heavy, minlength=len(sizes)).astype(np.int32)
             cell = doc * PARTS + (mix(flat ^ np.uint64(0xD1342543DE82EF95)) % np.uint64(PARTS)).astype(np.int64)
             parts = np.minimum(np.bincount(cell, minlength=len(sizes) * PARTS), 2**16 - 1).astype("<u2").reshape(len(sizes), PARTS)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(kept.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array([row.tobytes() for row in parts], pa.binary()), prefix], ["id", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array([row.tobytes() for row in parts], pa.binary()), prefix, pa.array(light)], ["id", "n", "sketch", "prefix", "light"])
         forget()
 
     return run
@@ -147,10 +150,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = stage(texts.mapInArrow(handing_back(_sized(words)), "doc_id long, n long, s1 long, s2 long, task int, stripe int, counts binary"), "ngram_sets")
     sized = rows.filter("stripe is null")
     classes = stage(sized.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "ngram_classes")
-    counters = docs.sparkSession.sparkContext.broadcast(_frequencies(rows.filter("stripe is not null")))  # 4 MB
-    prefixes = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "id").mapInArrow(handing_back(_prefixes(words, percent, counters)), "id long, n long, sketch binary, prefix array<long>")
-    heads = stage(prefixes.filter("n > 0").join(classes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "ngram_heads")
-    keyed = heads.select("id", F.posexplode("prefix").alias("at", "key"))
+    counts = _frequencies(rows.filter("stripe is not null"))
+    heavy = int(np.clip(4 * counts.mean(), *HEAVY))
+    counters = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB
+    prefixes = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "id").mapInArrow(handing_back(_prefixes(words, percent, counters, heavy)), "id long, n long, sketch binary, prefix array<long>, light int")
+    heads = prefixes.filter("n > 0").join(small(classes.select("id")), "id", "left_semi")
+    twice = sized.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    heads = stage(heads if twice.isEmpty() else heads.dropDuplicates(["id"]), "ngram_heads")
+    keyed = heads.select("id", "light", F.posexplode("prefix").alias("at", "key")).withColumn("heavy", F.col("at") >= F.col("light"))  # the rarest come first
     found = link_buckets(texts, keyed, heads, _rule(percent), _MOST, words, percent)
     heads_of = classes.join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = sized.join(heads_of, ["s1", "s2", "n"], "left")
