@@ -6,14 +6,21 @@ min-max, two numbers a column, is collected.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import carried, cuts_of, pieces, with_piece
+from ..sources.staging import staged
+
+#: Knots (of all columns together) up to which a mapping is a projection with the knots in a broadcast: 16 MB.
+KNOTS_HELD = 1_000_000
 
 
 def check_columns(df: DataFrame, features: list[str], carry: Iterable[str] = ()) -> None:
@@ -90,13 +97,16 @@ def finite(x) -> Column:
 class QuantileTransformer:
     """Map columns to their place in the fitted empirical distribution, linear between distinct values.
 
-    The fitted table (feature, rank, value, n) keeps every distinct finite value and stays distributed. Values outside
-    are clamped, non-finite ones become the middle; the inverse turns non-finite ones into NaN.
+    The fitted table (feature, rank, value, n) keeps every distinct finite value; it is written once, and stays distributed.
+    Up to KNOTS_HELD knots are broadcast, and transforming is a projection: no key, no shuffle, streams too. Beyond, rows are searched by
+    sorting pieces of values and knots together, and need a key. Values outside are clamped, non-finite ones become the
+    middle; the inverse turns non-finite ones into NaN, or into the knot where there is one alone. Null stays null.
     """
 
     feature_range: tuple[float, float] = (0.0, 1.0)
     knots: DataFrame | None = None
     features: list[str] = field(default_factory=list)
+    _held: dict | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         check_range(*self.feature_range)
@@ -107,7 +117,36 @@ class QuantileTransformer:
         placed = with_piece(distinct, "v", cuts, most)
         sums = F.broadcast(carried(placed, ["feature"], F.count("*")))  # a row for each piece
         knots = placed.join(sums, ["feature", "piece"]).select("feature", (F.col("before") + F.row_number().over(pieces("feature").orderBy("v"))).alias("rank"), F.col("v").alias("value"), F.col("whole").alias("n"))
-        return QuantileTransformer(self.feature_range, knots, list(features))
+        return QuantileTransformer(self.feature_range, staged(knots, "knots"), list(features))
+
+    def held(self) -> dict[str, np.ndarray] | None:
+        """Each feature's knots, ascending, if there are few enough to hold; counted before any is collected."""
+        if self._held is None and self.knots.count() <= KNOTS_HELD:
+            found = {r["feature"]: r["v"] for r in self.knots.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()}
+            self._held = {f: np.array(found.get(f, []), float) for f in self.features}
+        return self._held
+
+    def _mapper(self, spark: SparkSession, inverse: bool):
+        """An Arrow function (feature, value) to the mapped value, with the knots in a broadcast."""
+        (a, b), knots = self.feature_range, spark.sparkContext.broadcast(self._held)
+        step = _back if inverse else _forth
+
+        @F.arrow_udf("double")
+        def mapped(feature: pa.Array, x: pa.Array) -> pa.Array:
+            v, names = x.to_numpy(zero_copy_only=False).astype(float), feature.to_numpy(zero_copy_only=False)
+            out = np.empty(len(v))
+            for name in set(names):
+                own = names == name
+                out[own] = step(v[own], knots.value.get(name, np.zeros(0)), a, b)
+            return pa.array(out, mask=x.is_null().to_numpy(zero_copy_only=False))
+
+        return mapped
+
+    def _long(self, long: DataFrame, inverse: bool) -> DataFrame | None:
+        if self.held() is None:
+            return None
+        v = F.col("v").cast("double")
+        return long.withColumn("v", F.when(v.isNotNull(), self._mapper(long.sparkSession, inverse)("feature", v)))
 
     def _near(self, values: DataFrame) -> DataFrame:
         """feature, v (distinct), below and above: the knots (rank, v) next to each value."""
@@ -126,7 +165,10 @@ class QuantileTransformer:
         return near.select("feature", "v", "below", "above")
 
     def transform_long(self, long: DataFrame) -> DataFrame:
-        """key..., feature, v with v mapped: an as-of search by sorting pieces of values and knots together."""
+        """key..., feature, v with v mapped: by bisection in the knots, or where they are many by an as-of search that sorts
+        pieces of values and knots together (null values are left out there)."""
+        if (out := self._long(long, inverse=False)) is not None:
+            return out
         a, b = self.feature_range
         key = [c for c in long.columns if c not in ("feature", "v")]
         k = self.knots
@@ -143,12 +185,14 @@ class QuantileTransformer:
         return mapped.unionByName(odd).select(*key, "feature", (F.col("p") * (b - a) + a).alias("v"))
 
     def inverse_long(self, long: DataFrame) -> DataFrame:
-        """key..., feature, v mapped back: two equi-joins on rank."""
+        """key..., feature, v mapped back: by place in the knots, or where they are many by two equi-joins on rank."""
+        if (out := self._long(long, inverse=True)) is not None:
+            return out
         a, b = self.feature_range
         key = [c for c in long.columns if c not in ("feature", "v")]
         n = F.broadcast(self.knots.groupBy("feature").agg(F.max("n").alias("n")))
         p = F.lit(0.5) if a == b else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - a) / (b - a)))
-        placed = long.join(n, "feature", "left").withColumn("at", F.when(finite("v") & F.col("n").isNotNull(), p * (F.col("n") - 1) + 1))
+        placed = long.join(n, "feature", "left").withColumn("at", F.when(F.col("n") == 1, 1.0).when(finite("v") & F.col("n").isNotNull(), p * (F.col("n") - 1) + 1))
         placed = placed.withColumn("lo", F.floor("at").cast("long")).withColumn("hi", F.ceil("at").cast("long"))
         lo = self.knots.select("feature", F.col("rank").alias("lo"), F.col("value").alias("lo_v"))
         hi = self.knots.select("feature", F.col("rank").alias("hi"), F.col("value").alias("hi_v"))
@@ -156,14 +200,79 @@ class QuantileTransformer:
         value = F.col("lo_v") + (F.col("at") - F.col("lo")) * (F.col("hi_v") - F.col("lo_v"))
         return both.select(*key, "feature", F.when(F.col("v").isNotNull(), F.coalesce(value, F.lit(float("nan")))).alias("v"))
 
-    def _wide(self, df: DataFrame, key: list[str], step) -> DataFrame:
+    def _wide(self, df: DataFrame, key: list[str], inverse: bool) -> DataFrame:
         check_columns(df, self.features, key)
+        if self.held() is not None:
+            mapper = self._mapper(df.sparkSession, inverse)
+            values = {f: F.col(f).cast("double") for f in self.features}
+            return df.select(*key, *(F.when(v.isNotNull(), mapper(F.lit(f), v)).alias(f) for f, v in values.items()))
+        if not key:
+            raise ValueError(f"more than {KNOTS_HELD} knots: rows need a key")
+        # Rows are put together again by their key, so it must tell them apart.
+        if not df.groupBy(*key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{key} doesn't tell rows apart")
+        step = self.inverse_long if inverse else self.transform_long
         out = step(melt(df, key, self.features)).groupBy(*key).pivot("feature", self.features).agg(F.first("v"))
         return df.select(*key).join(out, key, "left")
 
-    def transform(self, df: DataFrame, key: list[str]) -> DataFrame:
-        """key and the mapped columns, by name whatever their order; `key` must tell rows apart."""
-        return self._wide(df, key, self.transform_long)
-
-    def inverse_transform(self, df: DataFrame, key: list[str]) -> DataFrame:
-        return self._wide(df, key, self.inverse_long)
+    def transform(self, df: DataFrame, key: Iterable[str] = ()) -> DataFrame:
+        """The key (columns carried along) and the mapped columns, by name whatever their order. Only a mapping of very many knots
+        needs the key to tell rows apart."""
+        return self._wide(df, list(key), inverse=False)
+
+    def inverse_transform(self, df: DataFrame, key: Iterable[str] = ()) -> DataFrame:
+        return self._wide(df, list(key), inverse=True)
+
+
+def _forth(v: np.ndarray, knots: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Places of values among sorted distinct knots, in the range from a to b."""
+    n, good = len(knots), np.isfinite(v)
+    p = np.full(len(v), 0.5)
+    if n == 1:
+        p[good] = np.where(v[good] < knots[0], 0.0, np.where(v[good] > knots[0], 1.0, 0.5))
+    elif n:
+        x = v[good]
+        below = np.searchsorted(knots, x, "right") - 1
+        lo, hi = knots[np.clip(below, 0, n - 1)], knots[np.clip(below + (x != knots[np.clip(below, 0, n - 1)]), 0, n - 1)]
+        gap = hi - lo
+        inside = (below + np.where(gap > 0, (x - lo) / np.where(gap > 0, gap, 1.0), 0.0)) / (n - 1)
+        p[good] = np.where(x < knots[0], 0.0, np.where(x > knots[-1], 1.0, inside))
+    return p * (b - a) + a
+
+
+def _back(v: np.ndarray, knots: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Values at places of the range from a to b."""
+    n, good = len(knots), np.isfinite(v)
+    if n <= 1:
+        return np.full(len(v), knots[0] if n else np.nan)
+    out = np.full(len(v), np.nan)
+    p = np.full(good.sum(), 0.5) if a == b else np.clip((v[good] - a) / (b - a), 0.0, 1.0)
+    at = p * (n - 1)
+    lo, hi = np.floor(at).astype(int), np.ceil(at).astype(int)
+    out[good] = knots[lo] + (at - lo) * (knots[hi] - knots[lo])
+    return out
+
+
+#: Version of what save_scaler writes.
+STORE = 1
+
+
+def save_scaler(spark: SparkSession, scaler: MinMaxScaler | QuantileTransformer, path: str) -> None:
+    """A fitted scaler, written where Spark can write: one JSON row, and a quantile mapping's knots as Parquet, by feature and rank."""
+    told = {"store": STORE, "kind": type(scaler).__name__, "feature_range": list(scaler.feature_range)}
+    if isinstance(scaler, QuantileTransformer):
+        told["features"] = scaler.features
+        scaler.knots.select("feature", "rank", "value", "n").repartitionByRange("feature", "rank").sortWithinPartitions("feature", "rank").write.mode("overwrite").parquet(f"{path}/knots")
+    else:
+        told["bounds"] = scaler.bounds
+    spark.createDataFrame([(json.dumps(told),)], "scaler string").coalesce(1).write.mode("overwrite").text(f"{path}/scaler")
+
+
+def load_scaler(spark: SparkSession, path: str) -> MinMaxScaler | QuantileTransformer:
+    told = json.loads(spark.read.text(f"{path}/scaler", wholetext=True).first()[0])
+    if told["store"] != STORE:
+        raise ValueError(f"{path}: written by version {told['store']} of the store, this is {STORE}")
+    span = tuple(told["feature_range"])
+    if told["kind"] == "QuantileTransformer":
+        return QuantileTransformer(span, spark.read.parquet(f"{path}/knots"), told["features"])
+    return MinMaxScaler(span, {f: tuple(b) for f, b in told["bounds"].items()})

@@ -12,12 +12,22 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from ..functions.kernels import EPS, array_sum, assign_closest, share
 
 
+#: Clusters x features beyond which assignment runs in Arrow blocks instead of an expression of literals.
+LITERALS = 64
+#: Numbers of sums by cluster that a fit may bring to the driver: clusters x (2 features + classes + 1).
+MOST_SUMS = 20_000_000
+#: Partitions whose sums one task adds up.
+_ADDED = 64
+
+
 @dataclass
 class Parameters:
     """Centroids by cluster, feature importances, class probabilities by cluster; features and classes by name."""
@@ -71,9 +81,72 @@ def distances(p: Parameters, eps_c: float = 0.0, rows: int = 1, label: str | Non
     return F.array(*out)
 
 
-def assign(df: DataFrame, p: Parameters, eps_c: float = 0.0, rows: int = 1, label: str | None = None, weight: Column | None = None, out: str = "k") -> DataFrame:
-    """Add the closest cluster (from 1, first on a tie): a projection without a shuffle."""
-    return df.withColumn(out, assign_closest(distances(p, eps_c, rows, label, weight)))
+def closest(x: np.ndarray, c: np.ndarray, w_d: np.ndarray, weight: np.ndarray | None = None, told: np.ndarray | None = None) -> np.ndarray:
+    """Cluster from 0 of each row, the first on a tie. told: what each row's label takes off each cluster's distance.
+
+    Large models find by products of matrices which clusters can be the closest, and weigh those alone term by term, so
+    that rounding in the products decides nothing.
+    """
+    def scaled(far, rows=slice(None), k=slice(None)):
+        far = far if weight is None else far * (weight[rows, None] if far.ndim == 2 else weight[rows])
+        return far if told is None else far - told[rows, k]
+
+    if len(c) * len(w_d) <= 4096 or not len(x):
+        return scaled(np.stack([((x - row) ** 2) @ w_d for row in c], 1)).argmin(1)
+    own, size = (x * x) @ w_d, (c * c) @ w_d
+    rough = scaled(own[:, None] + size - 2 * ((x * w_d) @ c.T))
+    slack = 1e-13 * (len(w_d) + 8) * (own + size.max()) * (1 if weight is None else weight) + (0 if told is None else 1e-14 * np.abs(told).max(1))
+    near = rough <= (rough.min(1) + 2 * slack)[:, None]
+    k = near.argmax(1)
+    rows = np.flatnonzero(near.sum(1) > 1)
+    if len(rows):
+        best = np.full(len(rows), np.inf)
+        for j in np.flatnonzero(near[rows].any(0)):
+            some = np.flatnonzero(near[rows, j])
+            far = scaled(((x[rows[some]] - c[j]) ** 2) @ w_d, rows[some], j)
+            less = far < best[some]
+            best[some[less]], k[rows[some[less]]] = far[less], j
+    return k
+
+
+def vectors_of(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an array column of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), width)
+
+
+def codes_of(column: pa.Array, classes: list) -> np.ndarray:
+    """0-based class index of each label, -1 where it's none of the classes."""
+    return pc.index_in(column, value_set=pa.array(classes, column.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _x(p: Parameters) -> Column:
+    return F.transform(p.features, lambda v: v.cast("double")) if isinstance(p.features, str) else F.array(*p.columns())
+
+
+def _assigner(df: DataFrame, p: Parameters, eps: float, labelled: bool, weighted: bool):
+    """An Arrow function (x, label, weight) to clusters, with the model in a broadcast: a projection, on streams too."""
+    model = df.sparkSession.sparkContext.broadcast((np.array(p.centroids, float), np.array(p.importances, float), np.log(np.maximum(np.array(p.probabilities, float), EPS)), p.classes))
+
+    @F.arrow_udf("int")
+    def assigned(x: pa.Array, y: pa.Array, w: pa.Array) -> pa.Array:
+        c, w_d, logs, classes = model.value
+        told = eps * logs[:, codes_of(y, classes)].T if labelled and eps > 0 else None
+        weight = w.to_numpy(zero_copy_only=False) if weighted else None
+        return pa.array(closest(vectors_of(x, len(w_d)), c, w_d, weight, told).astype(np.int32) + 1)
+
+    return assigned
+
+
+def assign(df: DataFrame, p: Parameters, eps_c: float = 0.0, rows: int = 1, label: str | None = None, weight: Column | None = None, out: str = "k", lowering: str | None = None) -> DataFrame:
+    """Add the closest cluster (from 1, first on a tie): a projection without a shuffle.
+
+    lowering: expr (literals) for small models, arrow (a broadcast matrix) for others, if not given. Features are without
+    nulls, and arrays as long as the model is wide; with a label, labels are among the classes.
+    """
+    if (lowering or ("expr" if p.clusters * p.width <= LITERALS else "arrow")) == "expr":
+        return df.withColumn(out, assign_closest(distances(p, eps_c, rows, label, weight)))
+    f = _assigner(df, p, eps_c / rows, label is not None, weight is not None)
+    return df.withColumn(out, f(_x(p), F.col(label) if label else F.lit(0), F.lit(1.0) if weight is None else weight.cast("double")))
 
 
 def nonempty(df: DataFrame, clusters: int, k: str = "k") -> DataFrame:
@@ -116,17 +189,22 @@ def update_centroids(df: DataFrame, p: Parameters, weight: Column) -> DataFrame:
     return df.groupBy("k").agg(*(F.when(total > 0, F.sum(weight * x) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0).alias(n) for n, x in zip(names, p.columns())))
 
 
+def _over_classes(counts: DataFrame, by: list[str], classes: list) -> DataFrame:
+    """by, class, l from counts (by, class, n): shares of each group, with a row for every class."""
+    every = counts.groupBy(*by).agg(F.sum("n").alias("all")).withColumn("class", F.explode(F.lit(classes)))
+    found = counts.withColumnRenamed("n", "own")
+    return every.join(found, [*by, "class"], "left").select(*by, "class", (F.coalesce("own", F.lit(0)) / F.col("all")).alias("l"))
+
+
 def update_probabilities(df: DataFrame, label: str, classes: list) -> DataFrame:
     """k, class, l: unweighted class shares of each cluster; classes without rows are there, with 0."""
-    counts = df.groupBy("k").agg(F.count("*").alias("n"), *(F.count_if(F.col(label) == F.lit(c)).alias(f"_{m}") for m, c in enumerate(classes)))
-    pairs = F.array(*(F.struct(F.lit(c).alias("class"), (F.col(f"_{m}") / F.col("n")).alias("l")) for m, c in enumerate(classes)))
-    return counts.select("k", F.inline(pairs))
+    return _over_classes(df.groupBy("k", F.col(label).alias("class")).agg(F.count("*").alias("n")), ["k"], classes)
 
 
 def priors(df: DataFrame, label: str, classes: list) -> DataFrame:
     """class, l: unweighted class frequencies, the starting point of every cluster."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("class"), (F.count_if(F.col(label) == F.lit(c)) / F.count("*")).alias("l")) for c in classes))
-    return df.agg(pairs.alias("a")).select(F.inline("a"))
+    counts = df.groupBy(F.lit(0).alias("one"), F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    return _over_classes(counts, ["one"], classes).drop("one")
 
 
 def entropy_of(w: list[float]) -> float:
@@ -148,6 +226,22 @@ def class_distribution(p: Parameters, k: str = "k") -> Column:
     return F.transform(own, lambda v: share(v, array_sum(own), F.size(own)))
 
 
+def with_distribution(df: DataFrame, p: Parameters, k: str = "k", out: str = "probabilities") -> DataFrame:
+    """Add the class probabilities of a row's cluster: by literals for small models, by a broadcast matrix for others."""
+    if p.clusters * len(p.classes) <= LITERALS:
+        return df.withColumn(out, class_distribution(p, k))
+    own = np.array(p.probabilities, float)
+    total = own.sum(1, keepdims=True)
+    table = df.sparkSession.sparkContext.broadcast(np.where((total > EPS) & np.isfinite(total), own / np.where(total > 0, total, 1), 1 / own.shape[1]))
+
+    @F.arrow_udf("array<double>")
+    def told(k: pa.Array) -> pa.Array:
+        rows = table.value[k.to_numpy(zero_copy_only=False) - 1]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+
+    return df.withColumn(out, told(k))
+
+
 def statistics(df: DataFrame, p: Parameters, label: str, eps_c: float, rows: int, weight: Column | None, lowering: str = "arrow", given: str | None = None) -> dict[int, tuple]:
     """One scan under the current parameters: {cluster from 0: (weight, shifted sums, shifted squares, class counts)}.
 
@@ -155,40 +249,60 @@ def statistics(df: DataFrame, p: Parameters, label: str, eps_c: float, rows: int
     are missing. Only clusters x (2 features + classes + 1) numbers reach the driver.
     """
     w = F.lit(1.0 / rows) if weight is None else weight
-    d_n, m_n = p.width, len(p.classes)
+    if p.clusters * (2 * p.width + len(p.classes) + 1) > MOST_SUMS:
+        raise ValueError(f"{p.clusters} clusters of {p.width} features and {len(p.classes)} classes: more than {MOST_SUMS} sums")
     if lowering == "expr":
-        known = df if given else assign(df, p, eps_c, rows, label, w, "_k")
+        known = df if given else assign(df, p, eps_c, rows, label, w, "_k", lowering)
         known = known.withColumn("_k", F.col(given)) if given else known
         shifted = [x - _center(p, d, "_k") for d, x in enumerate(p.columns())]
         sums = known.groupBy(F.col("_k").alias("k")).agg(F.sum(w).alias("s"), F.array(*(F.sum(w * x) for x in shifted)).alias("r"), F.array(*(F.sum(w * x * x) for x in shifted)).alias("q"), F.array(*(F.count_if(F.col(label) == F.lit(c)).cast("double") for c in p.classes)).alias("n"))
     else:
-        x = F.transform(p.features, lambda v: v.cast("double")) if isinstance(p.features, str) else F.array(*p.columns())
-        narrow = df.select(x.alias("x"), label_code(label, p.classes).alias("y"), w.cast("double").alias("w"), (F.col(given) if given else F.lit(0)).cast("int").alias("k"))
-        part = narrow.mapInArrow(_partial(p, eps_c / rows, given is not None), "k int, s double, r array<double>, q array<double>, n array<double>")
-        # ignore the partitioning: a few rows of each partition, summed by cluster
-        sums = part.groupBy("k").agg(F.sum("s").alias("s"), *(F.array(*(F.sum(F.col(c)[j]) for j in range(size))).alias(c) for c, size in (("r", d_n), ("q", d_n), ("n", m_n))))
+        narrow = df.select(_x(p).alias("x"), F.col(label).alias("y"), w.cast("double").alias("w"), (F.col(given) if given else F.lit(0)).cast("int").alias("k"))
+        fields = "k int, some int, s double, r array<double>, q array<double>, n array<double>"
+        model = df.sparkSession.sparkContext.broadcast((np.array(p.centroids, float), np.array(p.importances, float), np.log(np.maximum(np.array(p.probabilities, float), EPS)), p.classes))
+        part = narrow.mapInArrow(_partial(model, eps_c / rows, given is not None), fields)
+        # Partitions' sums by cluster are added up in two steps, array by array.
+        for by in (("k", "some"), ("k",)):
+            part = part.repartition(*map(F.col, by)).sortWithinPartitions("k").mapInArrow(_added, fields)
+        sums = part
     return {r["k"] - 1: (r["s"], np.array(r["r"]), np.array(r["q"]), np.array(r["n"])) for r in sums.collect()}
 
 
-def _partial(p: Parameters, eps: float, given: bool):
-    c, w_d = np.array(p.centroids, float), np.array(p.importances, float)
-    logs = np.log(np.maximum(np.array(p.probabilities, float), EPS))
-    k_n, d_n, m_n = len(c), len(w_d), logs.shape[1]
+def _sum_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (k, some, s, r, q, n) as a batch."""
+    k, some, s, *arrays = zip(*rows) if rows else [()] * 6
+    lists = [pa.array([v.tolist() for v in a], pa.list_(pa.float64())) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(some, pa.int32()), pa.array(s, pa.float64()), *lists], ["k", "some", "s", "r", "q", "n"])
 
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each cluster in this partition, which come sorted by cluster."""
+    now = None
+    for batch in batches:
+        for k, some, s, *arrays in zip(*(batch.column(c) for c in ("k", "some", "s", "r", "q", "n"))):
+            own = [a.values.to_numpy() for a in arrays]
+            if now and now[0] == k.as_py():
+                now = (now[0], now[1], now[2] + s.as_py(), *(a + b for a, b in zip(now[3:], own)))
+            else:
+                if now:
+                    yield _sum_rows([now])
+                now = (k.as_py(), some.as_py(), s.as_py(), *own)
+    if now:
+        yield _sum_rows([now])
+
+
+def _partial(model, eps: float, given: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, r, q, n = np.zeros(k_n), np.zeros((k_n, d_n)), np.zeros((k_n, d_n)), np.zeros((k_n, m_n))
+        c, w_d, logs, classes = model.value
+        k_n, d_n, m_n = len(c), len(w_d), logs.shape[1]
+        sums = np.zeros(k_n), np.zeros((k_n, d_n)), np.zeros((k_n, d_n)), np.zeros((k_n, m_n))
+        s, r, q, n = sums
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d_n)
-            y, w = batch.column("y").to_numpy(zero_copy_only=False).astype(int), batch.column("w").to_numpy()
-            if given:
-                k = batch.column("k").to_numpy() - 1
-            else:
-                far = np.stack([((x - c[j]) ** 2) @ w_d for j in range(k_n)], 1) * w[:, None]
-                if eps > 0:
-                    far -= eps * logs[:, y].T
-                k = far.argmin(1)
+            x = vectors_of(batch.column("x"), d_n)
+            y, w = codes_of(batch.column("y"), classes), batch.column("w").to_numpy()
+            k = batch.column("k").to_numpy() - 1 if given else closest(x, c, w_d, w, eps * logs[:, y].T if eps > 0 else None)
             shifted = x - c[k]
             for j in np.unique(k):
                 own = k == j
@@ -196,7 +310,8 @@ def _partial(p: Parameters, eps: float, given: bool):
                 r[j] += w[own] @ shifted[own]
                 q[j] += w[own] @ (shifted[own] ** 2)
                 n[j] += np.bincount(y[own], minlength=m_n)
-        seen = np.flatnonzero(n.sum(1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32) + 1), pa.array(s[seen]), *(pa.array(list(a[seen]), pa.list_(pa.float64())) for a in (r, q, n))], ["k", "s", "r", "q", "n"])
+        some = TaskContext.get().partitionId() // _ADDED
+        for j in np.flatnonzero(n.sum(1) > 0).tolist():
+            yield _sum_rows([(j + 1, some, s[j], r[j], q[j], n[j])])
 
     return run

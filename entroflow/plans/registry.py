@@ -552,6 +552,9 @@ def fit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return settings.fit(vectors, "embedding", "label", ["vec_id"]).predict(vectors).select("vec_id", "k")
 
 
+_VECTORS = "SELECT 'embedding_' || d AS feature, label, x / nullif(stddev_pop(x) OVER (PARTITION BY d), 0) AS v, vec_id AS id FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     p = EspaClassifier(max_iter=5, verbosity=0).fit(docs, DOC_X, "quality", ["doc_id"]).fitted_params(spark)
@@ -604,3 +607,9 @@ def init_weights(spark: SparkSession, d: str) -> DataFrame:
     mi = feature_information(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment", ["c_custkey"])
     every = Window.partitionBy()  # a row for each feature
     return mi.select("feature", F.round(K.share(F.col("mi"), F.sum("mi").over(every), F.count("*").over(every)), 3).alias("w"))
+
+
+@query(_mi_sql(_VECTORS))
+def mi_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The places of an array column, all at once."""
+    return feature_information(table(spark, d, "embeddings"), "embedding", "label").select("feature", F.round("mi", 5).alias("mi"))

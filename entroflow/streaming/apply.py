@@ -1,4 +1,4 @@
-"""Fitted models on streams. Prediction and min-max scaling are projections, so they run on a stream as they are."""
+"""Fitted models on streams. Prediction and scaling are projections (quantile mappings up to KNOTS_HELD knots), so they run on streams."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..operators.classifier import Model
-from ..operators.scalers import MinMaxScaler
+from ..operators.scalers import MinMaxScaler, QuantileTransformer
 
 
 def read(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -14,6 +14,6 @@ def read(spark: SparkSession, path: str, schema: StructType, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def predict(stream: DataFrame, model: Model, scaler: MinMaxScaler | None = None) -> DataFrame:
-    """Scale (if wanted) and predict each row as it comes: no state, no watermark."""
-    return model.predict_mode(scaler.transform(stream) if scaler else stream)
+def predict(stream: DataFrame, model: Model, scaler: MinMaxScaler | QuantileTransformer | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Scale (if wanted; carry names the columns besides the features) and predict each row as it comes: no state, no watermark."""
+    return model.predict_mode(scaler.transform(stream, carry) if scaler else stream)

@@ -256,3 +256,170 @@ def test_model_is_saved_and_streams(spark, tmp_path):
     q.stop()
     assert spark.table("told").count() == 90
     assert m.predict(df.limit(0)).count() == 0
+
+
+def test_both_assignments_agree(spark):
+    """Literals and the broadcast matrix give the same clusters, with labels and weights and without, and ties go to the first."""
+    df = blobs(spark, 300).withColumn("v", F.array(*X))
+    for features in (X, "v"):
+        p = steps.Parameters(features, ["a", "b", "c"], [[0.1, 0.2, 0.0], [0.9, 0.8, 0.1], [0.9, 0.8, 0.1]], [0.5, 0.3, 0.2], [[0.6, 0.2, 0.2], [0.2, 0.6, 0.2], [0.2, 0.2, 0.6]])
+        for more in ({}, {"eps_c": 5.0, "rows": 300, "label": "y", "weight": F.col("w") / 700}):
+            both = steps.assign(steps.assign(df, p, **more, lowering="expr", out="e"), p, **more, lowering="arrow", out="a")
+            assert both.filter("e <> a").count() == 0 and both.select("a").distinct().count() == (3 if more else 2)
+
+
+def test_large_models_predict(spark):
+    """1,000 clusters of 100 features: the same clusters as brute force, also for rows that lie on centroids, two of them equal."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(1000, 100))
+    c[500] = c[3]
+    w = rng.uniform(size=100)
+    x = np.concatenate([c[:40], rng.normal(size=(400, 100))])
+    want = [int(((row - c) ** 2 @ w).argmin()) + 1 for row in x]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    probs = rng.uniform(size=(1000, 3))
+    p = steps.Parameters("v", ["a", "b", "c"], c.tolist(), (w / w.sum()).tolist(), (probs / probs.sum(1, keepdims=True)).tolist())
+    from entroflow.operators.classifier import Model
+
+    got = {r.id: r for r in Model(p, EspaClassifier(), None).predict_mode(df).collect()}
+    assert [got[i].k for i in range(len(x))] == want
+    assert all(got[i].probabilities == pytest.approx(p.probabilities[k - 1]) and got[i].prediction == "abc"[int(np.argmax(p.probabilities[k - 1]))] for i, k in enumerate(want))
+
+
+def test_wide_fit_with_many_classes(spark):
+    """4,096 features, and 3,000 classes: sums are added array by array, classes found by lookup."""
+    df = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda j: (F.col("id") % 2) + j / 5000).alias("v"), (F.col("id") % 2).cast("string").alias("y"))
+    m = EspaClassifier(clusters=2, max_iter=2, mi_init=False, verbosity=0).fit(df, "v", "y", ["id"])
+    assert m.parameters.width == 4096 and m.predict_mode(df).filter("prediction <> y").count() == 0
+    many = spark.range(6000).select("id", F.col("id").cast("double").alias("x"), F.pmod(F.col("id"), F.lit(3000)).alias("y"))
+    m = EspaClassifier(clusters=2, max_iter=2, mi_init=False, verbosity=0).fit(many, ["x"], "y", ["id"])
+    assert len(m.parameters.classes) == 3000 and m.predict(many.limit(5)).count() == 5
+    with pytest.raises(ValueError, match="sums"):
+        steps.statistics(many, m.parameters.change(centroids=[[0.0]] * 10_000, probabilities=m.parameters.probabilities[:1] * 10_000), "y", 0.0, 6000, None)
+
+
+def test_fit_checks_its_input(spark):
+    df = blobs(spark)
+    fit = lambda d, x=X, w=None: EspaClassifier(max_iter=1, verbosity=0).fit(d, x, "y", ["id"], w)
+    with pytest.raises(ValueError, match="numeric"):
+        fit(df.withColumn("w", F.lit("1")), w="w")
+    with pytest.raises(ValueError, match="null"):
+        fit(df.withColumn("w", F.when(F.col("id") > 3, 1.0)), w="w")
+    for odd in (math.inf, math.nan, None):
+        with pytest.raises(ValueError, match="infinite"):
+            fit(df.withColumn("x1", F.when(F.col("id") == 3, F.lit(odd).cast("double")).otherwise(F.col("x1"))))
+        with pytest.raises(ValueError, match="infinite"):
+            fit(df.withColumn("v", F.array("x1", F.when(F.col("id") == 3, F.lit(odd).cast("double")).otherwise(F.col("x2")))), "v")
+    with pytest.raises(ValueError, match="arrays of"):
+        fit(df.withColumn("v", F.when(F.col("id") == 3, F.array("x1")).otherwise(F.array("x1", "x2"))), "v")
+    with pytest.raises(ValueError, match="outside"):
+        EspaClassifier(max_iter=1).fit(df, X, "y", ["id"], classes=["a", "b"])
+
+
+def test_array_and_columns_start_alike(spark):
+    """The same features as columns and as an array give equal importances from mutual information, and equal fits."""
+    df = blobs(spark).withColumn("v", F.array(*X))
+    for name, features in (("columns", X), ("array", "v")):
+        mi = {r.feature: r.mi for r in feature_information(df, features, "y", ["id"]).collect()}
+        if name == "columns":
+            want = [mi[x] for x in X]
+    assert [mi[f"v_{n}"] for n in (1, 2, 3)] == pytest.approx(want) and want[1] > 0.2
+    one, two = (EspaClassifier(max_iter=3, kpp_init=False, verbosity=0).fit(df, f, "y", ["id"]).parameters for f in (X, "v"))
+    assert np.allclose(one.importances, two.importances, atol=1e-6) and np.allclose(one.centroids, two.centroids, atol=1e-6)
+
+
+def test_information_of_ties_and_repeated_rows(spark):
+    """Counts stand for rows: heavy ties, and rows without a key, against the pairwise form."""
+    rng = np.random.default_rng(6)
+    v = np.where(rng.uniform(size=300) < 0.4, 0.25, rng.integers(0, 30, 300) / 30.0)
+    y = (v + rng.normal(size=300) / 5 > 0.4).astype(int)
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    total = 0.0
+    for k in (1, 3, 5):
+        total = 0.0
+        for i in range(300):
+            gaps = np.sort(np.abs(v[y == y[i]] - v[i]))[1:]
+            j = min(k, len(gaps))
+            r = gaps[j - 1]
+            m = int((np.abs(v - v[i]) < r * (1 - 1e-11)).sum()) if r > K.EPS else int((np.abs(v - v[i]) <= K.EPS).sum())
+            total += psi(j) - psi(len(gaps) + 1) - psi(max(m, 1))
+        long = spark.createDataFrame([("f", int(b), float(a)) for a, b in zip(v, y)], "feature string, label int, v double")
+        assert mutual_information(long, k).first().mi == pytest.approx(max(0.0, psi(300) + total / 300), abs=1e-6)
+
+
+def test_seeds_beyond_a_block(spark, monkeypatch):
+    """Distances written after every two seeds lead to the same seeds as those held all along."""
+    from entroflow.operators import classifier
+
+    df, p = blobs(spark), steps.Parameters(X, ["a"], [[0.0] * 3] * 7, [0.5, 0.3, 0.2], [[1.0]] * 7)
+    want = EspaClassifier(clusters=7)._seeds_kpp(df, p, ["id"])
+    monkeypatch.setattr(classifier, "SEEDS_HELD", 2)
+    assert EspaClassifier(clusters=7)._seeds_kpp(df, p, ["id"]) == want and len({tuple(s) for s in want}) == 7
+
+
+def test_stopped_fit_resumes(spark, tmp_path, monkeypatch):
+    """A fit stopped in its third iteration goes on from the second and ends where an undisturbed one does."""
+    df, path = blobs(spark), str(tmp_path / "state")
+    settings = EspaClassifier(max_iter=5, tol=1e-300, verbosity=0)
+    whole = settings.fit(df, X, "y", ["id"])
+    step, calls = EspaClassifier._step, []
+
+    def stopping(self, *args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the driver is gone")
+        return step(self, *args)
+
+    monkeypatch.setattr(EspaClassifier, "_step", stopping)
+    with pytest.raises(RuntimeError, match="gone"):
+        settings.fit(df, X, "y", ["id"], resume=path)
+    more = settings.fit(df, X, "y", ["id"], resume=path)
+    assert len(calls) == 3 + whole.report.iterations - 2 and more.report.losses == pytest.approx(whole.report.losses, abs=1e-12)
+    assert np.allclose(more.parameters.centroids, whole.parameters.centroids, atol=1e-12)
+    with pytest.raises(ValueError, match="another fit"):
+        EspaClassifier(max_iter=5, eps_c=0.5, verbosity=0).fit(df, X, "y", ["id"], resume=path)
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_quantile_projection_and_store(spark, tmp_path, monkeypatch, held):
+    """Knots in a broadcast and the search by sorting agree, saved mappings load, and the projection needs no key."""
+    from entroflow.operators import scalers
+
+    x = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(20)] + [(20, 3.0, math.nan), (21, None, 2.5)], "id int, a double, b double")
+    q = QuantileTransformer((-1.0, 1.0)).fit(x, ["a", "b"])
+    want = {r.id: (r.a, r.b) for r in q.transform(x, ["id"]).collect()}
+    if not held:
+        monkeypatch.setattr(scalers, "KNOTS_HELD", 0)
+        assert not hasattr(QuantileTransformer((-1.0, 1.0)).fit(x, ["a"]).held(), "keys")
+    scalers.save_scaler(spark, q, str(tmp_path / "q"))
+    same = scalers.load_scaler(spark, str(tmp_path / "q"))
+    out = same.transform(x, ["id"])
+    assert {r.id: (r.a, r.b) for r in out.collect()} == {i: pytest.approx(v) if None not in v else v for i, v in want.items()}
+    back = {r.id: (r.a, r.b) for r in same.inverse_transform(out, ["id"]).collect()}
+    assert all(back[i] == pytest.approx((i % 7, i), abs=1e-9) for i in range(20)) and back[21] == (None, pytest.approx(2.5))
+    if held:
+        assert sorted(same.transform(x.drop("id")).collect(), key=repr) == sorted((r for r in same.transform(x, ["id"]).drop("id").collect()), key=repr)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    else:
+        for bad, match in ((x.drop("id"), "need a key"), (x.withColumn("id", F.lit(1)), "tell rows apart")):
+            with pytest.raises(ValueError, match=match):
+                same.transform(bad, [c for c in bad.columns if c == "id"])
+    one = QuantileTransformer().fit(x.filter("id = 3"), ["a"])
+    assert [r.v for r in one.inverse_long(melt(x.filter("id = 20").withColumn("a", F.lit(math.nan)), ["id"], ["a"])).collect()] == [3.0]
+    mm = MinMaxScaler((0.0, 2.0)).fit(x.filter("id < 20").drop("id"), ["a", "b"])
+    scalers.save_scaler(spark, mm, str(tmp_path / "m"))
+    assert scalers.load_scaler(spark, str(tmp_path / "m")) == mm
+
+
+def test_quantile_mapping_streams(spark, tmp_path):
+    from entroflow.streaming.apply import predict, read
+
+    df = blobs(spark).select("id", *X, "y")
+    q = QuantileTransformer().fit(df, X)
+    m = EspaClassifier(max_iter=2, verbosity=0).fit(q.transform(df, ["id", "y"]), X, "y", ["id"])
+    df.write.parquet(str(tmp_path / "rows"))
+    run = predict(read(spark, str(tmp_path / "rows"), df.schema), m, q, ("id", "y")).writeStream.format("memory").queryName("mapped").start()
+    run.processAllAvailable()
+    run.stop()
+    want = {r.id: r.prediction for r in m.predict_mode(q.transform(df, ["id", "y"])).collect()}
+    assert {r.id: r.prediction for r in spark.table("mapped").collect()} == want
