@@ -166,7 +166,7 @@ class Centroids:
             own = np.minimum(np.searchsorted(self.sample_ids, ids), len(self.sample_ids) - 1)
             mine = self.sample_ids[own] == ids
             length = np.sqrt((x * x).sum(1))
-            small = (x / length[:, None]).astype(np.float32)
+            small = (x / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
             for a in range(0, len(x), 64):
                 s = small[a : a + 64] @ self.sample.T
                 at = np.flatnonzero(mine[a : a + 64])
@@ -416,7 +416,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20) -
     vectors, queries: vec_id, embedding (queries default to all vectors); a query isn't its own neighbour. Vectors that
     are null, zero or hold null or non-finite components take no part, nor do queries of another length than the vectors;
     see valid_vectors() for lengths and repeats. Scores are inner products in double precision of the vectors as they are;
-    ties go to the smaller vec_id, however many there are. A query that finds fewer than k others in its lists, or fewer
+    ties go to the smaller vec_id, however many there are. Where the largest component is beyond what squares can hold
+    (2**300, or 2**30 in single precision; or below their inverses) all are searched scaled by a power of two and scores scaled
+    back, to infinity if need be; a vector that vanishes beside such ones takes no part. A query that finds fewer than k others in its lists, or fewer
     of the score that it looks for, is searched in all lists, so it gets k rows if there are as many. Without vectors the
     result is empty. Other columns play no part.
     """
@@ -430,10 +432,25 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20) -
         return empty_result(vectors.sparkSession, "double")
     width = length_of(rows)
     asked = rows if queries is None else stage(valid(queries, width), "queries")
+    largest = lambda df: df.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double")))))).first()[0] or 0.0
+    room = (2.0**-30, 2.0**30) if kind == "float" else (2.0**-300, 2.0**300)
+    # Components whose squares overflow, or vanish, are brought to about 1 by a power of two.
+    factor = lambda top: 1.0 if not top or room[0] < top < room[1] else 2.0 ** -int(np.frexp(top)[1])
+    factors = [factor(largest(rows))] * 2 if queries is None else [factor(largest(df)) for df in (rows, asked)]
+    if factors != [1.0, 1.0]:
+        grown = lambda df, by: stage(df.withColumn("x", F.transform("x", lambda v: (v.cast("double") * by).cast(kind))).filter(F.exists("x", lambda v: v != 0)), "scaled")
+        rows = grown(rows, factors[0])
+        asked = rows if queries is None else grown(asked, factors[1])
+        total = rows.count()
+        return _nearest(rows, asked, total, width, k, kind).withColumn("score", F.col("score") / factors[0] / factors[1])
+    return _nearest(rows, asked, total, width, k, kind)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, total: int, width: int, k: int, kind: str) -> DataFrame:
     model = fit(rows, asked, total, k)
     most = int(min(max(total * REPLICAS / GROUPS, GROUP_ROWS), max(GROUP_COMPONENTS // width // (1 if kind == "float" else 2), 1)))
     group = _groups(model.points, -(-total * REPLICAS // most))
-    shared = vectors.sparkSession.sparkContext.broadcast((model, group))  # at most MOST_LISTS centroids and the sample
+    shared = rows.sparkSession.sparkContext.broadcast((model, group))  # at most MOST_LISTS centroids and the sample
     dealt = f"vec_id long, group int, cells array<int>, floor double, x array<{kind}>"
     listed = stage(rows.mapInArrow(_deal(shared), dealt), "lists")
     # A group of many more rows than meant is dealt over several parts; every query that visits it comes to all of them.

@@ -106,34 +106,59 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return stage(rows.select("doc_id", "text_hash", "spans", words.alias("words")), "pii_spans")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """kind, value, term, together, documents (with the term), information: terms beyond the disclosure threshold.
+def _term_pairs(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(values, pairs, total). values, staged: kind, value, holders and the class s1, s2 of values that the very same documents hold.
+    pairs: class, holders, term, documents, a row for each document with both that might disclose.
 
-    Term and value stand together in a document that holds both, however far apart. Rows that repeat a document (doc_id and
-    text) count once throughout.
+    A document's words are exploded once, and meet its classes of values, not its values: a list of addresses that several documents
+    repeat is one class.
     """
     repeated = stage(base.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1"), "pii_repeated")
     total = base.count() - (repeated.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
     own = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    held = base.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(own).alias("v"), "words").select("doc_id", "text_hash", "v.*", "words")
+    having = base.filter(F.size("spans") > 0)
+    held = having.select("doc_id", "text_hash", F.explode(own).alias("v")).select("doc_id", "text_hash", "v.*").distinct()
+    mark = lambda n: F.bit_xor(F.xxhash64(F.lit(n), "doc_id", "text_hash")).alias(f"s{n}")
     # Values in fewer documents than SUPPORT, or in all, have no disclosing terms.
-    values = held.select("doc_id", "text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("holders"))
+    values = held.groupBy("kind", "value").agg(F.count("*").alias("holders"), mark(1), mark(2))
     values = stage(values.filter((F.col("holders") >= SUPPORT) & (F.col("holders") < total)), "pii_values")
+    most = values.agg(F.max("holders")).first()[0] or 0
+    # As term and value are together in `holders` documents at most, a term of many more documents can't reach the threshold.
+    content = lambda holders: F.log2(F.lit(float(max(total, 2))) / holders)
+    could = lambda holders: F.log2("documents") <= F.log2(holders) + (1 - DISCLOSURE) * content(holders) + 1e-6
     texts = _texts(docs)
     seen = texts.select(F.explode(terms_of(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("rows"))
     if not repeated.isEmpty():  # of a document's rows all but one are taken off again
         again = small(repeated.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (1 - F.col("rows")).alias("rows")))
         again = texts.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).dropDuplicates(["doc_id", "text_hash"])
         seen = seen.unionByName(again.select(F.explode(terms_of(F.col("text"))).alias("term"), "rows"))
-    seen = seen.groupBy("term").agg(F.sum("rows").alias("documents")).filter(F.col("documents") >= SUPPORT)
-    once = held.join(small(values), ["kind", "value"]).groupBy("doc_id", "text_hash", "kind", "value", "holders").agg(F.first("words").alias("words"))
+    seen = seen.groupBy("term").agg(F.sum("rows").alias("documents")).filter((F.col("documents") >= SUPPORT) & could(F.lit(float(max(most, 1)))))
+    classes = held.join(small(values), ["kind", "value"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "s1", "s2", "holders").distinct()
+    largest = classes.groupBy(F.col("d").alias("doc_id"), F.col("h").alias("text_hash")).agg(F.max("holders").alias("largest"))
+    largest = small(stage(largest, "pii_largest")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    words = having.dropDuplicates(["doc_id", "text_hash"]).join(largest, same).select("doc_id", "text_hash", "largest", F.explode("words").alias("term"))
+    words = words.join(seen, "term").filter(could(F.col("largest")))
+    pairs = words.join(classes, same).filter(could(F.col("holders"))).select("s1", "s2", "holders", "term", "documents")
+    return values, pairs, total
+
+
+def _disclosing(pairs: DataFrame, total: int) -> DataFrame:
+    """s1, s2, term, together, documents, information: terms beyond the disclosure threshold, by class of values."""
+    known = pairs.groupBy("s1", "s2", "holders", "term", "documents").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
     content = F.log2(F.lit(float(max(total, 2))) / F.col("holders"))
-    # As term and value are together in `holders` documents at most, a term of many more documents can't reach the threshold.
-    could = F.log2("documents") <= F.log2("holders") + (1 - DISCLOSURE) * content + 1e-6
-    pairs = once.select("kind", "value", "holders", F.explode("words").alias("term")).join(seen, "term").filter(could)
-    known = pairs.groupBy("kind", "value", "holders", "term", "documents").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
     shared = F.log2(F.lit(float(total)) * F.col("together") / (F.col("documents") * F.col("holders")))
-    return known.withColumn("information", shared).filter((content > 0) & (shared >= DISCLOSURE * content)).select("kind", "value", "term", "together", "documents", "information")
+    return known.withColumn("information", shared).filter((content > 0) & (shared >= DISCLOSURE * content)).select("s1", "s2", "term", "together", "documents", "information")
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """kind, value, term, together, documents (with the term), information: terms beyond the disclosure threshold.
+
+    Term and value stand together in a document that holds both, however far apart. Rows that repeat a document (doc_id and
+    text) count once throughout.
+    """
+    values, pairs, total = _term_pairs(docs, base)
+    return _disclosing(pairs, total).join(values, ["s1", "s2"]).select("kind", "value", "term", "together", "documents", "information")
 
 
 def _marked(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -155,7 +180,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     documents, by start: each occurrence of a disclosing term that overlaps no span of base, in every text. A null text is empty. Repeated rows get the same spans, and count once in the statistics. Other columns play no part; an empty table gives an empty result.
     """
     base = base_spans(docs)
-    told = stage(disclosing_terms(docs, base).select("term", "documents").distinct(), "pii_told")
+    _, pairs, total = _term_pairs(docs, base)
+    told = stage(_disclosing(pairs, total).select("term", "documents").distinct(), "pii_told")
     spans = _marked(docs, told)
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     both = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")

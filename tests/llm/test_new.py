@@ -129,3 +129,31 @@ def test_hot_join_deals_hot_keys(spark, monkeypatch):
     assert sorted(map(tuple, common.hot_join(left, facts, ["key"], "n").collect())) == want
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, common.hot_join(left, facts, ["key"], "n").collect())) == want
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200])
+def test_ann_of_extreme_components(spark, size):
+    """Finite vectors whose squares overflow or vanish are found in the order of their true products."""
+    from entroflow.llm import ann
+
+    x = np.random.default_rng(8).normal(size=(30, 6))
+    got = ann.nearest(spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=4).collect()
+    s = x @ x.T
+    for i in range(30):
+        want = [j for j in np.argsort(-s[i], kind="stable") if j != i][:4]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
+
+
+def test_contact_lists_are_no_product(spark):
+    """Documents that repeat a list of addresses: the pairs of classes and words grow with words and values, not their product."""
+    from entroflow.llm import pii
+
+    mails, words = " ".join(f"u{k}@host{k}.org" for k in range(40)), " ".join(f"term{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100))
+    rows = [(i, f"{mails} {words}") for i in range(4)] + [(10 + i, f"plain text number {i} without anything") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.base_spans(docs)
+    values, pairs, total = pii._term_pairs(docs, base)
+    assert total == 64 and values.count() == 40 and values.select("s1", "s2").distinct().count() == 1
+    assert pairs.count() == 4 * 100
+    told = pii.disclosing_terms(docs, base)
+    assert told.count() == 40 * 100 and told.filter("together <> 4 or documents <> 4").count() == 0
