@@ -1,22 +1,27 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 Texts are split into words once, into a staged table. All rolling word k-grams of the documents are joined to the
-positions they have in the templates; a pair of positions votes for its diagonal (document position less template
-position). Votes are summed by diagonal and neighbouring diagonals merged (an added or missing word moves the rest by
-one) into stretches: each diagonal takes in those of its run up to REACH further on, so a run of any length falls into
-stretches of bounded length and none is left out. A stretch is verified by its words: the longest chain of matched
-words that goes forward both in the text and in the template must hold enough of the template.
+positions they have in the templates, which are a table of texts of any length; a pair of positions votes for its diagonal
+(document position less template position). Votes are gathered by diagonal and neighbouring diagonals merged (an added or
+missing word moves the rest by one) into stretches: each diagonal takes in those up to SPREAD times the template's length
+further on, so that words put into a copy may be as many, and stretches that lie within another are left out. A stretch is verified by its words: the
+longest chain of matched words that goes forward both in the text and in the template must hold enough of the template.
+Diagonals that hold enough by themselves are spans of their own; of broken copies within one stretch the last of the best is told.
 Phrases are templates whose every k-gram must stand on one diagonal.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
-K, GAP, REACH, BESIDE, LEAST = 3, 4, 32, 8, 0.6
+K, BESIDE, LEAST = 3, 8, 0.6
+#: A stretch's diagonals lie within so many template lengths, and within REACH words at least.
+SPREAD, REACH = 2.0, 32
 
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -48,13 +53,16 @@ def lowered(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def _template_grams(spark) -> DataFrame:
-    rows = []
-    for n, (text, label) in enumerate((*PHRASES, *TEMPLATES)):
-        words = text.split()
-        for p in range(len(words) - K + 1):
-            rows.append((n, n < len(PHRASES), label, len(words), p, *words[p : p + K]))
-    return spark.createDataFrame(rows, "template int, phrase boolean, label string, words int, place int, " + ", ".join(f"t{k} string" for k in range(K)))
+def _template_grams(spark, templates: DataFrame | Iterable[tuple[str, str]] | None) -> DataFrame:
+    """Every k-gram of phrases and templates with its place: template, phrase, label, words, place, t0, t1, ..."""
+    fields = "text string, label string"
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame([*(TEMPLATES if templates is None else templates)], fields)
+    given = spark.createDataFrame([*PHRASES], fields).withColumn("phrase", F.lit(True)).unionByName(templates.select("text", "label", F.lit(False).alias("phrase")).filter("label is not null").distinct())
+    split = given.withColumn("w", F.regexp_extract_all(lowered(F.col("text")), F.lit(_WORD), F.lit(0))).filter(F.size("w") >= K)
+    split = split.select(F.xxhash64("phrase", "label", "text").alias("template"), "phrase", "label", F.size("w").alias("words"), "w")
+    placed = split.select("*", F.explode(F.sequence(F.lit(0), F.col("words") - K)).alias("place"))
+    return stage(placed.select("template", "phrase", "label", "words", "place", *(F.get("w", F.col("place") + k).alias(f"t{k}") for k in range(K))), "license_templates")
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -63,68 +71,78 @@ def _words(docs: DataFrame) -> DataFrame:
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(lowered(text), F.lit(_WORD), F.lit(0)).alias("w")), "license_words")
 
 
-def license_spans(docs: DataFrame) -> DataFrame:
+def license_spans(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """Verified spans: doc_id, text_hash, template, phrase, label, first (word), last (word, exclusive), coverage."""
-    return _spans(_words(docs))
+    return _spans(_words(docs), templates)
 
 
 def _chain(found: Column) -> Column:
-    """Length of the longest chain of matched words, forward in template and text. found: array of (place, back), back the
-    text position negated, sorted: of one place the furthest word comes first, so that a chain has it once at most."""
+    """The longest chain of matched words, forward in template and text, the last to begin of these: its size, first and last.
+    found: array of (back, at), back the place in the template negated, at the place in the text, sorted: from the
+    template's end, and of one place the nearest word first, so that a chain has it once at most."""
+    link = "struct<at:int,end:int>"
 
     def step(tails: Column, x: Column) -> Column:
-        at = -x["back"]
-        return F.concat(F.filter(tails, lambda t: t < at), F.array(at), F.slice(F.filter(tails, lambda t: t >= at), 2, 64))
+        # tails: for each length the latest beginning of a chain of it; beginnings go down as lengths go up.
+        longer, rest = F.filter(tails, lambda t: t["at"] > x["at"]), F.filter(tails, lambda t: t["at"] <= x["at"])
+        end = F.coalesce(F.try_element_at(longer, F.lit(-1))["end"], x["at"] + 1)
+        return F.concat(longer, F.array(F.struct(x["at"].alias("at"), end.alias("end")).cast(link)), F.slice(rest, F.lit(2), F.size(rest)))
 
-    return F.size(F.aggregate(found, F.array().cast("array<int>"), step))
+    return F.aggregate(found, F.array().cast(f"array<{link}>"), step, lambda t: F.struct(F.size(t).alias("size"), F.try_element_at(t, F.lit(-1)).alias("whole")))
 
 
-def _spans(texts: DataFrame) -> DataFrame:
+def _spans(texts: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] | None) -> DataFrame:
     split = texts.filter(F.size("w") >= K)
     shifted = [F.slice("w", F.lit(k + 1), F.size("w") - (K - 1)).alias(f"w{k}") for k in range(K)]
     grams = split.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "g")).select("doc_id", "text_hash", "pos", *(F.col(f"g.w{k}").alias(f"w{k}") for k in range(K)))
     grams = grams.withColumn("gram", F.xxhash64(*(f"w{k}" for k in range(K))))
-    # The template table is a constant of a few hundred rows.
-    places = _template_grams(texts.sparkSession).withColumn("t_gram", F.xxhash64(*(f"t{k}" for k in range(K))))
+    places = small(_template_grams(texts.sparkSession, templates)).withColumn("t_gram", F.xxhash64(*(f"t{k}" for k in range(K))))
     same = F.col("gram") == F.col("t_gram")
     for k in range(K):
         same = same & (F.col(f"w{k}") == F.col(f"t{k}"))
-    hits = grams.join(F.broadcast(places), same).select("doc_id", "text_hash", "template", "phrase", "label", "words", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
-    # Votes are a bitmap of template places, so that a repeated row adds nothing.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
-    own = ["doc_id", "text_hash", "template", "phrase", "label", "words"]
-    votes = stage(hits.groupBy(*own, "diagonal").agg(F.bit_or(bit).alias("votes")), "license_votes")
+    of_text = ["doc_id", "text_hash", "template"]
+    own = [*of_text, "phrase", "label", "words"]
+    hits = grams.join(places, same).select(*own, "place", (F.col("pos") - F.col("place")).alias("diagonal"))
+    # Votes are the set of template places, so that a repeated row adds nothing.
+    votes = stage(hits.groupBy(*own, "diagonal").agg(F.array_sort(F.collect_set("place")).alias("votes")), "license_votes")
     grams_of = F.col("words") - (K - 1)
-    exact = votes.filter(F.col("phrase") & (F.bit_count("votes") == grams_of)).select(*own[:-1], F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("words")).alias("last"), F.lit(1.0).alias("coverage"))
-    along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
-    runs = votes.filter(~F.col("phrase")).withColumn("run", F.sum(fresh.cast("int")).over(along))
-    reach = Window.partitionBy("doc_id", "text_hash", "template", "run").orderBy("diagonal").rangeBetween(0, REACH)
-    merged = runs.withColumns({"all": F.bit_or("votes").over(reach), "own": F.collect_list(F.struct("diagonal", "votes")).over(reach)})
-    # A chain of words can't reach LEAST if their k-grams are far from it: every missing word costs K of them at most.
-    merged = merged.filter(F.bit_count("all") >= grams_of - K * (F.col("words") - F.ceil(LEAST * F.col("words"))))
-    voted = lambda d, j: F.call_function("shiftright", d["votes"], F.greatest(j, F.lit(0))).bitwiseAND(F.lit(1)) == 1
-    holds = lambda d, p: F.exists(F.sequence(F.greatest(p - (K - 1), F.lit(0)), p), lambda j: voted(d, j))
-    of_one = lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.col("words") - 1), lambda p: holds(d, p)), lambda p: F.struct(p.alias("place"), (-(d["diagonal"] + p)).alias("back")))
-    merged = merged.withColumn("found", F.array_sort(F.flatten(F.transform("own", of_one))))
-    at = F.transform("found", lambda x: -x["back"])
-    near = merged.withColumns({"coverage": _chain(F.col("found")) / F.col("words"), "first": F.array_min(at), "last": F.array_max(at) + 1}).filter(F.col("coverage") >= LEAST)
+    exact = votes.filter(F.col("phrase") & (F.size("votes") == grams_of)).select(*own[:-1], F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("words")).alias("last"), F.lit(1.0).alias("coverage"))
+    # A vote tells of K words at most: texts and stretches with fewer votes than that can't hold enough of the template.
+    enough = F.ceil(LEAST * F.col("words"))
+    near = votes.filter(~F.col("phrase"))
+    told = near.select(*own, F.explode("votes").alias("place")).groupBy(*own).agg(F.size(F.collect_set("place")).alias("told")).filter(K * F.col("told") >= enough)
+    told = told.select(*(F.col(c).alias(f"_{c}") for c in of_text))
+    runs = near.join(told, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("template") == F.col("_template")), "left_semi")
+    runs = runs.withColumn("along", F.col("diagonal") / F.greatest(SPREAD * F.col("words"), F.lit(float(REACH))))
+    by = Window.partitionBy(*of_text).orderBy("along")
+    reach = by.rangeBetween(0, 1)
+    places_of = lambda d: F.array_distinct(F.flatten(F.transform(d["votes"], lambda j: F.sequence(j, j + (K - 1)))))
+    merged = runs.withColumns({"all": F.collect_list(F.struct("diagonal", "votes")).over(reach), "sum": F.sum(F.size("votes")).over(reach), "end": F.max("diagonal").over(reach)})
+    merged = merged.withColumn("whole", F.coalesce(F.col("end") > F.lag("end").over(by), F.lit(True))).filter(F.col("whole") & (K * F.col("sum") >= enough))
+    of_one = lambda d: F.transform(places_of(d), lambda p: F.struct((-p).alias("back"), (d["diagonal"] + p).alias("at")))
+    merged = merged.withColumn("chain", _chain(F.array_sort(F.flatten(F.transform("all", of_one)))))
+    merged = merged.select(*own, F.col("chain.whole.at").alias("first"), F.col("chain.whole.end").alias("last"), (F.col("chain.size") / F.col("words")).alias("coverage"))
+    alone = runs.withColumn("places", places_of(F.struct("diagonal", "votes")))
+    alone = alone.select(*own, (F.col("diagonal") + F.array_min("places")).alias("first"), (F.col("diagonal") + F.array_max("places") + 1).alias("last"), (F.size("places") / F.col("words")).alias("coverage"))
+    near = merged.unionByName(alone).filter(F.col("coverage") >= LEAST)
     # Templates that share most words: of stretches that begin within a few words, those of the best coverage count.
     beside = Window.partitionBy("doc_id", "text_hash").orderBy("first").rangeBetween(-BESIDE, BESIDE)
     near = near.select(exact.columns).distinct().withColumn("best", F.max("coverage").over(beside)).filter("coverage = best").drop("best")
     return exact.unionByName(near)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of each row of `docs`, with its doc_id.
 
     n_base counts the places of the fixed phrases, first_word and last_word are the smallest and largest start of one
     (null without); labels adds those of license texts found nearly whole; score is the best coverage, 0 without any.
+    `templates`: texts and their labels, as a table (text, label) or pairs, of any number and length; default: TEMPLATES.
+    Their words are taken as the documents' are; a template of a null label, or of fewer than K words, is never found.
     A null text is empty. Rows are kept, repeated ones alike; other columns play no part, whatever their names; an empty
     table gives an empty result.
     """
     texts = _words(docs)
-    spans = _spans(texts)
+    spans = _spans(texts, templates)
     joined = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
     base = F.when(F.col("phrase"), F.col("first"))
     found = spans.groupBy("doc_id", "text_hash").agg(

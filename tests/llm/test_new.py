@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entroflow.llm import alignment, buckets, centroids, ngramjoin, queries
+from entroflow.llm import alignment, buckets, centroids, licenses, ngramjoin, queries
 
 from . import brute
 from .test_llm import AWKWARD, SF, docs, real, records, table  # noqa: F401
@@ -157,3 +157,34 @@ def test_contact_lists_are_no_product(spark):
     assert pairs.count() == 4 * 100
     told = pii.disclosing_terms(docs, base)
     assert told.count() == 40 * 100 and told.filter("together <> 4 or documents <> 4").count() == 0
+
+def test_license_insertions_and_templates(spark):
+    """Words put into a notice, however many up to twice its length; templates given by the caller, of 1,500 words too."""
+    rng = np.random.default_rng(31)
+    filler = lambda n: " ".join(f"zz{x}" for x in rng.integers(0, 10**6, n))
+    by_label = {label: text.split() for text, label in reversed(licenses.TEMPLATES)}
+    rows, want = [], []
+    for label in ("mit", "bsd"):
+        for n in (0, 3, 5, 10, 40):
+            w = by_label[label]
+            half = len(w) // 2
+            if n <= 2 * len(w):
+                rows.append(f"{filler(7)} {' '.join(w[:half])} {filler(n)} {' '.join(w[half:])} {filler(9)}")
+                want.append((label, 1.0))
+    texts = [*rows, None, "", "permission is", rows[0]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, rows[0], "x")], "doc_id long, text string, LABEL string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(rows))] == want and got[None] == want[0] and got[len(texts) - 1] == want[0]
+    assert all(got[len(rows) + k] == ("", 0.0) for k in range(3))
+
+    whole = [f"w{x}" for x in rng.integers(0, 400, 1500)]
+    edited = [y for k, x in enumerate(whole) for y in ((x,) if k % 40 else ("new", x))]
+    cut = whole[:300] + filler(900).split() + whole[300:1200]
+    docs = [" ".join(whole), "See: " + ", ".join(edited).upper(), " ".join(cut), " ".join(whole[:700]), " ".join(whole[::-1]), "w1 w2 w3 " * 2000]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    table = spark.createDataFrame([(", ".join(whole).title(), "own"), ("Short one", "short"), (None, "none"), ("a b c d", None)], "text string, label string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df, table).collect()}
+    assert got[0] == ("own", 1.0) and got[1][0] == "own" and got[1][1] > 0.99 and got[2][0] == "own" and got[2][1] >= 0.8
+    assert all(got[k] == ("", 0.0) for k in (3, 4, 5))
+    assert [(r.first, r.last, r.label) for r in licenses.license_spans(df.filter("doc_id = 0"), table).collect()] == [(0, 1500, "own")]
+    assert licenses.scan_licenses(df, []).filter("labels <> ''").count() == 0 and licenses.scan_licenses(df.limit(0)).count() == 0
