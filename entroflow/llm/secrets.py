@@ -3,9 +3,12 @@
 Grammar inference: the labelled examples of a format form a prefix tree with counts; states whose endings and
 transitions are statistically compatible (Hoeffding bounds, applied to all that follows) are merged into a
 probabilistic automaton. Every candidate string of a text is scored by the likelihood of its best format against
-that of an automaton of ordinary words. Candidates are the stretches of a run of credential
-letters that begin at its start or after a joint (= / - _) and end at its end or before one, without a joint that the
-format never writes; of those that overlap, such are taken as together save most bits. A run without any is scored whole.
+that of an automaton of ordinary words. What a candidate is follows from the examples alone: their letters (and all ASCII
+letters and digits) make up runs; any other sign among them is a joint; candidates of a format are the stretches of a run that begin at its start or
+after a joint and end at its end or before one, of the format's shortest example's length at least, with a last sign as examples have it, with a digit and a
+letter if all examples have one, with a beginning that examples have if they have few, and without a joint that the format
+never writes. A piece between joints that is far likelier an ordinary word ends a candidate, so that a path with a random id in it
+is none. Of candidates that overlap, such are taken as together save most bits.
 Ordinary words are those of the documents themselves, every distinct one. There are too many for a prefix tree, so of their
 automaton's states those are merged that share the last ORDER symbols: its counts are bounded, whatever the corpus.
 """
@@ -29,38 +32,63 @@ KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
-#: Candidates of all formats; access keys (20 and more) and hex strings (24 and more) lie within one each.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_PLAIN = re.compile(r"[A-Za-z0-9+/_=-]+")
-#: Where a run may be parted; letters of a candidate at least.
-_JOINTS, LEAST = frozenset("=/-_"), 20
-#: Examples of each format, exact letters at the start, merging's confidence, bits a letter over ordinary words.
-EXAMPLES, LITERAL, ALPHA, MARGIN = 150, 4, 0.05, 1.0
+#: Access keys (20 and more) and hex strings (24 and more) lie within one run each.
+_RUN = re.compile(r"[A-Za-z0-9]{20,}")
+#: Letters of runs and of ordinary words whatever the formats are.
+_ALNUM, _WORDLY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), frozenset("+/_=-")
+#: Examples of each format, merging's confidence, bits by which a candidate must be likelier than ordinary words.
+EXAMPLES, ALPHA, MARGIN = 150, 0.05, 20.0
+#: Beginnings that a format's exact first letters may have at most (a tenth of the examples, if fewer); bits by which a piece
+#: between joints must be likelier an ordinary word to end a candidate.
+BEGINNINGS, PIECE = 8, 6.0
 #: Labelled examples of a format at most; symbols that tell an ordinary word's state; words a task remembers, to send each once.
 MOST_EXAMPLES, ORDER, REMEMBERED = 2000, 4, 100_000
-#: A candidate has a digit and a letter: without a digit it is a word, without a letter a number.
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 _CLASSES = {"h": "abcdef", "g": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
 _CLASS = {c: k for k, own in _CLASSES.items() for c in own}
 
 
-def symbols(text: str) -> list[tuple[str, float]]:
-    """A letter's symbol and bits: itself at the start, later its class, any letter of it alike."""
-    return [(c, 0.0) if k < LITERAL else (_CLASS.get(c, c), math.log2(len(_CLASSES.get(_CLASS.get(c, ""), "1")))) for k, c in enumerate(text)]
+def beginning(examples: list[str]) -> int:
+    """How many first letters are taken exactly: as long as the examples have few different beginnings."""
+    few = max(1, min(BEGINNINGS, len(examples) // 10))
+    out, shortest = 0, min(map(len, examples), default=0)
+    while out < shortest and len({x[: out + 1] for x in examples}) <= few:
+        out += 1
+    return out
+
+
+class Shape:
+    """What candidates of a format must keep to, from its examples: least letters, exact first letters, joints, classes."""
+
+    def __init__(self, examples: list[str]):
+        self.least, self.literal, self.letters = min(map(len, examples)), beginning(examples), set().union(*examples)
+        self.joints = {(c, i < self.literal) for x in examples for i, c in enumerate(x) if c not in _ALNUM}
+        self.last = {x[-1] for x in examples} | _ALNUM  # a mark after a credential isn't part of it
+        self.digit, self.letter = (all(pattern.search(x) for x in examples) for pattern in (_DIGIT, _LETTER))
+
+    def may(self, text: str) -> bool:
+        """Whether a whole string has the length, classes and joints of the format."""
+        return len(text) >= self.least and text[-1] in self.last and (not self.digit or bool(_DIGIT.search(text))) and (not self.letter or bool(_LETTER.search(text))) and all(c in _ALNUM or (c, i < self.literal) in self.joints for i, c in enumerate(text))
+
+
+def shapes(labelled: dict[str, list[str]]) -> dict[str, Shape]:
+    return {k: Shape(v) for k, v in labelled.items() if k and v}
 
 
 class Automaton:
     """A probabilistic automaton learned by merging prefix-tree states (red and blue states in breadth order)."""
 
     def __init__(self, examples: list[str], alpha: float = ALPHA):
+        self.literal = beginning(examples)
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.ends, self.total = [0], [0]
         for text in sorted(examples):
             s = 0
             self.total[0] += 1
-            for a, _ in symbols(text):
+            for k, c in enumerate(text):
+                a = c if k < self.literal else _CLASS.get(c, c)
                 if a not in self.next[s]:
                     self.next[s][a] = len(self.next)
                     self.next.append({})
@@ -121,7 +149,7 @@ class Automaton:
                     self.next[r][a] = t
 
     def step(self, s: int, c: str, start: bool) -> tuple[float, int]:
-        """Bits of letter c in state s (start: among the first LITERAL letters), and the next state."""
+        """Bits of letter c in state s (start: among the exact first letters), and the next state."""
         got = self.steps.get((s, c, start))
         if got is None:
             a = c if start else _CLASS.get(c, c)
@@ -134,7 +162,7 @@ class Automaton:
         """Bits a letter to write the text; a step never seen costs 16 and stays where it is."""
         s, out = 0, 0.0
         for k, c in enumerate(text):
-            more, s = self.step(s, c, k < LITERAL)
+            more, s = self.step(s, c, k < self.literal)
             out += more
         return out / max(1, len(text))
 
@@ -144,6 +172,7 @@ class Words:
     classes throughout. counts: (state, symbol, words), as word_steps() has them; a symbol of "" is a word's end."""
 
     def __init__(self, examples: list[str], counts: Iterable[tuple[str, str, int]] = ()):
+        self.literal = 0
         every = word_steps(examples)
         for state, a, n in counts:
             every[state, a] += n
@@ -204,68 +233,81 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]], counts: Iterable[tuple[str, str, int]] = ()):
         self.words = Words(labelled[""], counts)
-        self.own = {k: Automaton(v) for k, v in labelled.items() if k}
-        self.limit = {k: max(self.own[k].bits(x) for x in v) + 0.25 for k, v in labelled.items() if k}
-        self.joints = {k: {(c, i < LITERAL) for x in v for i, c in enumerate(x) if c in _JOINTS} for k, v in labelled.items() if k}
+        self.shape = shapes(labelled)
+        self.own = {k: Automaton(labelled[k]) for k in self.shape}
+        self.limit = {k: max(self.own[k].bits(x) for x in labelled[k]) + 0.25 for k in self.shape}
+        self.least = min((x.least for x in self.shape.values()), default=1)
+        self.run = re.compile("[" + "".join(map(re.escape, sorted(_ALNUM.union(*(x.letters for x in self.shape.values()))))) + f"]{{{self.least},}}")
 
     def best(self, text: str) -> str | None:
-        """The format that explains a candidate, if any does much better than ordinary words."""
-        if not _DIGIT.search(text) or not _LETTER.search(text):
-            return None
+        """The format that explains a whole string, if any does much better than ordinary words."""
         plain = self.words.bits(text)
-        fits = [(bits, k) for k, a in self.own.items() if (bits := a.bits(text)) <= min(self.limit[k], plain - MARGIN)]
+        fits = [(bits, k) for k, a in self.own.items() if self.shape[k].may(text) and (bits := a.bits(text)) <= min(self.limit[k], plain - MARGIN / len(text))]
         return min(fits)[1] if fits else None
 
     def spans(self, run: str, low: int = 0, high: int | None = None) -> list[tuple[int, int]]:
         """Candidates of a run, between two places, that a format explains: (start, end), none overlapping.
 
         Those that together save most bits over plain bytes, found in one pass. Candidates in the same states fare alike
-        from there on, so of these only such go on as no other beats in what is saved and what is left under both of the
-        format's limits.
+        from there on, so of these only such go on as no other beats in what is saved, what is left under both of the
+        format's limits, and what its present piece between joints has over ordinary words.
         """
         high = len(run) if high is None else high
-        if high - low < LEAST or not _DIGIT.search(run, low, high) or not _LETTER.search(run, low, high):
+        if high - low < self.least:
+            return []
+        some = bool(_DIGIT.search(run, low, high)), bool(_LETTER.search(run, low, high))
+        formats = [f for f, x in self.shape.items() if high - low >= x.least and (some[0] or not x.digit) and (some[1] or not x.letter)]
+        if not formats:
             return []
-        full = [high + 1] * (high - low + 1)  # where a candidate from here has a digit, a letter and LEAST letters
-        digit = letter = high + 1
+        # Where a candidate from each place has a digit, and a letter.
+        digits, letters = [high + 1] * (high - low + 1), [high + 1] * (high - low + 1)
         for i in range(high - 1, low - 1, -1):
-            digit = i + 1 if _DIGIT.match(run, i) else digit
-            letter = i + 1 if _LETTER.match(run, i) else letter
-            full[i - low] = max(i + LEAST, digit, letter)
+            digits[i - low] = i + 1 if _DIGIT.match(run, i) else digits[i - low + 1]
+            letters[i - low] = i + 1 if _LETTER.match(run, i) else letters[i - low + 1]
+
+        def full(f: str, at: int) -> int:
+            x = self.shape[f]
+            return max(at + x.least, digits[at - low] if x.digit else 0, letters[at - low] if x.letter else 0)
+
         saved, chosen = [0.0] * (high - low + 1), [-1] * (high - low + 1)  # up to each place, and the start of what ends there
         # What a row would have saved by place i, with all that was saved before its start.
         save = lambda f, a, at, i: a + (8 - self.limit[f]) * (i - at) + saved[at - low]
-        live: dict[tuple[str, int, int, int], list[tuple[float, float, int]]] = {}
+        live: dict[tuple[str, int, int, int], list[tuple[float, float, float, int]]] = {}
+        v = 0  # the state of the words' automaton for the piece since the last joint
         for i in range(low, high):
             c = run[i]
-            if full[i - low] <= high and (i == 0 or run[i - 1] in _JOINTS):
-                for f in self.own:
-                    live.setdefault((f, 0, 0, 0), []).append((0.0, 0.0, i))
-            moved: dict[tuple[str, int, int, int], list[tuple[float, float, int]]] = {}
+            joint = c not in _ALNUM
+            if i == 0 or run[i - 1] not in _ALNUM:
+                for f in formats:
+                    if full(f, i) <= high:
+                        live.setdefault((f, 0, 0, 0), []).append((0.0, 0.0, 0.0, i))
+            word, v = (0.0, 0) if joint else self.words.step(v, c, False)
+            moved: dict[tuple[str, int, int, int], list[tuple[float, float, float, int]]] = {}
             for (f, s, w, k), rows in live.items():
-                if c in _JOINTS and (c, k < LITERAL) not in self.joints[f]:
+                start = k < self.shape[f].literal
+                if joint and (c, start) not in self.shape[f].joints or start and c not in self.own[f].count[s]:
                     continue
-                bits, s = self.own[f].step(s, c, k < LITERAL)
-                plain, w = self.words.step(w, c, k < LITERAL)
-                under, gain = self.limit[f] - bits, plain - MARGIN - bits
+                bits, s = self.own[f].step(s, c, start)
+                plain, w = self.words.step(w, c, False)
+                under, gain = self.limit[f] - bits, plain - bits
                 lost = -self.limit[f] * (high - i - 1)  # too many bits to make good even if all other letters cost none
-                own = moved.setdefault((f, s, w, min(k + 1, LITERAL)), [])
-                own += [(a + under, b + gain, at) for a, b, at in rows if a + under >= lost]
-            end = i + 1 == len(run) or run[i + 1] in _JOINTS
+                own = moved.setdefault((f, s, w, min(k + 1, self.shape[f].literal)), [])
+                own += [(a + under, b + gain, 0.0 if joint else p + word - bits, at) for a, b, p, at in rows if a + under >= lost and (not joint or min(b, p) >= -PIECE)]
+            end = i + 1 == len(run) or run[i + 1] not in _ALNUM
             live, best = {}, saved[i - low]
             for key, rows in moved.items():
                 if len(rows) > 1:
-                    kept: list[tuple[float, float, int]] = []
-                    for row in sorted(rows, key=lambda x: (-x[0], -x[1], x[2])):
-                        mine = save(key[0], row[0], row[2], i)
-                        if not any(a >= row[0] and b >= row[1] and save(key[0], a, at, i) >= mine and (at <= row[2] or full[at - low] <= i + 1) for a, b, at in kept):
+                    kept: list[tuple[float, float, float, int]] = []
+                    for row in sorted(rows, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
+                        mine = save(key[0], row[0], row[3], i)
+                        if not any(a >= row[0] and b >= row[1] and p >= row[2] and save(key[0], a, at, i) >= mine and (at <= row[3] or full(key[0], at) <= i + 1) for a, b, p, at in kept):
                             kept.append(row)
                     rows = kept
                 if rows:
                     live[key] = rows
-                if end:
-                    for a, b, at in rows:
-                        if a >= 0 and b >= 0 and full[at - low] <= i + 1 and (now := save(key[0], a, at, i + 1)) > best:
+                if end and c in self.shape[key[0]].last:
+                    for a, b, p, at in rows:
+                        if a >= 0 and b >= MARGIN and p >= -PIECE and full(key[0], at) <= i + 1 and (now := save(key[0], a, at, i + 1)) > best:
                             best, chosen[i + 1 - low] = now, at
             saved[i + 1 - low] = best
         out, i = [], high
@@ -283,19 +325,19 @@ def scan_text(text: str, formats: Formats | None = None) -> list[tuple[int, int,
     low, out = text.encode("utf-8", "surrogatepass").lower(), []
     if any(x in low for x in _NAMES):
         out += [(0, m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    runs = [(m.start(), m[0]) for m in _RUN.finditer(text)]
+    solid = [(m.start(), m[0]) for m in _RUN.finditer(text)]
     for kind, pattern, least in ((1, _ACCESS, 20), (2, _HEX, 24)):
-        out += [(kind, a + m.start(), a + m.end()) for a, run in runs for m in pattern.finditer(run) if m.end() - m.start() >= least]
+        out += [(kind, a + m.start(), a + m.end()) for a, run in solid for m in pattern.finditer(run) if m.end() - m.start() >= least]
     if formats:
         base = list(out)
-        for a, run in runs:
+        for a, run in ((m.start(), m[0]) for m in formats.run.finditer(text)):
             # What base spans leave of the run.
             inside = sorted((max(s - a, 0), min(e - a, len(run))) for _, s, e in base if s < a + len(run) and a < e)
             low, own = 0, []
             for s, e in [*inside, (len(run), len(run))]:
                 own += formats.spans(run, low, max(s, low))
                 low = max(low, e)
-            out += [(3, a + x, a + z) for x, z in own or [(0, len(run))] * (not inside and formats.best(run) is not None)]
+            out += [(3, a + x, a + z) for x, z in own]
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
@@ -314,20 +356,22 @@ def labelled_of(table: DataFrame, most: int = MOST_EXAMPLES) -> dict[str, list[s
     return out
 
 
-def plain_words(text: str) -> set[str]:
-    """The distinct words of a text, without marks around them and without what could be a credential."""
+def plain_words(text: str, formats: dict[str, Shape]) -> set[str]:
+    """The distinct words of a text, without marks around them and without what could be a credential of the formats."""
+    letters = _ALNUM.union(_WORDLY, *(x.letters for x in formats.values()))
     words = (w.strip(".,;:!?()[]'\"") for w in set(text.split()))
-    return {w for w in words if _PLAIN.fullmatch(w) and not (len(w) >= LEAST and _DIGIT.search(w) and _LETTER.search(w))}
+    return {w for w in words if w and letters.issuperset(w) and not any(x.may(w) for x in formats.values())}
 
 
-def corpus_words(docs: DataFrame) -> list[tuple[str, str, int]]:
+def corpus_words(docs: DataFrame, formats: dict[str, Shape] | None = None) -> list[tuple[str, str, int]]:
     """Of all distinct plain words of all texts how many take each (state, symbol) of their automaton: rows of bounded number."""
+    formats = shapes(labelled_credentials()) if formats is None else formats
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, sent = set(), set()
         for batch in slices(batches):
             every = {w for t in as_text(batch.column("text")) for w in t.split()}
-            new = plain_words(" ".join(every - raw)) - sent
+            new = plain_words(" ".join(every - raw), formats) - sent
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["w"])
             if len(raw) > REMEMBERED:
                 raw, sent = set(), set()
@@ -356,7 +400,7 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | DataFrame | N
     """
     labelled = dict(labelled_of(labelled) if isinstance(labelled, DataFrame) else labelled or labelled_credentials())
     labelled[""] = labelled.get("") or labelled_credentials()[""]
-    formats = Formats(labelled, corpus_words(docs))
+    formats = Formats(labelled, corpus_words(docs, shapes(labelled)))
     docs = without(docs, "n_assign", "n_access", "n_hex", "base_spans", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 """Alignment, n-gram join and centroid clustering against plain versions."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entroflow.llm import alignment, buckets, centroids, licenses, ngramjoin, queries
+from entroflow.llm import alignment, buckets, centroids, licenses, ngramjoin, queries, secrets
 
 from . import brute
 from .test_llm import AWKWARD, SF, docs, real, records, table  # noqa: F401
@@ -188,3 +190,45 @@ def test_license_insertions_and_templates(spark):
     assert all(got[k] == ("", 0.0) for k in (3, 4, 5))
     assert [(r.first, r.last, r.label) for r in licenses.license_spans(df.filter("doc_id = 0"), table).collect()] == [(0, 1500, "own")]
     assert licenses.scan_licenses(df, []).filter("labels <> ''").count() == 0 and licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_secret_candidates_follow_the_examples():
+    """Formats of other letters, lengths and joints than the default ones: fresh strings in a sentence are found exactly."""
+    rng = np.random.default_rng(4)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n, of=low + low.upper() + "0123456789": "".join(rng.choice(list(of), n))
+    words = secrets.labelled_credentials()[""]
+    make = {"sg": lambda: f"SG.{some(22)}.{some(43)}", "pk": lambda: "pk_" + some(13), "tok": lambda: "tok_" + some(30, low), "xx": lambda: f"xx:{some(8)}:{some(30)}"}
+    for kind, f in make.items():
+        formats = secrets.Formats({kind: [f() for _ in range(150)], "": words})
+        found = []
+        for _ in range(100):
+            own = f()
+            found.append(secrets.scan_text(f"use {own}. then (it)", formats) == [(3, 4, 4 + len(own))])
+        assert np.mean(found) >= 0.9, kind
+        assert np.mean([formats.best(x) is not None for x in words]) < 0.02 and secrets.scan_text("", formats) == []
+    together = secrets.Formats({k: [f() for _ in range(150)] for k, f in make.items()} | {"": words})
+    a, b = make["pk"](), make["xx"]()
+    assert secrets.scan_text(f"{a},{b} and {a[:-1]}", together) == [(3, 0, 16), (3, 17, 17 + len(b))]
+
+
+def test_urls_with_random_ids_are_no_secrets():
+    """Ids shorter than the formats' shortest examples; a longer one looks like a credential, and is taken for one."""
+    rng = np.random.default_rng(6)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n, of=low + low.upper() + "0123456789": "".join(rng.choice(list(of), n))
+    formats = secrets.Formats(secrets.labelled_credentials())
+    made = (lambda: f"https://x.org/watch/{some(22)}/a", lambda: f"https://cdn.example.com/assets/img_{some(11)}.png?id={some(16)}&v=2",
+            lambda: f"https://news.example.com/2024/05/12/the-long-story-of-a-{some(6, low)}-{some(8, '0123456789')}.html", lambda: "https://api.example.com/items/" + "-".join(some(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)))
+    for url in made:
+        assert np.mean([secrets.scan_text(f"see {url()} now", formats) != [] for _ in range(200)]) < 0.02
+
+
+def test_long_runs_of_joints_take_time_in_proportion():
+    formats = secrets.Formats(secrets.labelled_credentials())
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert secrets.scan_text("path" + "/path" * n + "/1", formats) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
