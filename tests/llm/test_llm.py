@@ -5,6 +5,8 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,56 @@ def test_perfect_hash_is_minimal():
     assert (shard.probe(h1, h2) == slot).all() and (shard.probe(h1, h2 + np.uint64(1)) == -1).all()
 
 
+def test_lines_dealt_to_shards(table):
+    """An index that no worker may hold, of shards of two keys: the same rows as from one that is held."""
+    want = brute.line_dedup(records(table))
+    got = linededup.drop_repeated_lines(table.withColumn("block", F.lit("clash")), shard_keys=2, held_bytes=0).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == want and len(got) == len(want) and {r.block for r in got} <= {"clash"}
+
+
+def test_lines_of_odd_tables_dealt_to_shards(spark):
+    other = LINE.replace("line", "row")
+    rows = [(d, t) for d in (1, 1, 2, 9, None, None) for t in (f"{LINE}\nown\n{other}", None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held, dealt = (sorted(linededup.drop_repeated_lines(df, held_bytes=n, shard_keys=1).collect(), key=str) for n in (1 << 20, 0))
+    assert held == dealt and len(held) == len(rows)
+    assert {(r.doc_id, r.n_dropped) for r in dealt if r.n_lines == 3} == {(1, 2), (2, 2), (9, 0), (None, 2)}
+    assert linededup.drop_repeated_lines(df.filter("false"), held_bytes=0).count() == 0
+
+
+def test_each_shard_is_read_once(spark, tmp_path, monkeypatch):
+    """A task whose rows are sorted by shard opens each shard once, and holds one; a key takes the bytes that are stated."""
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**63), 2**63 - 1, (4000, 2))
+    for k in range(4):
+        own = h[np.mod(h[:, 0], 4) == k]
+        n = len(own)
+        built = linededup._build(pa.table({"h1": own[:, 0], "h2": own[:, 1], "n": np.full(n, 100_000), "last": own[:, 1], "shard": np.full(n, k)}))
+        (tmp_path / f"part={k}").mkdir()
+        pq.write_table(built, tmp_path / f"part={k}" / "a.parquet")
+        shard = linededup.Shard(built.to_pylist()[0])
+        assert shard.nbytes <= linededup.KEY_BYTES * n + 1024
+    reads = []
+    real = linededup._read_part
+    monkeypatch.setattr(linededup, "_read_part", lambda path, part: reads.append(part) or real(path, part))
+    index = linededup.Index(f"file://{tmp_path}", 4, 5, hold=False)
+    asked = np.concatenate([h, h + 1])
+    asked = asked[np.argsort(np.mod(asked[:, 0], 4), kind="stable")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int64)), pa.array(x[:, 0]), pa.array(x[:, 1])], ["part", "h1", "h2"]) for x in np.array_split(asked, 50)]
+    out = pa.Table.from_batches(linededup._ask_shards(lambda: index)(iter(batches))).to_pandas()
+    assert reads == [0, 1, 2, 3] and len(index.held) == 1
+    assert sorted(zip(out.h1, out.h2)) == sorted(map(tuple, h.tolist())) and (out["last"] == out.h2).all()
+
+
+def test_told_keys_that_share_half_of_their_hash(tmp_path):
+    (tmp_path / "part=3").mkdir()
+    pq.write_table(pa.table({"h1": [-5, -5, 7, 7], "h2": [1, 2, 3, 3], "last": [10, 20, 30, 30]}), tmp_path / "part=3" / "a.parquet")
+    u = lambda *x: np.array(x, np.int64).view(np.uint64)
+    found, last = linededup.Told(f"file://{tmp_path}", 3).probe(u(-5, -5, -5, 7, 8), u(1, 2, 3, 3, 3))
+    assert found.tolist() == [True, True, False, True, False] and last.tolist() == [10, 20, 0, 30, 0]
+    assert not linededup.Told(f"file://{tmp_path}", 4).probe(u(7), u(3))[0].any()
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(table, words):
     want = brute.near_duplicates(records(table), words)
