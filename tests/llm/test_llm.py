@@ -712,3 +712,35 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.text or "") for r in out) == sorted((r.doc_id, r.text or "") for r in mixed.collect())
     for r in out:
         assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """run() on nulls in every column, repeated rows and ids, very long and empty texts, columns that clash with those that
+    stages add; and on empty tables: rows of the input's columns with their own tokens, and none."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join(rng.choice(WORDS.split() + ["rivers", "carry", "old", "stones", "toward", "the", "sea"], 30))
+    bad = lambda: " ".join(rng.choice(["$$$", "###", "buy", "!!!", "click"], 30))
+    rows = [(k, good() if k % 2 else bad(), "en", f"s{k % 3}", 1) for k in range(120)]
+    labels = [(k, k % 2, 0) for k in range(80)] + [(None, 1, None), (79, 1, 0), (9999, None, None)]
+    rows += [(None, None, None, None, None), (None, good(), None, None, None), (200, "", "en", None, 0), (201, None, None, "s1", None), (202, good() + " word" * 60_000, None, None, None)]
+    rows += [rows[1], rows[1], (3, good(), "en", "s0", 5), (300, f"{LINE}\n{good()}", None, "s2", 1)]
+    extra = "n_tokens string, IDS string, block long, n_dropped int, score string, size long, `a b` string"
+    docs = spark.createDataFrame([(*r, "x", "y", 7, 1, None, 8, "z") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels if name == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out, lib = P.run(spark, f"{tmp_path}/odd").collect(), Tokenizer.from_file(queries.vocabulary())
+    whole = {(r[0], w) for r in rows for w in (r[1] or "").split()}
+    assert out and {r.doc_id for r in out} <= {r[0] for r in rows}
+    for r in out:
+        assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids) // 4
+        assert all((r.doc_id, w) in whole for w in (r.text or "").split())
+        assert (r.block, r.n_dropped, r.score, r["size"], r["a b"]) == (7, 1, None, 8, "z")
+    kept = {r.doc_id for r in out}
+    assert sum(k % 2 for k in kept if k is not None and k < 120) >= 55 and sum(k % 2 == 0 for k in kept if k is not None and k < 120) <= 5
+    none = P.run(spark, f"{tmp_path}/empty")
+    assert none.columns and none.count() == 0
