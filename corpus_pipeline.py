@@ -3,30 +3,40 @@
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
 
 In every stage a null text counts as empty, texts are read whole however long, extra columns of any name are carried
-along, and an empty table gives an empty result. Rows that repeat a doc_id are rows of their own, treated alike.
+along (but the last stage replaces columns named n_tokens and ids and drops one named decoded), and an empty table gives an empty result. Rows that repeat a doc_id are rows of their own, treated alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entroflow.llm import bpe, linededup, mixing, neardup, quality, queries
-from entroflow.llm.common import docs_table, stage
+from entroflow.llm.common import col, docs_table, fresh, stage
+
+
+def _carried(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *added: str) -> DataFrame:
+    """step(docs) in the columns of `docs`: its own columns of names that the step adds are kept out of its way."""
+    names = [c for c in docs.columns if c.lower() in added]
+    aside = dict(zip(names, fresh(docs, *(f"_{c}" for c in names))))
+    out = step(docs.withColumnsRenamed(aside))
+    return out.select([col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled documents of the corpus, doesn't reject. Null and empty
     texts score the share of good labels; ties at the threshold stay."""
     model = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+    return _carried(docs, lambda d: quality.score(d, model).filter("predicted = 1"), "score", "predicted")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them share; n_chars follows the text. A line stays in the
     largest doc_id that holds it (in all rows of that id); a document whose lines all go stays, with an empty text."""
-    out = linededup.drop_repeated_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    out = _carried(docs, linededup.drop_repeated_lines, "n_lines", "n_dropped")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
